@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemigrate.llm import bpe, packing
+from sitemigrate.llm import bpe, line_dedup, packing, simhash
 from sitemigrate.llm.common import read_table
 
 
@@ -26,8 +26,17 @@ def op6_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
+def op3_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_simhash_meet_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents")).drop("group_fp")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_bpe_automaton, op6_exact_complement_packing)
+    f.__name__: f for f in (op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_window_dedup": line_dedup.ORACLE_SQL}
