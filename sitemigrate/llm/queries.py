@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemigrate.llm import bpe, line_dedup, packing, simhash
+from sitemigrate.llm import bpe, line_dedup, packing, quality, simhash
 from sitemigrate.llm.common import read_table
 
 
@@ -26,6 +26,11 @@ def op6_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
+def op2_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -36,7 +41,7 @@ def op7_simhash_meet_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle)
+    f.__name__: f for f in (op2_boosted_quality_rules, op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle)
 }
 
 ORACLES: dict[str, str] = {"op3_line_window_dedup": line_dedup.ORACLE_SQL}
