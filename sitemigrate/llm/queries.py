@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemigrate.llm import bpe, line_dedup, packing, quality, simhash
+from sitemigrate.llm import bpe, line_dedup, packing, quality, secret_scan, simhash
 from sitemigrate.llm.common import read_table
 
 
@@ -40,8 +40,14 @@ def op7_simhash_meet_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFram
     return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents")).drop("group_fp")
 
 
+def op9_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_markov")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_boosted_quality_rules, op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle)
+    f.__name__: f for f in (op2_boosted_quality_rules, op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle, op9_markov_secret_scan)
 }
 
 ORACLES: dict[str, str] = {"op3_line_window_dedup": line_dedup.ORACLE_SQL}
