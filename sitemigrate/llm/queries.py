@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemigrate.llm import bpe, line_dedup, packing, quality, secret_scan, simhash
+from sitemigrate.llm import bitslice, bpe, line_dedup, packing, quality, secret_scan, simhash, warc_zip
 from sitemigrate.llm.common import read_table
 
 
@@ -40,14 +40,24 @@ def op7_simhash_meet_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFram
     return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents")).drop("group_fp")
 
 
+def op8_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return bitslice.top_k(spark, vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op9_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, secret_scan.train(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_markov")
 
 
+def op10_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_zip.write_archives(spark, read_table(spark, sf_dir, "pages"))
+    return warc_zip.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_boosted_quality_rules, op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle, op9_markov_secret_scan)
+    f.__name__: f for f in (op2_boosted_quality_rules, op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle, op8_bit_sliced_top_k, op9_markov_secret_scan, op10_zip_packaged_warc)
 }
 
-ORACLES: dict[str, str] = {"op3_line_window_dedup": line_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_line_window_dedup": line_dedup.ORACLE_SQL, "op8_bit_sliced_top_k": bitslice.ORACLE_SQL, "op10_zip_packaged_warc": warc_zip.ORACLE_SQL}
