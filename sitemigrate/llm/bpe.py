@@ -111,13 +111,19 @@ class Automaton:
         return root
 
     def encode(self, word: str, table: dict) -> list[int]:
-        """The ids of one word of base letters; its last letter takes the word's end."""
+        """The ids of one word of base letters; its last letter takes the word's end.
+
+        Longest labels are tried first. The path to a place is the only one, so a place from which no path leads on is
+        never entered again.
+        """
         n, arcs, width = len(word), self.arcs, self.width
-        last: list[int] = [-1] * (n + 1)
-        back: list[int] = [0] * (n + 1)
-        for j in range(n):
-            before, nexts = last[j], table
-            for i in range(j, n):
+        out: list[int] = []
+        tried: list[tuple[int, list[tuple[int, int]]]] = []
+        dead: set[int] = set()
+        at, before = 0, -1
+        while at < n:
+            found, nexts, i = [], table, at
+            while i < n:
                 node = nexts.get(word[i])
                 if node is None:
                     break
@@ -125,19 +131,33 @@ class Automaton:
                 i += 1
                 if i == n:
                     t = at_end
-                if t >= 0 and last[i] < 0:
-                    if j:
+                if t >= 0:
+                    found.append((t, i))
+            while True:
+                while found:
+                    t, i = found.pop()
+                    if i in dead:
+                        continue
+                    if before >= 0:
                         go = arcs.get(before * width + t)
                         if go is None:
                             go = self.follows(before, t)
                         if not go:
                             continue
-                    last[i], back[i] = t, j
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = back[i]
-        return out[::-1]
+                    break
+                else:
+                    if not tried:
+                        raise ValueError(f"no path spells {word!r}")
+                    dead.add(at)
+                    at, found = tried.pop()
+                    out.pop()
+                    before = out[-1] if out else -1
+                    continue
+                break
+            tried.append((at, found))
+            out.append(t)
+            at, before = i, t
+        return out
 
 
 class Chunks(dict):
@@ -186,7 +206,7 @@ class Codec:
         labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
         self.words = Chunks(self._word, 400_000)
-        self.chunks = Chunks(self._chunk)
+        self.chunks = Chunks(self._chunk, 500_000)
 
     def _word(self, piece: str) -> bytes:
         letters = "".join([self.letters[b] for b in piece.encode("utf-8")])
