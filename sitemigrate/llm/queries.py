@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemigrate.llm import bitslice, bpe, chaining, line_dedup, packing, quality, secret_scan, simhash, warc_zip
+from sitemigrate.llm import bitslice, bpe, chaining, hpylm, line_dedup, packing, quality, secret_scan, simhash, warc_zip
 from sitemigrate.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -61,7 +65,7 @@ def op10_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_collinear_chaining, op2_boosted_quality_rules, op3_line_window_dedup, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle, op8_bit_sliced_top_k, op9_markov_secret_scan, op10_zip_packaged_warc)
+    f.__name__: f for f in (op1_collinear_chaining, op2_boosted_quality_rules, op3_line_window_dedup, op4_pitman_yor_scores, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle, op8_bit_sliced_top_k, op9_markov_secret_scan, op10_zip_packaged_warc)
 }
 
 ORACLES: dict[str, str] = {"op3_line_window_dedup": line_dedup.ORACLE_SQL, "op8_bit_sliced_top_k": bitslice.ORACLE_SQL, "op10_zip_packaged_warc": warc_zip.ORACLE_SQL}
