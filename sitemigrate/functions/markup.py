@@ -25,7 +25,7 @@ _RAW_TEXT = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "te
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _BLOCK = re.compile(r"^\s*(wp:[A-Za-z0-9_-]+)\s+(\{.*\})\s*/?\s*$", re.S)
 _JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-_CSS = re.compile(r"/\*.*?(?:\*/|$)|url\(\s*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|((?:[^\s\"'()\\]|\\.)*))\s*\)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S | re.I)
+_CSS = re.compile(r"/\*.*?(?:\*/|$)|url\(\s*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|((?:[^\s\"'()\\]|\\[0-9A-Fa-f]{1,6}\s?|\\.)*))\s*\)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S | re.I)
 _CSS_ESCAPE = re.compile(r"\\(?:([0-9A-Fa-f]{1,6})\s?|(.))", re.S)
 _HOST = r"(?:[^\W_]|[%\-]|[^\x00-\x7F\s«»“”‘’])+"
 _TEXT_URL = re.compile(rf"(?<![\w@/.:%-])(?:(?P<scheme>https?)://|(?P<slashes>//))?(?P<host>{_HOST}(?:\.{_HOST})*)(?P<port>:\d{{1,5}}(?!\d))?(?P<path>[/?#][^\s<>]*)?", re.I)
