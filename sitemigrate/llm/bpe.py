@@ -188,6 +188,16 @@ class Codec:
     """
 
     def __init__(self, path: str):
+        model = self.read(path)
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.automaton = Automaton(model["vocab"], merges)
+        self.table = self.automaton.table(self.suffix)
+        self.letters = byte_letters()
+        self.words = Chunks(self._word, 400_000)
+        self.chunks = Chunks(self._chunk, 500_000)
+
+    def read(self, path: str) -> dict:
+        """Takes the rules and labels of a vocabulary file, and returns its model."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -195,27 +205,26 @@ class Codec:
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or level["type"] != "ByteLevel" or not model["end_of_word_suffix"]:
             raise ValueError(f"{path}: not a word-end BPE with NFC, blank and case normalisation")
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.suffix = model["end_of_word_suffix"]
-        self.automaton = Automaton(model["vocab"], merges)
-        self.table = self.automaton.table(self.suffix)
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.letters = byte_letters()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
-        self.words = Chunks(self._word, 400_000)
-        self.chunks = Chunks(self._chunk, 500_000)
+        return model
+
+    def split(self, chunk: str) -> list[str]:
+        """The words of a chunk without blanks, normalised."""
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # no final form of sigma
+        return self.pieces.findall(chunk.lower())
 
     def _word(self, piece: str) -> bytes:
         letters = "".join([self.letters[b] for b in piece.encode("utf-8")])
         return array("I", self.automaton.encode(letters, self.table)).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # no final form of sigma
-        return b"".join(map(self.words.__getitem__, self.pieces.findall(chunk.lower())))
+        return b"".join(map(self.words.__getitem__, self.split(chunk)))
 
     def _plain(self, text: str) -> bytes:
         parts = text.split()

@@ -9,20 +9,103 @@ sequences s..s+m at offset o"; each piece finds its place from its length and it
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitemigrate.llm.bpe import codec
+from sitemigrate.llm.bpe import Codec
 from sitemigrate.llm.common import materialize
 
 CAPACITY = 4096
 
 
+class BatchCodec(Codec):
+    """Ids of groups of texts, new words encoded by the tokenizers library many at a time.
+
+    A word of the vocabulary's split pattern is encoded by itself, and its last id is one with the word-end suffix. So new
+    words are joined with blanks, and the ids of the whole are cut at such ids.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.read(path)
+        self.ends = np.array([x.endswith(self.suffix) for x in self.labels])
+        self.most = most
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, dict[str, bytes]] = {"chunks": {}, "words": {}}
+
+    def _missing(self, cache: str, keys: set[str]) -> list[str]:
+        """Keys that neither generation of a cache has; those of the older one move to the newer one."""
+        young, old = getattr(self, cache), self.old[cache]
+        if len(young) > self.most:
+            self.old[cache] = old = young
+            young = {}
+            setattr(self, cache, young)
+        new = keys.difference(young)
+        known = new.intersection(old)
+        young.update((k, old[k]) for k in known)
+        return list(new - known)
+
+    def _encode_words(self, words: list[str]) -> None:
+        texts = [" ".join(words[lo : lo + 1000]) for lo in range(0, len(words), 1000)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own, ids = words[1000 * k : 1000 * k + 1000], np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(own):  # a word that the library cuts on its own account
+                self.words.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in own)
+                continue
+            data = ids.tobytes()
+            self.words.update(zip(own, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null text has none. Texts that may hold special tokens go whole.
+
+        Texts are cut at ASCII blanks, where no word goes on, and A-Z is lowered first, so that chunks repeat more often; only
+        distinct chunks become Python strings, and the ids of all are put together by index.
+        """
+        texts = texts.fill_null("")
+        special = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = self._missing("chunks", set(names))
+        pieces = [self.split(c) for c in new]
+        self._encode_words(self._missing("words", set().union(*pieces)))
+        words = self.words.__getitem__
+        self.chunks.update((c, b"".join(map(words, p))) for c, p in zip(new, pieces))
+        of = list(map(self.chunks.__getitem__, names))
+        length = np.fromiter(map(len, of), np.int64, len(of)) // 4
+        first, data = np.cumsum(length) - length, np.frombuffer(b"".join(of), "<u4")
+        at = coded.indices.to_numpy()
+        n, ends = length[at], np.concatenate(([0], np.cumsum(length[at])))
+        ids = data[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        out = [ids[lo:hi].tobytes() for lo, hi in zip(offsets, offsets[1:])]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
+_codecs: dict[str, BatchCodec] = {}
+
+
+def batch_codec(path: str) -> BatchCodec:
+    """The codec of a vocabulary file, loaded once in a Python process."""
+    if path not in _codecs:
+        _codecs[path] = BatchCodec(path)
+    return _codecs[path]
+
+
 def tokenize_pieces(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of at most ``capacity`` tokens.
 
@@ -34,15 +117,15 @@ def tokenize_pieces(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity:
         raise ValueError("capacity must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocab_path)
+        c = batch_codec(vocab_path)
         end = end_id.to_bytes(4, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
                 row, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
-                for i, text in enumerate(part.column(1)):
-                    ids = c.encode(text.as_py()) + end
+                for i, ids in enumerate(c.encode_all(part.column(1))):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         n = len(own) // 4
