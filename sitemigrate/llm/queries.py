@@ -45,7 +45,7 @@ def op3_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_meet_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents")).drop("group_fp")
+    return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents")).drop("group_fp", "text_hash")
 
 
 def op8_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

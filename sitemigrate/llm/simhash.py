@@ -170,13 +170,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = 2) -> DataFrame:
-    """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id`` and ``group_fp`` (long).
+    """One row per input row: id, ``fingerprint`` (16 hex digits), ``component_id``, ``group_fp`` and ``text_hash`` (long).
 
     ``component_id`` is the smallest id among rows reachable over links; ``group_fp`` names the component even where ids
     repeat or are null. Null and empty texts have fingerprint zero and link like any other. Null ids take part and never
     are the smallest, unless a component has no other (then null). Other columns are not read.
     """
-    own = docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("fp"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _fingerprints(F.col(text_col)).alias("fp"))
     own = materialize(spark, own, "fingerprints")
     distinct = materialize(spark, own.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
     spread = distinct.select("fp").repartition(n_partitions(spark))  # also where a few files hold all fingerprints
@@ -185,14 +185,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     named = materialize(spark, named, "named")
     smallest = named.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
     of = materialize(spark, named.join(materialize(spark, smallest, "smallest"), "group_fp").select("fp", "group_fp", "component_id"), "groups")
-    return own.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
+    return own.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp", "text_hash")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (of repeated ids, any one row)."""
     groups = near_duplicates(spark, docs, id_col, text_col)
-    keep = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id"), F.col("group_fp").alias("__group")).agg(F.min("fingerprint").alias("__fp"))
-    rows = docs.withColumn("__own_fp", F.lower(F.lpad(F.hex(_fingerprints(F.col(text_col))), 16, "0")))
-    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__own_fp"] == keep["__fp"]))
-    repeated = kept.groupBy("__id", "__group").agg(*(F.first(c).alias(c) for c in docs.columns))
-    return repeated.select(*docs.columns)
+    firsts = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("group_fp").alias("__group"), F.col("text_hash").alias("__hash"))
+    keep = materialize(spark, firsts.groupBy("__id", "__group").agg(F.min("__hash").alias("__hash"), F.count("*").alias("__n")), "firsts")
+    rows = docs.withColumn("__own_hash", F.xxhash64(text_col))
+    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__own_hash"] == keep["__hash"]))
+    alone = kept.filter("__n = 1").select(*docs.columns)  # most rows: no copy of them has their id
+    repeated = kept.filter("__n > 1").groupBy("__id", "__group").agg(*(F.first(c).alias(c) for c in docs.columns))
+    return alone.unionByName(repeated.select(*docs.columns))
