@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Past here lie scripts that the regex module's tables have and the tokenizers library's don't.
+NEWER = "\U000323af"
 BLANK = regex.compile(r"\p{White_Space}+")
 
 
@@ -193,8 +195,8 @@ class Codec:
         self.automaton = Automaton(model["vocab"], merges)
         self.table = self.automaton.table(self.suffix)
         self.letters = byte_letters()
-        self.words = Chunks(self._word, 400_000)
-        self.chunks = Chunks(self._chunk, 500_000)
+        self.words = Chunks(self._word, 250_000)
+        self.chunks = Chunks(self._chunk, 250_000)
 
     def read(self, path: str) -> dict:
         """Takes the rules and labels of a vocabulary file, and returns its model."""
@@ -216,7 +218,10 @@ class Codec:
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk without blanks, normalised."""
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # no final form of sigma
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # no final form of sigma
+            if max(chunk, default="") > NEWER:  # no letters yet in the tables of the library
+                known = "".join("\U000fffff" if c > NEWER and unicodedata.category(c) == "Cn" else c for c in chunk)
+                return [chunk[m.start() : m.end()] for m in self.pieces.finditer(known)]
         return self.pieces.findall(chunk.lower())
 
     def _word(self, piece: str) -> bytes:

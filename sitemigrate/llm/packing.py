@@ -32,7 +32,7 @@ class BatchCodec(Codec):
     words are joined with blanks, and the ids of the whole are cut at such ids.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
