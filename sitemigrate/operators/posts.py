@@ -29,7 +29,8 @@ def route_posts(posts: DataFrame, post_types: DataFrame, seen: DataFrame | None
     reason = F.when(F.col("__type").isNull(), "invalid post type").when(has_id & F.col("__seen").isNotNull(), "already handled").when(F.col("status") == "auto-draft", "auto-draft")
     out = out.withColumn("reason", reason)
     handled = F.col("reason").isNull()
-    nth = F.sum(handled.cast("int")).over(Window.partitionBy("export_id", "post_id", has_id).orderBy("doc_pos"))
+    alone = F.when(~has_id, F.col("doc_pos"))  # items without an id don't meet in one partition
+    nth = F.sum(handled.cast("int")).over(Window.partitionBy("export_id", "post_id", alone).orderBy("doc_pos"))
     out = out.withColumn("__nth", F.when(has_id & handled, nth)).withColumn("reason", F.when(F.col("__nth") > 1, "already handled").otherwise(F.col("reason")))
     route = F.when(F.col("reason") == "invalid post type", "reject").when(F.col("reason").isNotNull(), "skip").when(F.col("post_type") == "nav_menu_item", "menu").otherwise("post")
     return out.withColumn("route", route).drop("__type", "__seen", "__nth")

@@ -40,8 +40,8 @@ def import_stream(spark: SparkSession, path: str, site_path: str, checkpoint: st
             result.site.write(target)
             session.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{site_path}/v={number}/done")
 
-    stream = spark.readStream.format("text").option("recursiveFileLookup", "true").option("wholetext", "false").option("maxFilesPerTrigger", "1000").load(path)
-    names = stream.select(F.col("_metadata.file_path").alias("path"))
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1000").load(path)
+    names = files.select("path")  # without the content, which only the import reads
     writer = names.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
