@@ -53,6 +53,17 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``columns``; all rows, if there are no more.
+
+    Only rows below a threshold that lets somewhat more than ``n`` through are ordered, so no task gets rows of all others.
+    """
+    total = df.count()
+    share = min(1.0, (1.2 * n + 200) / max(total, 1))
+    key = F.pmod(F.xxhash64(*columns), F.lit(1 << 31))
+    return df.withColumn("__key", key).filter(F.col("__key") <= int(share * (1 << 31))).orderBy("__key", *columns).limit(n).drop("__key")
+
+
 def ascii_lower(col: Column | str) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

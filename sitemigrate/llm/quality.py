@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitemigrate.llm.common import window_hashes, word_hashes
+from sitemigrate.llm.common import hash_sample, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 #: (name, -1 if the score may only fall as the feature rises, else 0)
@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Labels with a null id or value are left out; of a repeated id, the smallest label counts and one of its texts.
     """
-    sample = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna().orderBy(F.xxhash64("__id"), "__id", "__label").limit(max_labels)
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna()
+    sample = hash_sample(known, ["__id", "__label"], max_labels)
     sample = sample.groupBy("__id").agg(F.min("__label").alias("__label"))
     labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")  # at most max_labels rows
     rows = labelled.select("__id", "__label", _features("__text").alias("x")).groupBy("__id", "__label").agg(F.min("x").alias("x")).orderBy("__id").collect()

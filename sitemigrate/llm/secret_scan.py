@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitemigrate.llm.common import hash_sample
+
 #: The patterns, and the least length of what counts (for assign of group 2, else of the match).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -55,7 +57,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     The sample is the ``sample_docs`` documents with the smallest hashes of their ids and texts. Only counts of pairs, at
     most 2 * 128 * 128 rows, come to the driver.
     """
-    sample = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).orderBy(F.xxhash64(F.col("text")), F.length("text")).limit(sample_docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = hash_sample(rows, ["id", "text"], sample_docs).select("text")
     random = sample.select(F.explode(base_spans(F.col("text"))).alias("x")).select(F.col("x.value").alias("s"), F.lit(True).alias("random"))
     ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("s")).select("s", F.lit(False).alias("random"))
     strings = random.unionByName(ordinary).distinct()
