@@ -97,3 +97,10 @@ def attachment_source(attachment_url: Column | str, guid: Column | str, base_url
 
 def sticky(posts: DataFrame) -> DataFrame:
     return posts.filter("is_sticky = 1").select("export_id", "post_id")
+
+
+def key_report(batch: DataFrame, site: DataFrame) -> DataFrame:
+    """Each distinct natural key of a batch with ``there``: whether the site has it."""
+    keys = batch.select(*NATURAL_KEY).distinct()
+    known = keys.intersect(site.select(*NATURAL_KEY))
+    return known.withColumn("there", F.lit(True)).unionByName(keys.exceptAll(known).withColumn("there", F.lit(False)))

@@ -166,6 +166,23 @@ def sticky_posts(spark, d):
     return posts.sticky(rows).join(rows.select("post_id", "o_orderpriority"), "post_id").groupBy("o_orderpriority").agg(F.count("*").alias("n_sticky"))
 
 
+@query("""
+WITH b AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS post_title, strftime(o_orderdate, '%Y') AS post_date, o_orderstatus AS post_type FROM orders WHERE o_orderkey % 2 = 1),
+s AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS post_title, strftime(o_orderdate, '%Y') AS post_date, o_orderstatus AS post_type FROM orders WHERE o_orderkey % 2 = 0)
+SELECT post_type, EXISTS (SELECT 1 FROM s WHERE s = b) AS there, count(*) AS n FROM b GROUP BY 1, 2
+""".replace("s = b", "s.post_title = b.post_title AND s.post_date = b.post_date AND s.post_type = b.post_type"))
+def key_report(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("post_title"), F.date_format("o_orderdate", "yyyy").alias("post_date"), F.col("o_orderstatus").alias("post_type"))
+    return posts.key_report(rows.filter("o_orderkey % 2 = 1"), rows.filter("o_orderkey % 2 = 0")).groupBy("post_type", "there").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS import_id, 'Document ' || doc_id AS post_title, 'publish' AS post_status, CASE WHEN doc_id % 7 = 0 THEN 'page' ELSE 'post' END AS post_type, doc_id // 2 AS post_parent, md5(text) AS content_hash FROM documents")
+def loaded_columns(spark, d):
+    """The columns that are loaded, under their names in the site."""
+    loaded = posts.loaded_columns(document_posts(spark, d))
+    return loaded.select("import_id", "post_title", "post_status", "post_type", "post_parent", F.md5("post_content").alias("content_hash"))
+
+
 # --- authors -----------------------------------------------------------------------------------------------------------
 
 DIRTY = "CASE o_orderkey % 3 WHEN 0 THEN '  ' || c_name WHEN 1 THEN '<b>' || c_name || '</b>' ELSE replace(c_name, '#', '  ') END"
@@ -274,6 +291,16 @@ def post_terms_bridge(spark, d):
     return terms.term_counts(terms.post_terms_bridge(links)).withColumnRenamed("term_id", "term")
 
 
+@query("SELECT 'brand' AS taxonomy, lower(p_brand) AS slug, p_size::VARCHAR AS value, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM part s WHERE s.p_size < 3 AND s.p_partkey % 10 = 0 AND s.p_brand = part.p_brand) GROUP BY 1, 2, 3")
+def new_term_meta(spark, d):
+    """Metadata of brands that the site lacks."""
+    part = table(spark, d, "part")
+    site = part.filter("p_size < 3 AND p_partkey % 10 = 0").select(F.lit("brand").alias("taxonomy"), F.lower("p_brand").alias("slug"), F.col("p_partkey").alias("term_id"))
+    made = terms.get_or_create(_part_terms(spark, d), site, ["phase", "doc_pos"]).withColumn("term_id", F.lit(0))
+    rows = part.select(F.lit("brand").alias("taxonomy"), F.lower("p_brand").alias("slug"), F.lit("size").alias("key"), F.col("p_size").cast("string").alias("value"))
+    return terms.new_term_meta(rows, made).groupBy("taxonomy", "slug", "value").agg(F.count("*").alias("n"))
+
+
 # --- comments ----------------------------------------------------------------------------------------------------------
 
 
@@ -360,6 +387,18 @@ def meta_decode(spark, d):
     return meta.decode_serialized(rows).drop("value")
 
 
+@query("""
+WITH e AS (SELECT event_type AS key, user_id::VARCHAR AS value, event_id % 2 = 0 AS old FROM events), n AS (SELECT DISTINCT key, value FROM e WHERE NOT old EXCEPT SELECT key, value FROM e WHERE old)
+SELECT key, sum(appended)::BIGINT AS n_appended, sum(deduped)::BIGINT AS n_deduped FROM (SELECT key, 1 AS appended, old::INT AS deduped FROM e UNION ALL SELECT key, 0, 1 FROM n) GROUP BY 1
+""")
+def meta_append(spark, d):
+    """Site metadata and a second import's, as it is and without repeats."""
+    rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"))
+    site, new = rows.filter("event_id % 2 = 0").drop("event_id"), rows.filter("event_id % 2 = 1").drop("event_id")
+    count = lambda df, name: df.groupBy("key").agg(F.count("*").alias(name))
+    return count(meta.append(site, new), "n_appended").join(count(meta.append(site, new, dedupe=True), "n_deduped"), "key")
+
+
 # --- menus -------------------------------------------------------------------------------------------------------------
 
 
@@ -450,6 +489,22 @@ def url_remap(spark, d):
     return urls.apply_url_remap(texts, urls.last_remap(base.unionByName(earlier).unionByName(more)), "text").select(F.col("export_id").alias("page_id"), "text")
 
 
+@query("""
+SELECT page_id, 'a https://cdn.example.com/' || page_id || '.png b https://cdn.example.com/' || page_id || '-2x.png' AS text FROM pages WHERE page_id % 4 <> 0
+UNION ALL SELECT page_id, 'a ' || 'https://old.example.org/f/' || page_id || '.png b https://old.example.org/f/' || page_id || '-2x.png' FROM pages WHERE page_id % 4 = 0
+""")
+def attachment_remap(spark, d):
+    """Texts with the URLs of fetched attachments, and of their resized copies, replaced; those of failed fetches stay."""
+    k = F.col("page_id").cast("string")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("export_id"), F.col("page_id").alias("post_id"), F.concat(F.lit("https://old.example.org/f/"), k, F.lit(".png")).alias("url"), F.concat(F.lit("https://cdn.example.com/"), k, F.lit(".png")).alias("new_url"))
+    checked = attachments.validate_fetches(pages.select("export_id", "post_id", F.lit(None).cast("string").alias("error"), F.when(F.col("post_id") % 4 == 0, 500).otherwise(200).alias("status"), F.lit(True).alias("has_headers"), F.lit(9).alias("file_size"), F.lit(None).cast("long").alias("content_length"), F.lit(None).cast("string").alias("content_encoding")))
+    done = attachments.without_failed(pages, checked).withColumn("guid", F.col("url")).withColumn("final_location", F.lit(None).cast("string"))
+    remaps = attachments.remap_rows(done)
+    remaps = urls.last_remap(remaps.unionByName(urls.resized_stubs(remaps).select(*remaps.columns)))
+    texts = pages.select("export_id", F.concat(F.lit("a "), "url", F.lit(" b "), F.replace("url", F.lit(".png"), F.lit("-2x.png"))).alias("text"))
+    return urls.apply_url_remap(texts, remaps, "text").select(F.col("export_id").alias("page_id"), "text")
+
+
 # --- URLs --------------------------------------------------------------------------------------------------------------
 
 HREFS = r"""regexp_extract_all(html, '<a(?:\s[^>]*)?\shref="([^"]+)"', 1)"""
@@ -490,6 +545,12 @@ def _host_mapping(spark, d):
 HOST_SQL = "regexp_extract(url, '^([a-z]+)://', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS rest"
 
 
+@query("SELECT page_id::VARCHAR AS export_id, 0 AS ord, rtrim(url, '/') || '/' AS from_base, 'https://new.example.com/' AS to_base FROM pages WHERE page_id % 2 = 0")
+def url_site_mappings(spark, d):
+    headers = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("export_id"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("not a url").alias("base_url"))
+    return urls.site_mappings(headers, headers.select("export_id", F.lit("https://new.example.com").alias("site_url")))
+
+
 @query(f"SELECT page_id, CASE WHEN length(h) % 2 = 0 THEN s || '://' || h || '/' END AS from_base FROM (SELECT page_id, {HOST_SQL} FROM pages)")
 def url_child_match(spark, d):
     return urls.match_mappings(table(spark, d, "pages").select("page_id", F.col("url").alias("decoded")), _host_mapping(spark, d)).select("page_id", "from_base")
@@ -639,10 +700,13 @@ def _counts(site: SiteTables) -> DataFrame:
     return out
 
 
-@query("""
+COUNTS = """
 SELECT 'users' AS entity, count(DISTINCT lang) AS n FROM documents UNION ALL SELECT 'terms', count(DISTINCT lang) FROM documents UNION ALL SELECT 'posts', count(*) FROM documents
 UNION ALL SELECT 'post_terms', count(*) FROM documents UNION ALL SELECT 'comments', 0
-""")
+"""
+
+
+@query(COUNTS)
 def import_idempotent(spark, d):
     """All documents imported twice; the second time adds no users, terms, posts or comments."""
     path = document_exports(spark, d)
@@ -673,7 +737,7 @@ def import_report(spark, d):
     return report.groupBy("entity", "outcome").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query(COUNTS)
 def stream_import(spark, d):
     """Exports of all documents, imported as a stream that ends when no files are left."""
     from sitemigrate.streaming import ingest
@@ -685,7 +749,7 @@ def stream_import(spark, d):
     return _counts(SiteTables.read(spark, ingest.latest_version(spark, f"{root}/site")))
 
 
-@query()
+@query("SELECT count(*) AS n_items, count(*) AS n_distinct FROM documents")
 def stream_repeated_items(spark, d):
     """Items of a folder that holds every export twice, each item once."""
     from sitemigrate.streaming import ingest
