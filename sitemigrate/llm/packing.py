@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitemigrate.llm.bpe import Codec
 from sitemigrate.llm.common import materialize
@@ -32,7 +33,7 @@ class BatchCodec(Codec):
     words are joined with blanks, and the ids of the whole are cut at such ids.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
@@ -121,8 +122,8 @@ def tokenize_pieces(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity:
         end = end_id.to_bytes(4, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 row, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
                 for i, ids in enumerate(c.encode_all(part.column(1))):
                     ids += end
@@ -253,20 +254,16 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY
     table = np.array(rows or [(0, 0, 0, 0, 0)], np.int64)
     key = table[:, 0] << 48 | table[:, 1]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            length, rank = (batch.column(at[c]).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            row = np.searchsorted(key, length << 48 | rank, "right") - 1
-            sequence, offset = table[row, 3] + rank - table[row, 1], table[row, 4]
-            keep = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
+    @F.arrow_udf(T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        length, rank = lengths.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
+        row = np.searchsorted(key, length << 48 | rank, "right") - 1
+        return pa.StructArray.from_arrays([pa.array(table[row, 3] + rank - table[row, 1]), pa.array(table[row, 4])], ["sequence_id", "offset"])
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = by.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(start, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    ranked = pieces.join(start, ["length", "part"]).withColumn("__at", place("length", F.col("rank") + F.col("before")))  # ids stay out of Python
+    return ranked.select(*(c for c in pieces.columns if c not in ("part", "rank")), "__at.*")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
