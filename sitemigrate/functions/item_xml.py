@@ -8,8 +8,9 @@ import xml.etree.ElementTree as ET
 from sitemigrate import schema
 
 #: The namespaces of the format.
-WP = {f"{scheme}://wordpress.org/export/{v}/" for scheme in ("http", "https") for v in ("1.0", "1.1", "1.2")}
-EXCERPT = {f"{scheme}://wordpress.org/export/{v}/excerpt/" for scheme in ("http", "https") for v in ("1.0", "1.1", "1.2")}
+EXPORT = "wordpress.org/export"
+WP = {f"{scheme}://{EXPORT}/{v}/" for scheme in ("http", "https") for v in ("1.0", "1.1", "1.2")}
+EXCERPT = {f"{uri}excerpt/" for uri in WP}
 CONTENT = "http://purl.org/rss/1.0/modules/content/"
 DC = "http://purl.org/dc/elements/1.1/"
 

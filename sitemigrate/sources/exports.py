@@ -18,10 +18,7 @@ from sitemigrate import schema
 from sitemigrate.functions import item_xml
 from sitemigrate.storage import exists
 
-DEFAULT_ROOT = (
-    '<rss version="2.0" xmlns:excerpt="http://wordpress.org/export/1.2/excerpt/" xmlns:content="http://purl.org/rss/1.0/modules/content/" '
-    'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:wp="http://wordpress.org/export/1.2/">'
-)
+DEFAULT_ROOT = f'<rss version="2.0" xmlns:excerpt="http://{item_xml.EXPORT}/1.2/excerpt/" xmlns:content="{item_xml.CONTENT}" xmlns:dc="{item_xml.DC}" xmlns:wp="http://{item_xml.EXPORT}/1.2/">'
 
 
 # --- scanning ----------------------------------------------------------------------------------------------------------

@@ -1,12 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sitemigrate.functions.item_xml import EXPORT
 from sitemigrate.sources import exports
 
-HEAD = (
-    '<?xml version="1.0"?>\n<rss version="2.0" xmlns:excerpt="http://wordpress.org/export/1.2/excerpt/" xmlns:content="http://purl.org/rss/1.0/modules/content/" '
-    'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:wp="http://wordpress.org/export/1.2/">\n<channel><title>T</title>'
-)
+HEAD = f'<?xml version="1.0"?>\n{exports.DEFAULT_ROOT}\n<channel><title>T</title>'
 
 
 def export(tmp_path, name, body, version="1.2", head=HEAD):
@@ -55,7 +53,7 @@ def test_many_splits_find_every_item_in_order(spark, tmp_path):
 def test_namespaces_decide_and_the_last_element_wins(spark, tmp_path):
     body = (
         '<item><wp:post_id>1</wp:post_id><wp:post_id>999</wp:post_id><title>t</title><other:title xmlns:other="urn:x">no</other:title></item>'
-        '<item><post_id xmlns="http://wordpress.org/export/1.0/">5</post_id><x:post_type xmlns:x="https://wordpress.org/export/1.1/">page</x:post_type></item>'
+        f'<item><post_id xmlns="http://{EXPORT}/1.0/">5</post_id><x:post_type xmlns:x="https://{EXPORT}/1.1/">page</x:post_type></item>'
         '<item xmlns:wp="urn:other"><wp:post_id>7</wp:post_id></item>'
     )
     rows, _, _ = parsed(spark, export(tmp_path, "a.xml", body))
