@@ -33,7 +33,7 @@ class BatchCodec(Codec):
     words are joined with blanks, and the ids of the whole are cut at such ids.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 180_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
@@ -122,8 +122,8 @@ def tokenize_pieces(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity:
         end = end_id.to_bytes(4, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
                 row, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
                 for i, ids in enumerate(c.encode_all(part.column(1))):
                     ids += end
