@@ -6,7 +6,8 @@
 2. Chains: links of one pair of documents on one diagonal merge to blocks; blocks are chained in the order of both
    documents, at a gap cost, with a Fenwick tree over the places in the earlier document.
 3. Alignment: the words between a chain's blocks, and beyond its ends, are aligned, so that replaced, added and missing
-   words inside a passage are bridged. A document's aligned spans merge to passages.
+   words inside a passage are bridged; a chain that isn't dense enough is cut at its gaps. A document's aligned spans
+   merge to passages.
 """
 
 from __future__ import annotations
@@ -182,17 +183,21 @@ def _chain_bucket(least: int):
 
 
 def align(a: list[int], b: list[int]) -> int:
-    """The most words of two short runs that can be matched in order (the longest common subsequence)."""
-    if not a or not b:
-        return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = diagonal = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            left = diagonal + 1 if x == y else max(left, up)
-            diagonal, row[j] = up, left
-    return row[-1]
+    """The most words of two runs that can be matched in order (the longest common subsequence), with a bit for each word.
+
+    Exact for any lengths: a word of ``b`` costs a few operations on an integer with one bit for each word of ``a``.
+    """
+    common = set(a).intersection(b)
+    a, b = [w for w in a if w in common], [w for w in b if w in common]
+    places: dict[int, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & places[w]
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def extend(a: list[int], b: list[int], slack: int = 2) -> tuple[int, int, int]:
@@ -213,25 +218,53 @@ def extend(a: list[int], b: list[int], slack: int = 2) -> tuple[int, int, int]:
         i, j = i + again[0], j + again[1]
 
 
-def align_chain(own: list[int], other: list[int], start: int, from_at: int, xs: list[int], ys: list[int], ns: list[int]) -> tuple[int, int, int, int, int] | None:
-    """(start, stop, other's start, other's stop, matched words) of an aligned chain; None if the words don't agree.
+def align_chain(own: list[int], other: list[int], start: int, from_at: int, xs: list[int], ys: list[int], ns: list[int], least: int = 12, min_identity: float = 0.7) -> list[tuple[int, int, int, int, int]]:
+    """(start, stop, other's start, other's stop, matched words) of an aligned chain; nothing if the words don't agree.
 
-    ``own`` and ``other`` hold the words' hashes from places ``start`` and ``from_at`` on.
+    ``own`` and ``other`` hold the words' hashes from places ``start`` and ``from_at`` on. A chain of which less than
+    ``min_identity`` matches is cut at its gaps: every run of blocks that is dense enough, and in no longer such run, comes
+    out by itself (runs may overlap), if it has ``least`` matched words.
     """
-    matched = 0
-    for k, (x, y, n) in enumerate(zip(xs, ys, ns)):
-        x, y = x - start, y - from_at
-        if own[x : x + n] != other[y : y + n] or len(own[x : x + n]) < n:
-            return None
-        matched += n
+    x, y, n = np.array(xs) - start, np.array(ys) - from_at, np.array(ns)
+    m, gap = len(xs), np.zeros(len(xs), np.int64)
+    before, after = np.zeros((m, 3), np.int64), np.zeros((m, 3), np.int64)  # extensions of each block where the chain is cut
+    between = []
+    for k, (i, j, c) in enumerate(zip(x.tolist(), y.tolist(), ns)):
+        if own[i : i + c] != other[j : j + c] or len(own[i : i + c]) < c:
+            return []
         if k:
-            px, py = xs[k - 1] + ns[k - 1] - start, ys[k - 1] + ns[k - 1] - from_at
-            if (x - px) * (y - py) <= 40_000:
-                matched += align(own[px:x], other[py:y])
-    first_x, first_y, last_x, last_y = xs[0] - start, ys[0] - from_at, xs[-1] + ns[-1] - start, ys[-1] + ns[-1] - from_at
-    left = extend(own[:first_x][::-1], other[:first_y][::-1])
-    right = extend(own[last_x:], other[last_y:])
-    return start + first_x - left[0], start + last_x + right[0], from_at + first_y - left[1], from_at + last_y + right[1], matched + left[2] + right[2]
+            between.append((own[x[k - 1] + ns[k - 1] : i], other[y[k - 1] + ns[k - 1] : j]))
+            gap[k] = align(*between[-1])
+    before[0] = extend(own[: x[0]][::-1], other[: y[0]][::-1])
+    after[-1] = extend(own[x[-1] + n[-1] :], other[y[-1] + n[-1] :])
+    stop_m = np.cumsum(gap + n)
+    start_m = stop_m - n
+
+    def ends(grow: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in both documents and matched words where a run of blocks starts, and where it stops."""
+        return np.stack((x, y, start_m), 1) - grow * before, np.stack((x + n, y + n, stop_m), 1) + grow * after
+
+    def spans(i: int, lo: int, starts: np.ndarray, stops: np.ndarray) -> tuple[int, np.ndarray | None]:
+        """The last block, from ``lo`` on, at which a dense run from block ``i`` stops."""
+        size = stops[lo:] - starts[i]
+        dense = np.flatnonzero(size[:, 2] >= min_identity * size[:, :2].max(axis=1))
+        return (lo + int(dense[-1]), size[dense[-1]]) if len(dense) else (-1, None)
+
+    found, far, variants = [], -1, [ends(1)]
+    if spans(0, m - 1, *variants[0])[0] < 0:
+        for k, (a, b) in enumerate(between):
+            after[k], before[k + 1] = extend(a, b), extend(a[::-1], b[::-1])
+        variants = [ends(1), ends(0)]
+    for i in range(m):
+        if far == m - 1:
+            break
+        best = max(((*spans(i, max(i, far + 1), *v), -k) for k, v in enumerate(variants)), key=lambda r: (r[0], r[2]))
+        if best[0] > far:
+            far, size = best[0], best[1]
+            at = variants[-best[2]][0][i]
+            if size[2] >= least:
+                found.append((start + int(at[0]), start + int(at[0] + size[0]), from_at + int(at[1]), from_at + int(at[1] + size[1]), int(size[2])))
+    return found
 
 
 def chains(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12) -> DataFrame:
@@ -243,8 +276,8 @@ def chains(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     return links.groupBy("bucket").applyInArrow(_chain_bucket(least), CHAINS)
 
 
-def aligned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12) -> DataFrame:
-    """Aligned chains: doc, other, start, stop, other_start, other_stop, matched (places in words, stop exclusive).
+def aligned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, min_identity: float = 0.7) -> DataFrame:
+    """Aligned chains, cut where they aren't dense: doc, other, start, stop, other_start, other_stop, matched (places in words, stop exclusive).
 
     Both sides of a chain ask for a slice of their document's words; one join brings the texts, split where many chains
     ask for one document.
@@ -278,8 +311,7 @@ def aligned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         for batch in batches:
             rows = []
             for doc, other, start, from_at, xs, ys, ns, own, others in zip(*(batch.column(k).to_pylist() for k in range(9))):
-                if (r := align_chain(own, others, start, from_at, xs, ys, ns)) is not None:
-                    rows.append((doc, other, *r))
+                rows += [(doc, other, *r) for r in align_chain(own, others, start, from_at, xs, ys, ns, least, min_identity)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names)
 
     columns = ["doc", "other", "start", "from_at", "xs", "ys", "ns", "words_0", "words_1"]
@@ -292,11 +324,11 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     Columns: id, ``start``, ``stop`` (places of words, stop exclusive), ``n_words``, ``matched`` (words matched at most once
     for each source), ``sources`` (sorted ids of the earlier documents, one link for each seed's first occurrence) and
     ``spans`` (for each aligned chain: source, start, stop, source's start and stop). Spans that overlap or lie within
-    ``join_within`` words merge; a passage has ``min_words`` words at least, ``min_identity`` of a chain's words match.
+    ``join_within`` words merge; a passage has ``min_words`` words at least, ``min_identity`` of an aligned span's words match.
     Rows with a null id or text, or with few words, find nothing. Rows that repeat an id are one document; a chain counts if
     it holds in any of their texts. Repeats within one document are none across documents.
     """
-    spans = aligned(spark, docs, id_col, text_col).filter(F.col("matched") >= min_identity * F.greatest(F.col("stop") - F.col("start"), F.col("other_stop") - F.col("other_start")))
+    spans = aligned(spark, docs, id_col, text_col, min_identity=min_identity)
     earlier = Window.partitionBy("doc").orderBy("start", "stop", "other", "other_start").rowsBetween(Window.unboundedPreceding, -1)
     new = F.coalesce(F.col("start") > F.max("stop").over(earlier) + join_within, F.lit(True))
     numbered = spans.withColumn("new", new).withColumn("n", F.sum(F.col("new").cast("int")).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
