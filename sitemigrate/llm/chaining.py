@@ -1,10 +1,10 @@
 """Fuzzy passages shared across documents, found by collinear chaining of shared k-mers of words.
 
 1. Seeds: of the hashes of all runs of ``K`` words, those that are smallest in a window of ``W`` runs (any ``K + W - 1``
-   equal words share a seed). A seed's occurrences are linked to its first one, not to each other: first within a task's
+   equal words share a seed); with ``W = 1`` all runs are seeds. A seed's occurrences are linked to its first one, not to each other: first within a task's
    batch, then among the batches' first ones, so that a passage in a third of all documents makes one link for each.
 2. Chains: links of one pair of documents on one diagonal merge to blocks; blocks are chained in the order of both
-   documents, at a gap cost, with a Fenwick tree over the places in the earlier document.
+   documents, at a gap cost, with a Fenwick tree over the places in the earlier document. One seed opens a chain.
 3. Alignment: the words between a chain's blocks, and beyond its ends, are aligned, so that replaced, added and missing
    words inside a passage are bridged; a chain that isn't dense enough is cut at its gaps. A document's aligned spans
    merge to passages.
@@ -16,17 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitemigrate.llm.common import materialize, mix64, n_partitions, window_hashes, word_hashes
 
-K, W = 6, 6
+K, W = 5, 1
 GAP_COST = 0.1
 SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
 LINK = np.dtype([("doc", "<i8"), ("other", "<i8"), ("pos", "<i4"), ("at", "<i4")])
-#: How far beyond a chain's ends words are looked at.
-MARGIN = 2 * (K + W)
+#: How far beyond a chain's ends words are looked at: to both ends of a passage of 50 words with one seed.
+MARGIN = 48
+#: Seeds that a task deals at once, which bounds its memory; buckets for each shuffle partition.
+PART, SPLIT = 1 << 20, 4
 
 
 def words_of(text: str | None) -> bytes:
@@ -37,14 +40,34 @@ def words_of(text: str | None) -> bytes:
 def seeds_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place (in words) of the seeds of a text with these word hashes."""
     runs = window_hashes(hashes, K)
-    if len(runs) <= 1:
-        return runs, np.zeros(len(runs), np.int64)
+    if len(runs) <= 1 or W == 1:
+        return runs, np.arange(len(runs))
     w = min(W, len(runs))
     view = np.lib.stride_tricks.sliding_window_view(runs, w)
     at = np.unique(np.arange(len(view)) + view.argmin(axis=1))
     return runs[at], at
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """Rows as compressed planes of bytes, of each column's differences."""
+    planes = []
+    for name in rows.dtype.names:
+        v = np.ascontiguousarray(rows[name]).view(f"<u{rows.dtype[name].itemsize}")
+        planes.append(np.diff(v, prepend=v.dtype.type(0)).view(np.uint8).reshape(len(v), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(blob, kind: np.dtype) -> np.ndarray:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    rows, at = np.empty(len(data) // kind.itemsize, kind), 0
+    for name in kind.names:
+        size = kind[name].itemsize
+        plane = np.ascontiguousarray(data[at : at + size * len(rows)].reshape(size, -1).T)
+        rows[name] = np.cumsum(plane.view(f"<u{size}").ravel(), dtype=f"<u{size}").view(kind[name])
+        at += size * len(rows)
+    return rows
+
+
 def _by_bucket(rows: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     at = (mix64(keys.view(np.uint64)) >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(at, kind="stable")
@@ -73,19 +96,26 @@ def _link_to_first(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seed_batches(buckets: int):
+    def deal(parts: list[np.ndarray]) -> pa.RecordBatch:
+        firsts, links = _link_to_first(np.concatenate(parts) if parts else np.empty(0, SEED))
+        firsts, links = (x[np.lexsort((x["pos"], x["doc"]))] for x in (firsts, links))  # ids and places next to each other pack well
+        rows = [(b, False, _pack(x)) for b, x in _by_bucket(firsts, firsts["h"].copy(), buckets)]
+        rows += [(b, True, _pack(x)) for b, x in _by_bucket(links, links["doc"].copy(), buckets)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "linked", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
-            parts = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 h, pos = seeds_of(word_hashes(words_of(text.as_py()))[2])
                 part = np.empty(len(h), SEED)
                 part["h"], part["doc"], part["pos"] = h, doc, pos
                 parts.append(part)
-            firsts, links = _link_to_first(np.concatenate(parts) if parts else np.empty(0, SEED))
-            firsts = firsts[np.lexsort((firsts["pos"], firsts["doc"]))]  # ids and places next to each other pack well
-            rows = [(b, False, x.tobytes()) for b, x in _by_bucket(firsts, firsts["h"].copy(), buckets)]
-            rows += [(b, True, x.tobytes()) for b, x in _by_bucket(links, links["doc"].copy(), buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "linked", "blob"])
+                size += len(part)
+                if size >= PART:
+                    yield deal(parts)
+                    parts, size = [], 0
+        yield deal(parts)
 
     return run
 
@@ -94,12 +124,13 @@ def _seed_bucket(buckets: int):
     """Links by document, of the seeds in a bucket and those linked before."""
 
     def run(table: pa.Table) -> pa.Table:
-        blobs: dict[bool, list] = {True: [], False: []}
+        parts: dict[bool, list] = {True: [], False: []}
         for linked, blob in zip(table.column("linked").to_pylist(), table.column("blob").combine_chunks()):
-            blobs[linked].append(np.frombuffer(blob.as_buffer(), LINK if linked else SEED))
-        _, links = _link_to_first(np.concatenate(blobs[False]) if blobs[False] else np.empty(0, SEED))
-        links = np.concatenate([links, *blobs[True]])
-        rows = [(b, x.tobytes()) for b, x in _by_bucket(links, links["doc"].copy(), buckets)]
+            parts[linked].append(_unpack(blob.as_buffer(), LINK if linked else SEED))
+        _, links = _link_to_first(np.concatenate(parts[False]) if parts[False] else np.empty(0, SEED))
+        links = np.concatenate([links, *parts[True]])
+        links = links[np.lexsort((links["pos"], links["doc"]))]
+        rows = [(b, _pack(x)) for b, x in _by_bucket(links, links["doc"].copy(), buckets)]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -152,9 +183,9 @@ def chain_blocks(x: np.ndarray, y: np.ndarray, n: np.ndarray, gap_cost: float =
 CHAINS = "doc long, other long, start int, stop int, from_at int, to_at int, xs array<int>, ys array<int>, ns array<int>"
 
 
-def _chain_bucket(least: int):
+def _chain_bucket():
     def run(table: pa.Table) -> pa.Table:
-        links = np.concatenate([np.frombuffer(b.as_buffer(), LINK) for b in table.column("blob").combine_chunks()])
+        links = np.concatenate([_unpack(b.as_buffer(), LINK) for b in table.column("blob").combine_chunks()])
         links = np.unique(links)
         diagonal = links["pos"].astype(np.int64) - links["at"]
         links = links[np.lexsort((links["pos"], diagonal, links["other"], links["doc"]))]
@@ -166,30 +197,28 @@ def _chain_bucket(least: int):
         x, y = links["pos"][start].astype(np.int64), links["at"][start].astype(np.int64)
         n = links["pos"][stop] - links["pos"][start] + K
         pair = np.concatenate(([0], np.flatnonzero(np.concatenate(([False], apart))[start]), [len(start)]))
-        total = np.add.reduceat(n, pair[:-1])
         rows = []
-        for p in np.flatnonzero(total >= least):
+        for p in range(len(pair) - 1):
             lo, hi = int(pair[p]), int(pair[p + 1])
             doc, other = int(links["doc"][start[lo]]), int(links["other"][start[lo]])
             bx, by, bn = x[lo:hi], y[lo:hi], n[lo:hi]
             for _, blocks in chain_blocks(bx, by, bn) if hi - lo > 1 else [(float(bn[0]), [0])]:
-                if bn[blocks].sum() >= least:
-                    xs, ys, ns = bx[blocks], by[blocks], bn[blocks]
-                    rows.append((doc, other, max(0, int(xs[0]) - MARGIN), int(xs[-1] + ns[-1]) + MARGIN, max(0, int(ys[0]) - MARGIN), int(ys[-1] + ns[-1]) + MARGIN, xs.tolist(), ys.tolist(), ns.tolist()))
+                xs, ys, ns = bx[blocks], by[blocks], bn[blocks]
+                rows.append((doc, other, max(0, int(xs[0]) - MARGIN), int(xs[-1] + ns[-1]) + MARGIN, max(0, int(ys[0]) - MARGIN), int(ys[-1] + ns[-1]) + MARGIN, xs.tolist(), ys.tolist(), ns.tolist()))
         kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 3
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(["doc", "other", "start", "stop", "from_at", "to_at", "xs", "ys", "ns"], kinds))})
 
     return run
 
 
-def align(a: list[int], b: list[int]) -> int:
+def align(a: list, b: list) -> int:
     """The most words of two runs that can be matched in order (the longest common subsequence), with a bit for each word.
 
     Exact for any lengths: a word of ``b`` costs a few operations on an integer with one bit for each word of ``a``.
     """
     common = set(a).intersection(b)
     a, b = [w for w in a if w in common], [w for w in b if w in common]
-    places: dict[int, int] = {}
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -200,31 +229,42 @@ def align(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def extend(a: list[int], b: list[int], slack: int = 2) -> tuple[int, int, int]:
-    """How far two runs go on together from their starts: (words of a, words of b, matched), over up to ``slack`` gaps.
+def extend(a: list, b: list, slack: int = 2, min_identity: float = 0.7) -> tuple[int, int, int]:
+    """How far two runs go on together from their starts: (words of a, words of b, matched).
 
-    Equal words are taken; at a difference, the nearest place is tried where two words in turn are equal again.
+    Equal words are taken; at a difference, the nearest place is tried where two words in turn are equal again. Over more
+    than ``slack`` gaps, ``min_identity`` of the words must match up to there.
     """
     i = j = matched = best_i = best_j = best = gaps = 0
     while True:
         while i < len(a) and j < len(b) and a[i] == b[j]:
             i, j, matched = i + 1, j + 1, matched + 1
-        if matched > best:
+        if matched > best and (gaps <= slack or matched >= min_identity * max(i, j)):
             best_i, best_j, best = i, j, matched
         gaps += 1
         again = next(((di, s - di) for s in range(1, 5) for di in sorted(range(s + 1), key=lambda d, s=s: abs(2 * d - s)) if a[i + di : i + di + 2] == b[j + s - di : j + s - di + 2] and i + di + 1 < len(a) and j + s - di + 1 < len(b)), None)
-        if gaps > slack or again is None:
+        if again is None:
             return best_i, best_j, best
         i, j = i + again[0], j + again[1]
 
 
-def align_chain(own: list[int], other: list[int], start: int, from_at: int, xs: list[int], ys: list[int], ns: list[int], least: int = 12, min_identity: float = 0.7) -> list[tuple[int, int, int, int, int]]:
+def align_chain(own: list[bytes], other: list[bytes], start: int, from_at: int, xs: list[int], ys: list[int], ns: list[int], least: int = 12, min_identity: float = 0.7) -> list[tuple[int, int, int, int, int]]:
     """(start, stop, other's start, other's stop, matched words) of an aligned chain; nothing if the words don't agree.
 
-    ``own`` and ``other`` hold the words' hashes from places ``start`` and ``from_at`` on. A chain of which less than
+    ``own`` and ``other`` hold the words from places ``start`` and ``from_at`` on. A chain of which less than
     ``min_identity`` matches is cut at its gaps: every run of blocks that is dense enough, and in no longer such run, comes
     out by itself (runs may overlap), if it has ``least`` matched words.
     """
+    if len(xs) == 1:  # most chains are one seed and go nowhere
+        i, j, c = xs[0] - start, ys[0] - from_at, ns[0]
+        if own[i : i + c] != other[j : j + c] or len(own[i : i + c]) < c:
+            return []
+        left, right = extend(own[:i][::-1], other[:j][::-1], min_identity=min_identity), extend(own[i + c :], other[j + c :], min_identity=min_identity)
+        for l, r in ((left, right), ((0, 0, 0), (0, 0, 0))):
+            matched = c + l[2] + r[2]
+            if matched >= least and matched >= min_identity * (c + max(l[0] + r[0], l[1] + r[1])):
+                return [(xs[0] - l[0], xs[0] + c + r[0], ys[0] - l[1], ys[0] + c + r[1], matched)]
+        return []
     x, y, n = np.array(xs) - start, np.array(ys) - from_at, np.array(ns)
     m, gap = len(xs), np.zeros(len(xs), np.int64)
     before, after = np.zeros((m, 3), np.int64), np.zeros((m, 3), np.int64)  # extensions of each block where the chain is cut
@@ -235,8 +275,8 @@ def align_chain(own: list[int], other: list[int], start: int, from_at: int, xs:
         if k:
             between.append((own[x[k - 1] + ns[k - 1] : i], other[y[k - 1] + ns[k - 1] : j]))
             gap[k] = align(*between[-1])
-    before[0] = extend(own[: x[0]][::-1], other[: y[0]][::-1])
-    after[-1] = extend(own[x[-1] + n[-1] :], other[y[-1] + n[-1] :])
+    before[0] = extend(own[: x[0]][::-1], other[: y[0]][::-1], min_identity=min_identity)
+    after[-1] = extend(own[x[-1] + n[-1] :], other[y[-1] + n[-1] :], min_identity=min_identity)
     stop_m = np.cumsum(gap + n)
     start_m = stop_m - n
 
@@ -253,7 +293,7 @@ def align_chain(own: list[int], other: list[int], start: int, from_at: int, xs:
     found, far, variants = [], -1, [ends(1)]
     if spans(0, m - 1, *variants[0])[0] < 0:
         for k, (a, b) in enumerate(between):
-            after[k], before[k + 1] = extend(a, b), extend(a[::-1], b[::-1])
+            after[k], before[k + 1] = extend(a, b, min_identity=min_identity), extend(a[::-1], b[::-1], min_identity=min_identity)
         variants = [ends(1), ends(0)]
     for i in range(m):
         if far == m - 1:
@@ -267,55 +307,51 @@ def align_chain(own: list[int], other: list[int], start: int, from_at: int, xs:
     return found
 
 
-def chains(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12) -> DataFrame:
-    """Chains of at least ``least`` words in blocks between a document and the first one that shares its seeds."""
-    buckets = n_partitions(spark)
+def chains(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chains of one seed or more between a document and the first one that shares its seeds."""
+    buckets = SPLIT * n_partitions(spark)
     kept = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     dealt = kept.mapInArrow(_seed_batches(buckets), "bucket long, linked boolean, blob binary")
     links = dealt.groupBy("bucket").applyInArrow(_seed_bucket(buckets), "bucket long, blob binary")
-    return links.groupBy("bucket").applyInArrow(_chain_bucket(least), CHAINS)
+    return links.groupBy("bucket").applyInArrow(_chain_bucket(), CHAINS)
 
 
 def aligned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, min_identity: float = 0.7) -> DataFrame:
-    """Aligned chains, cut where they aren't dense: doc, other, start, stop, other_start, other_stop, matched (places in words, stop exclusive).
+    """Aligned chains with ``least`` matched words, cut where they aren't dense: doc, other, start, stop, other_start,
+    other_stop, matched (places in words, stop exclusive).
 
-    Both sides of a chain ask for a slice of their document's words; one join brings the texts, split where many chains
-    ask for one document.
+    A chain takes its slice of the document's words along to the other document's text; these joins are split where many
+    chains ask for one document.
     """
-    found = materialize(spark, chains(spark, docs, id_col, text_col, least), "chains")
-    key = F.struct("doc", "other", "start", "from_at", F.xxhash64("xs", "ys").alias("blocks"))
-    sides = found.select(F.col("doc").alias("of"), key.alias("chain"), F.lit(0).alias("side"), F.col("start").alias("lo"), F.col("stop").alias("hi"))
-    sides = sides.unionByName(found.select(F.col("other").alias("of"), key.alias("chain"), F.lit(1).alias("side"), F.col("from_at").alias("lo"), F.col("to_at").alias("hi")))
+    found = materialize(spark, chains(spark, docs, id_col, text_col), "chains")
+    texts = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).filter("of IS NOT NULL AND text IS NOT NULL")
+    chain = ["doc", "other", "start", "from_at", "to_at", "xs", "ys", "ns"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, h = None, None
+        last, words = None, []
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
-                text, lo, hi = (batch.column(k)[i].as_py() for k in (2, 3, 4))
+            for text, lo, hi in zip(batch.column(8).to_pylist(), batch.column(2).to_pylist(), batch.column(9).to_pylist()):
                 if text != last:
-                    last, h = text, word_hashes(words_of(text))[2]
-                out.append(h[lo:hi].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["chain", "side", "words"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("of"), F.col(text_col).alias("text")).filter("of IS NOT NULL AND text IS NOT NULL")
-    chain_type = "struct<doc: bigint, other: bigint, start: int, from_at: int, blocks: bigint>"
-    slices = sides.join(texts, "of").select("chain", "side", "text", "lo", "hi").mapInArrow(cut, f"chain {chain_type}, side int, words array<long>")
-    slices = materialize(spark, slices, "slices")
-    both = found.withColumn("chain", key)
-    for side in (0, 1):
-        both = both.join(slices.filter(F.col("side") == side).select("chain", F.col("words").alias(f"words_{side}")), "chain")
+                    last, words = text, words_of(text).split()
+                out.append(b" ".join(words[lo:hi]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(out, pa.binary())], [*chain, "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "other", "start", "stop", "other_start", "other_stop", "matched"]
+        last, words = None, []
         for batch in batches:
             rows = []
-            for doc, other, start, from_at, xs, ys, ns, own, others in zip(*(batch.column(k).to_pylist() for k in range(9))):
-                rows += [(doc, other, *r) for r in align_chain(own, others, start, from_at, xs, ys, ns, least, min_identity)]
+            for doc, other, start, from_at, to_at, xs, ys, ns, own, text in zip(*(batch.column(k).to_pylist() for k in range(10))):
+                if text != last:
+                    last, words = text, words_of(text).split()
+                rows += [(doc, other, *r) for r in align_chain(own.split(), words[from_at:to_at], start, from_at, xs, ys, ns, least, min_identity)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names)
 
-    columns = ["doc", "other", "start", "from_at", "xs", "ys", "ns", "words_0", "words_1"]
-    return both.select(*columns).mapInArrow(run, "doc long, other long, start long, stop long, other_start long, other_stop long, matched long").distinct()
+    kinds = "doc long, other long, start int, from_at int, to_at int, xs array<int>, ys array<int>, ns array<int>"
+    sliced = found.join(texts, found["doc"] == texts["of"]).select(*chain, "text", "stop").mapInArrow(cut, f"{kinds}, words binary")
+    both = sliced.join(texts, F.col("other") == F.col("of")).select(*chain, "words", "text")
+    return both.mapInArrow(run, "doc long, other long, start long, stop long, other_start long, other_stop long, matched long").distinct()
 
 
 def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, min_identity: float = 0.7, join_within: int = 3) -> DataFrame:
@@ -325,6 +361,9 @@ def passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     for each source), ``sources`` (sorted ids of the earlier documents, one link for each seed's first occurrence) and
     ``spans`` (for each aligned chain: source, start, stop, source's start and stop). Spans that overlap or lie within
     ``join_within`` words merge; a passage has ``min_words`` words at least, ``min_identity`` of an aligned span's words match.
+    A passage is sure to be looked at if it has ``K`` equal words in a row; one without (70 % alike with a change every three
+    words, say) can be missed, as can one whose ``K``-word runs all occur first in other documents, since each run links to
+    its first document only. From one run, ``MARGIN`` words are looked at on both sides.
     Rows with a null id or text, or with few words, find nothing. Rows that repeat an id are one document; a chain counts if
     it holds in any of their texts. Repeats within one document are none across documents.
     """
