@@ -57,11 +57,17 @@ def inner_html(docs: DataFrame, nested: DataFrame, id_col: str, text_col: str) -
     return pairs.join(texts, id_col).select(id_col, "ord", "block", "depth", F.expr("substring(__text, stop + 1, close - stop)").alias("inner"))
 
 
-def attribute_paths(found: DataFrame, id_col: str, levels: int = 4) -> DataFrame:
-    """(id, ord, block, depth, path, value): one row for each attribute, parents before children, down to ``levels``."""
+def attribute_paths(found: DataFrame, id_col: str, levels: int | None = None) -> DataFrame:
+    """(id, ord, block, depth, path, value): one row for each attribute, parents before children.
+
+    All levels by default: the depth of the deepest value is first taken from the data. ``levels`` stops
+    earlier.
+    """
     here = found.filter("attrs IS NOT NULL").select(F.col(id_col), "ord", "block", F.lit("").alias("path"), F.try_parse_json("attrs").alias("v"))
+    if levels is None:
+        levels = _json_depth(found)
     out = None
-    for depth in range(1, levels + 1):
+    for depth in range(1, max(levels, 1) + 1):
         here.createOrReplaceTempView("__block_attrs")
         exploded = here.sparkSession.sql(
             f"SELECT b.`{id_col}`, b.ord, b.block, concat(b.path, CASE WHEN b.path = '' THEN '' ELSE '.' END, coalesce(e.key, cast(e.pos AS string))) AS path, e.value AS v "
@@ -73,6 +79,19 @@ def attribute_paths(found: DataFrame, id_col: str, levels: int = 4) -> DataFrame
     return out
 
 
+def _json_depth(found: DataFrame) -> int:
+    """The deepest nesting of brackets in ``attrs``, outside of strings."""
+    bare = F.regexp_replace(F.regexp_replace("attrs", r"(?s)\\.", ""), r'"[^"]*+"', "")  # escapes only stand in strings
+    step = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def add(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return found.filter("attrs IS NOT NULL").select(F.max(F.aggregate(step, start, add)["most"])).first()[0] or 0
+
+
 def usage(found: DataFrame) -> DataFrame:
     """Openers by block, and how many of them have attributes."""
     return found.filter("NOT is_closer").groupBy("block").agg(F.count("*").alias("n"), F.count("attrs").alias("n_with_attrs"), F.sum(F.col("void").cast("long")).alias("n_void"))
