@@ -10,6 +10,7 @@ sequences s..s+m at offset o"; each piece finds its place from its length and it
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +27,49 @@ from sitemigrate.llm.common import materialize
 CAPACITY = 4096
 
 
+#: Classes of bytes: 0 blanks, 1 letters (ASCII and the two-byte letters up to U+00FF), 2 digits, 3 other ASCII, 4 all others.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[:128] = 3
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[0x27] = 4  # an apostrophe may start a word's short form
+#: What the split pattern of the vocabulary keeps whole, among the characters of the classes 1 to 3.
+_ONE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\s\dA-Za-z'\x80-\U0010ffff]+")
+
+
+def cut_words(texts: pa.Array) -> pa.Array:
+    """Texts with a blank between the words of each chunk, where letters, single digits and symbols meet.
+
+    Chunks with a byte of class 4 stay as they are. ``texts`` are strings without nulls.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    base = int(offsets[0])
+    b = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[base : int(offsets[-1])]
+    kind = _KIND[b]
+    signs = np.flatnonzero((b == 0x97) | (b == 0xB7))  # the two signs among the letters of 0xC3
+    kind[signs[b[signs - 1] == 0xC3]] = 4
+    edge = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    edge &= (kind[1:] != 0) & (kind[:-1] != 0)
+    at = np.flatnonzero(edge) + 1
+    other = np.flatnonzero(kind == 4)
+    if len(other):
+        blanks = np.flatnonzero(kind == 0)
+        chunk = np.unique(np.searchsorted(blanks, other))
+        at = at[~np.isin(np.searchsorted(blanks, at), chunk)]
+    moved = (offsets - base + np.searchsorted(at, offsets - base)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(np.insert(b, at, 0x20)))
+
+
 class BatchCodec(Codec):
     """Ids of groups of texts, new words encoded by the tokenizers library many at a time.
 
-    A word of the vocabulary's split pattern is encoded by itself, and its last id is one with the word-end suffix. So new
-    words are joined with blanks, and the ids of the whole are cut at such ids.
+    Words are cut with numpy where that is plain (letters up to U+00FF, digits, ASCII symbols). New ones are joined with
+    blanks, and the ids of the whole are cut at ids with the word-end suffix. Any other chunk between blanks goes to the
+    library by itself, so that its own tables decide what a letter is.
     """
 
-    def __init__(self, path: str, most: int = 180_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
@@ -41,62 +77,69 @@ class BatchCodec(Codec):
         self.read(path)
         self.ends = np.array([x.endswith(self.suffix) for x in self.labels])
         self.most = most
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.old: dict[str, dict[str, bytes]] = {"chunks": {}, "words": {}}
-
-    def _missing(self, cache: str, keys: set[str]) -> list[str]:
-        """Keys that neither generation of a cache has; those of the older one move to the newer one."""
-        young, old = getattr(self, cache), self.old[cache]
-        if len(young) > self.most:
-            self.old[cache] = old = young
-            young = {}
-            setattr(self, cache, young)
-        new = keys.difference(young)
-        known = new.intersection(old)
-        young.update((k, old[k]) for k in known)
-        return list(new - known)
-
-    def _encode_words(self, words: list[str]) -> None:
-        texts = [" ".join(words[lo : lo + 1000]) for lo in range(0, len(words), 1000)]
+        self.old: dict[str, bytes] = {}
+
+    def _missing(self, names: list[str]) -> list[str]:
+        """Names that neither generation of the cache has; those of the older one move to the newer one."""
+        if len(self.words) > self.most:
+            self.words, self.old = {}, self.words
+        new = [w for w in names if w not in self.words]
+        if not self.old:
+            return new
+        known = {w: ids for w in new if (ids := self.old.get(w)) is not None}
+        self.words.update(known)
+        return [w for w in new if w not in known]
+
+    def _encode_new(self, names: list[str]) -> None:
+        plain = _ONE_WORD.fullmatch
+        one = [w for w in names if plain(w)]
+        alone = names if not one else [w for w in names if not plain(w)] if len(one) < len(names) else []
+        texts = [" ".join(one[lo : lo + 1000]) for lo in range(0, len(one), 1000)]
         for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            own, ids = words[1000 * k : 1000 * k + 1000], np.array(e.ids, "<u4")
+            own, ids = one[1000 * k : 1000 * k + 1000], np.array(e.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(own):  # a word that the library cuts on its own account
-                self.words.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in own)
+                alone += own
                 continue
             data = ids.tobytes()
             self.words.update(zip(own, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+        for lo in range(0, len(alone), 10_000):
+            part = alone[lo : lo + 10_000]
+            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; a null text has none. Texts that may hold special tokens go whole.
 
-        Texts are cut at ASCII blanks, where no word goes on, and A-Z is lowered first, so that chunks repeat more often; only
-        distinct chunks become Python strings, and the ids of all are put together by index.
+        Texts are cut at ASCII blanks, where no word goes on, and A-Z is lowered first, so that words repeat more often; only
+        distinct words become Python strings, and the ids of all are put together by index.
         """
         texts = texts.fill_null("")
         special = pc.match_substring(texts, "<|")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        lists = pc.ascii_split_whitespace(cut_words(pc.ascii_lower(pc.if_else(special, "", texts))))
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        new = self._missing("chunks", set(names))
-        pieces = [self.split(c) for c in new]
-        self._encode_words(self._missing("words", set().union(*pieces)))
-        words = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(words, p))) for c, p in zip(new, pieces))
-        of = list(map(self.chunks.__getitem__, names))
-        length = np.fromiter(map(len, of), np.int64, len(of)) // 4
-        first, data = np.cumsum(length) - length, np.frombuffer(b"".join(of), "<u4")
-        at = coded.indices.to_numpy()
-        n, ends = length[at], np.concatenate(([0], np.cumsum(length[at])))
-        ids = data[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._encode_new(self._missing(names))
+        ids = pa.array(list(map(self.words.__getitem__, names)), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
         offsets = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
-        out = [ids[lo:hi].tobytes() for lo, hi in zip(offsets, offsets[1:])]
+        data = ids.buffers()[2].to_pybytes() if len(ids) and ids.buffers()[2] is not None else b""
+        out = [data[lo:hi] for lo, hi in zip(offsets, offsets[1:])]
         for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
             out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
+def runs_of_bytes(texts: pa.Array, most: int = 12 << 20) -> Iterator[pa.Array]:
+    """Slices of at most ``most`` bytes of text, or of one row."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 _codecs: dict[str, BatchCodec] = {}
 
 
@@ -122,17 +165,19 @@ def tokenize_pieces(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity:
         end = end_id.to_bytes(4, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            at = 0
+            for texts in runs_of_bytes(batch.column(1)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
                 row, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
-                for i, ids in enumerate(c.encode_all(part.column(1))):
+                for i, ids in enumerate(c.encode_all(texts)):
                     ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
+                    for k, first in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[first : first + 4 * capacity]
                         n = len(own) // 4
                         row.append(i)
                         piece.append(k)
-                        start.append(at // 4)
+                        start.append(first // 4)
                         length.append(n)
                         crc.append(zlib.crc32(own))
                         rank.append(seen[n])
