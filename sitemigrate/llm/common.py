@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of characters other than the ASCII blanks. ``bytes.split()`` cuts UTF-8 text in the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,20 +22,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` where the session names one.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or else the checkpoint folder set.
 
-    Without that setting (a local session, as in tests) a temporary folder is made once and set as checkpoint folder.
+    Without either, a session in one process (as in tests) gets a temporary folder, made once; any other session is an
+    error, as its executors would write to disks of their own.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="sitemigrate-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         shared_dir.own = own
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"file://{own}/checkpoints")
     return f"file://{own}"
 
 
@@ -53,6 +57,12 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(spark: SparkSession, docs: DataFrame, text_col: str, size: int) -> int:
+    """So many buckets that each gets about ``size`` bytes of text, and no fewer than shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return max(n_partitions(spark), -(-total // size))
+
+
 def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     """At most ``n`` rows, those with the smallest hashes of ``columns``; all rows, if there are no more.
 
@@ -61,7 +71,43 @@ def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     total = df.count()
     share = min(1.0, (1.2 * n + 200) / max(total, 1))
     key = F.pmod(F.xxhash64(*columns), F.lit(1 << 31))
-    return df.withColumn("__key", key).filter(F.col("__key") <= int(share * (1 << 31))).orderBy("__key", *columns).limit(n).drop("__key")
+    name = free_name(df, "key")
+    return df.withColumn(name, key).filter(F.col(name) <= int(share * (1 << 31))).orderBy(name, *columns).limit(n).drop(name)
+
+
+def number_ids(spark: SparkSession, df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with numbers (long) in ``id_col``, and a table (number, id) to get back, or none where ids are numbers already.
+
+    Ids of any other type are numbered in their order, equal ids alike; null ids stay null.
+    """
+    if isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn(id_col, F.col(id_col).cast("long")), None
+    distinct = df.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
+    ranged = materialize(spark, distinct.repartitionByRange(n_partitions(spark), "id").select("id", F.spark_partition_id().alias("part")), "ids")
+    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
+    before = F.array(*(F.lit(sum(sizes.get(k, 0) for k in range(part))).cast("long") for part in range(max(sizes, default=0) + 1)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id")) + F.element_at(before, F.col("part") + 1) - 1
+    names = materialize(spark, ranged.select(place.cast("long").alias("number"), "id"), "numbers")
+    known = names.select(F.col("id").alias(free_name(df, "known")), F.col("number").alias(free_name(df, "number")))
+    joined = df.join(known, df[id_col] == F.col(known.columns[0]), "left")
+    return joined.select(*(F.col(known.columns[1]).alias(c) if c == id_col else df[c] for c in df.columns)), names
+
+
+def named_again(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """``df`` with the ids of ``names`` in place of the numbers in ``columns``."""
+    for column in columns if names is not None else ():
+        of = names.select(F.col("number").alias(free_name(df, "number")), F.col("id").alias(free_name(df, "id")))
+        joined = df.join(of, df[column] == F.col(of.columns[0]), "left")
+        df = joined.select(*(F.col(of.columns[1]).alias(c) if c == column else df[c] for c in df.columns))
+    return df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
 
 
 def ascii_lower(col: Column | str) -> Column:
