@@ -17,16 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitemigrate.llm.common import materialize
+from sitemigrate.llm.common import materialize, n_partitions, named_again, number_ids
+
+HALF = 1 << 62
+
+
+#: Components are below this after scaling; scores of up to 4096 of them have two halves that fit longs.
+LIMIT = 2.0**56
 
 
 def quantise(vector: list | None, scale: float) -> np.ndarray | None:
     """floor(scale * x) of each component as a double; none for a null vector or one with a null or non-finite component."""
     if vector is None or any(x is None for x in vector):
         return None
-    v = np.asarray(vector, np.float64) * scale
-    if not np.isfinite(v).all() or (np.abs(v) >= 2.0**31).any():
+    v = np.asarray(vector, np.float64)
+    if not np.isfinite(v).all():
         return None
+    v = v * scale
+    if (np.abs(v) >= LIMIT).any():
+        raise ValueError(f"a component of {LIMIT / scale:g} or more in size: scores of it can't be ranked in 128 bits")
     return np.floor(v).astype(np.int64)
 
 
@@ -77,7 +86,7 @@ def scores(index: dict[str, np.ndarray], query: np.ndarray) -> tuple[list[np.nda
     low = int(index["low"])
     negative = query < 0
     size = np.abs(query)
-    base = low * int(query.sum()) - ((1 << width) - 1) * int(size[negative].sum())
+    base = low * sum(query.tolist()) - ((1 << width) - 1) * sum(size[negative].tolist())
     planes: list[list[np.ndarray]] = [[] for _ in range(width)]
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     for bit in range(int(size.max(initial=0)).bit_length()):
@@ -133,42 +142,40 @@ def _blob(column: pa.ChunkedArray) -> bytes:
     return b"".join(x.as_buffer() for x in column.combine_chunks())
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65_536, query_rows: int = 64) -> DataFrame:
+def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65_536, query_rows: int = 64, packs: int = 256) -> DataFrame:
     """For each row of ``queries`` its ``k`` best rows of ``vectors`` (all, if fewer): query_id, rank, vec_id, score (long).
 
-    Both tables need ``id_col`` and ``vector_col``. Rows with a null id, a null vector, or null, non-finite or overflowing
-    components take no part; vectors of another length than the query's don't meet it. A query meets every row but those with
-    its own id; repeated rows are rows of their own. Rows and queries are cut into blocks by hash, each of bounded size;
-    a block of rows is indexed once, and each block of queries goes to each index.
-    """
+    Both tables need ``id_col`` (of one type, with any ids) and ``vector_col``. Rows with a null id, a null vector, or null or
+    non-finite components take no part; components of 2**48 or more in size are an error (``LIMIT`` / ``scale``). Ranks are
+    exact at any score; one that doesn't fit a long is given as the largest or smallest long. Vectors of another length than
+    the query's don't meet it. A query meets every row but those with its own id; repeated rows are rows of their own.
 
-    def quantised(df: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(i, q) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and (q := quantise(v, scale)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(q) for _, q in rows], pa.int32()), pa.array([q.astype("<i8").tobytes() for _, q in rows], pa.binary())], ["id", "dims", "q"])
+    Rows are indexed in blocks of about ``block_rows``, queries are packed by ``query_rows``. Each pack goes to each block,
+    and a block is copied once for every ``packs`` packs (or for each partition, if there are fewer blocks): a task gets one
+    block and a bounded number of packs, whatever the tables' sizes.
+    """
+    both, names = number_ids(spark, vectors.select(id_col, vector_col, F.lit(False).alias("asks")).unionByName(queries.select(id_col, vector_col, F.lit(True).alias("asks"))), id_col)
 
-        return df.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "id long, dims int, q binary")
+    def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, a, q) for i, v, a in zip(*(c.to_pylist() for c in batch.columns)) if i is not None and (q := quantise(v, scale)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int64()), pa.array([a for _, a, _ in rows], pa.bool_()), pa.array([len(q) for *_, q in rows], pa.int32()), pa.array([q.astype("<i8").tobytes() for *_, q in rows], pa.binary())], ["id", "asks", "dims", "q"])
 
-    rows, asked = materialize(spark, quantised(vectors), "rows"), materialize(spark, quantised(queries), "queries")
-    n_rows, n_asked = rows.count(), asked.count()
-    block = F.struct("dims", F.pmod(F.xxhash64("id", "q"), F.lit(max(1, math.ceil(n_rows / block_rows)))).alias("block"))
+    rows = both.select(F.col(id_col), F.col(vector_col).cast("array<double>"), "asks").mapInArrow(quantised, "id long, asks boolean, dims int, q binary")
+    rows = materialize(spark, rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    count = {r["asks"]: r["n"] for r in rows.groupBy("asks").agg(F.count("*").alias("n")).collect()}
+    n_blocks, n_packs = (max(1, math.ceil(count.get(asks, 0) / size)) for asks, size in ((False, block_rows), (True, query_rows)))
+    copies = max(math.ceil(n_packs / packs), min(n_packs, math.ceil(n_partitions(spark) / n_blocks)))
 
     def index(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
         values = np.frombuffer(_blob(table.column("q")), "<i8").reshape(-1, dims) if dims else np.zeros((table.num_rows, 0), np.int64)
         built = build_index(table.column("id").to_numpy(), values)
-        return pa.table({"dims": pa.array([dims], pa.int32()), "ids": [built["ids"].tobytes()], "low": pa.array([int(built["low"])], pa.int64()), "width": pa.array([built["slices"].shape[1]], pa.int32()), "slices": [built["slices"].tobytes()]})
-
-    indexes = rows.groupBy(block.alias("b")).applyInArrow(index, "dims int, ids binary, low long, width int, slices binary")
-    indexes = materialize(spark, indexes, "indexes")
+        return pa.table({"dims": pa.array([dims], pa.int32()), "block": table.column("block")[:1], "ids": [built["ids"].tobytes()], "low": pa.array([int(built["low"])], pa.int64()), "width": pa.array([built["slices"].shape[1]], pa.int32()), "slices": [built["slices"].tobytes()]})
 
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy().astype("<i8").tobytes()
-        return pa.table({"dims": pa.array([table.column("dims")[0].as_py()], pa.int32()), "asked": [ids], "q": [_blob(table.column("q"))]})
-
-    asked_block = F.struct("dims", F.pmod(F.xxhash64("id", "q"), F.lit(max(1, math.ceil(n_asked / query_rows)))).alias("block"))
-    packed = materialize(spark, asked.groupBy(asked_block.alias("b")).applyInArrow(pack, "dims int, asked binary, q binary"), "asked")
+        return pa.table({"dims": pa.array([table.column("dims")[0].as_py()], pa.int32()), "pack": table.column("pack")[:1], "asked": [ids], "q": [_blob(table.column("q"))]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,15 +185,20 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                 of = {"ids": ids, "low": low.as_py(), "slices": np.frombuffer(slices.as_buffer(), "<u8").reshape(dims.as_py(), width.as_py(), -(-len(ids) // 64))}
                 own = np.frombuffer(own.as_buffer(), "<i8")
                 q = np.frombuffer(q.as_buffer(), "<i8").reshape(len(own), dims.as_py())
-                found = [(int(i), *x) for i, v in zip(own, q) for x in top(of, v, k, int(i))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-    pairs = indexes.join(packed, "dims").select("dims", "ids", "low", "width", "slices", "asked", "q")
-    pairs = pairs.repartition(max(1, math.ceil(n_rows / block_rows)) * max(1, math.ceil(n_asked / query_rows)))
-    best = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                found = [(int(i), v, s >> 62, s & HALF - 1) for i, x in zip(own, q) for v, s in top(of, x, k, int(i))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(4)], ["query_id", "vec_id", "high", "low"])
+
+    by_hash = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
+    indexes = rows.filter("NOT asks").withColumn("block", by_hash(n_blocks)).groupBy("dims", "block").applyInArrow(index, "dims int, block long, ids binary, low long, width int, slices binary")
+    indexes = materialize(spark, indexes, "indexes").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    asked = rows.filter("asks").withColumn("pack", by_hash(n_packs)).groupBy("dims", "pack").applyInArrow(pack, "dims int, pack long, asked binary, q binary")
+    asked = materialize(spark, asked, "asked").withColumn("copy", F.pmod("pack", F.lit(copies))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    pairs = asked.join(indexes, ["dims", "block", "copy"]).select("dims", "ids", "low", "width", "slices", "asked", "q")
+    best = pairs.mapInArrow(search, "query_id long, vec_id long, high long, low long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("high") > 1, (1 << 63) - 1).when(F.col("high") < -2, -(1 << 63)).otherwise(F.when(F.col("high") < 0, -HALF).when(F.col("high") == 1, HALF).otherwise(0) + F.when(F.col("high") == -2, -HALF).otherwise(0) + F.col("low"))
+    return named_again(ranked.select("query_id", "rank", "vec_id", score.cast("long").alias("score")), names, "query_id", "vec_id")
 
 
 ORACLE_SQL = """

@@ -22,13 +22,14 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Past here lie scripts that the regex module's tables have and the tokenizers library's don't.
-NEWER = "\U000323af"
+#: No letters or numbers are assigned from here on.
+PLANES = 0x40000
 BLANK = regex.compile(r"\p{White_Space}+")
 
 
@@ -40,6 +41,31 @@ def byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def other_letters(tokenizer) -> dict[int, str]:
+    """Code points that the library's split takes for another class than the regex module does, with one of that class.
+
+    The library is asked for all code points below ``PLANES`` that are not surrogates: for each class of the regex module
+    one text of all its characters. Letters and symbols then stay in one piece, numbers alone, where both agree.
+    """
+    every = "".join(map(chr, [*range(1, 0x27), *range(0x28, 0xD800), *range(0xE000, PLANES)]))
+    cut = lambda text: [span for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    stands = {"letter": "a", "number": "1", "blank": " ", "symbol": "\U000fffff"}
+
+    def kind(c: str) -> str:
+        """By what the library does with the character before and after a letter, and twice."""
+        pieces = len(cut(f"a{c}{c}"))
+        return "letter" if pieces == 1 else "number" if pieces == 3 else "symbol" if cut(f"{c}a") == [(0, 1), (1, 2)] else "blank"
+
+    out = {}
+    for name, pattern in (("letter", r"\p{L}"), ("number", r"\p{N}"), ("blank", r"\p{White_Space}"), ("symbol", r"[^\p{L}\p{N}\p{White_Space}]")):
+        text = "".join(regex.findall(pattern, every))
+        kinds = np.full(len(text), "blank", object)
+        for lo, hi in cut(text):  # all characters of a piece are of one class
+            kinds[lo:hi] = name if hi - lo == len(text) else kind(text[lo])
+        out |= {ord(text[i]): stands[kinds[i]] for i in np.flatnonzero(kinds != name).tolist()}
+    return out
+
+
 class Automaton:
     """The automaton for a list of merges; see the module's text."""
 
@@ -190,7 +216,12 @@ class Codec:
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         model = self.read(path)
+        library = Tokenizer.from_file(path)  # its tables say what a letter is, and how newer characters are normalised
+        self.normalise, self.other = library.normalizer.normalize_str, other_letters(library)
+        self.others = frozenset(map(chr, self.other))
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges)
         self.table = self.automaton.table(self.suffix)
@@ -217,12 +248,15 @@ class Codec:
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk without blanks, normalised."""
-        if not chunk.isascii():
+        if chunk.isascii():
+            return self.pieces.findall(chunk.lower())
+        if chunk.isprintable():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # no final form of sigma
-            if max(chunk, default="") > NEWER:  # no letters yet in the tables of the library
-                known = "".join("\U000fffff" if c > NEWER and unicodedata.category(c) == "Cn" else c for c in chunk)
-                return [chunk[m.start() : m.end()] for m in self.pieces.finditer(known)]
-        return self.pieces.findall(chunk.lower())
+        else:  # among others, characters that are newer than Python's tables
+            chunk = self.normalise(chunk)
+        if self.others.isdisjoint(chunk):
+            return self.pieces.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.pieces.finditer(chunk.translate(self.other))]
 
     def _word(self, piece: str) -> bytes:
         letters = "".join([self.letters[b] for b in piece.encode("utf-8")])

@@ -506,8 +506,8 @@ def chains(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     buckets = buckets_for(spark, docs, text_col, BUCKET_BYTES)
     kept = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     dealt = kept.mapInArrow(_seed_batches(buckets), "bucket long, linked boolean, blob binary")
-    links = dealt.groupBy("bucket").applyInArrow(_seed_bucket(buckets), "bucket long, blob binary")
-    return links.groupBy("bucket").applyInArrow(_chain_bucket(least), CHAINS)
+    links = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_seed_bucket(buckets), "bucket long, blob binary")
+    return links.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_chain_bucket(least), CHAINS)
 
 
 def aligned(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, min_identity: float = 0.7) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemigrate.llm.common import materialize
+from sitemigrate.llm.common import free_name, materialize
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -49,15 +49,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     each keeps or loses the same lines. Rows with null ids come first in the order. Other columns pass through; those
     named ``n_lines`` or ``n_removed`` are replaced.
     """
-    gone = repeated_lines(spark, docs, id_col, text_col, size).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "removed": "__removed"})
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    joined = rows.join(gone, rows[id_col].eqNullSafe(gone["__id"]) & (rows["__text_hash"] == gone["__hash"]), "left")
+    own_hash, id_, hash_, removed = (free_name(docs, name) for name in ("own_hash", "id", "text_hash", "removed"))
+    gone = repeated_lines(spark, docs, id_col, text_col, size).withColumnsRenamed({"id": id_, "text_hash": hash_, "removed": removed})
+    rows = docs.withColumn(own_hash, F.xxhash64(text_col))
+    joined = rows.join(gone, rows[id_col].eqNullSafe(gone[id_]) & (rows[own_hash] == gone[hash_]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
     counts = {
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_removed": F.coalesce(F.size("__removed"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size(removed), F.lit(0)).cast("long"),
     }
     columns = [c for c in docs.columns if c not in counts]
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in columns), *(x.alias(n) for n, x in counts.items()))

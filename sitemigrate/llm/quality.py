@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitemigrate.llm.common import hash_sample, window_hashes, word_hashes
+from sitemigrate.llm.common import free_name, hash_sample, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 #: (name, -1 if the score may only fall as the feature rises, else 0)
@@ -193,4 +193,5 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns as they were."""
-    return docs.withColumn("__verdict", verdicts(trees, threshold)(F.col(text_col))).filter("__verdict.kept").select(*docs.columns)
+    name = free_name(docs, "verdict")
+    return docs.withColumn(name, verdicts(trees, threshold)(F.col(text_col))).filter(F.col(name)["kept"]).select(*docs.columns)

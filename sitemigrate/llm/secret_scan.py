@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitemigrate.llm.common import hash_sample
+from sitemigrate.llm.common import free_name, hash_sample
 
 #: The patterns, and the least length of what counts (for assign of group 2, else of the match).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -87,12 +87,13 @@ def _markov_spans(text: Column, base: Column, ratios: list[float], min_ratio: fl
     return F.filter(free, lambda x: ratio(x["value"]) >= min_ratio)
 
 
-def _with_spans(docs: DataFrame, ratios: list[float], text_col: str, min_ratio: float) -> DataFrame:
-    """``docs`` with ``__text``, ``__base`` and ``__all`` (spans sorted by start, then kind)."""
-    out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn("__base", base_spans(F.col("__text")))
-    out = out.withColumn("__more", _markov_spans(F.col("__text"), F.col("__base"), ratios, min_ratio))
-    return out.withColumn("__all", F.sort_array(F.concat("__base", "__more")))
+def _with_spans(docs: DataFrame, ratios: list[float], text_col: str, min_ratio: float) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with the text (null: empty), the fixed patterns' spans and all spans (by start, then kind), and their names."""
+    text, base, more, every = (free_name(docs, name) for name in ("text_of", "base_of", "more_of", "all_of"))
+    out = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    out = out.withColumn(base, base_spans(F.col(text)))
+    out = out.withColumn(more, _markov_spans(F.col(text), F.col(base), ratios, min_ratio))
+    return out.withColumn(every, F.sort_array(F.concat(base, more))), text, base, every
 
 
 def _listed(spans: Column) -> Column:
@@ -106,21 +107,21 @@ def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col:
     Spans are ``kind:start:end`` in code points, end exclusive, by start and kind, joined with commas. A null text is
     empty; null ids and repeated rows stay; other columns are not read.
     """
-    found = _with_spans(docs.select(F.col(id_col), F.col(text_col)), ratios, text_col, min_ratio)
-    kinds = F.transform("__all", lambda x: x["kind"])
+    found, _, base, every = _with_spans(docs.select(F.col(id_col), F.col(text_col)), ratios, text_col, min_ratio)
+    kinds = F.transform(every, lambda x: x["kind"])
     n = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate([k for k, *_ in BASE] + ["markov"])]
-    return found.select(F.col(id_col), *n, _listed(F.col("__base")).alias("base_spans"), _listed(F.col("__all")).alias("spans"))
+    return found.select(F.col(id_col), *n, _listed(F.col(base)).alias("base_spans"), _listed(F.col(every)).alias("spans"))
 
 
 def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mask: str = "[SECRET]", min_ratio: float = 12.0) -> DataFrame:
-    """``docs`` with every secret in ``text_col`` replaced by ``mask``, overlapping spans by one; null texts stay null."""
-    found = _with_spans(docs, ratios, text_col, min_ratio)
+    """``docs`` with every secret in ``text_col`` replaced by ``mask``, overlapping spans by one; null texts stay null.
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        gap = F.when(apart, F.concat(F.substring("__text", acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
-
-    walked = F.aggregate("__all", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring("__text", acc["at"] + 1, F.length("__text"))))
-    text = F.when(F.size("__all") > 0, walked).otherwise(F.col(text_col))
+    Where a span starts behind the ends of all before it, a gap and a mask are written; the pieces are joined once.
+    """
+    found, own, _, every = _with_spans(docs, ratios, text_col, min_ratio)
+    spans = F.col(every)
+    ends = F.aggregate(spans, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x["end"]))))
+    pieces = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(own, at + 1, x["start"] - at), F.lit(mask))).otherwise(F.lit("")))
+    last = F.element_at(ends, -1)
+    text = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), F.substring(own, last + 1, F.length(own)))).otherwise(F.col(text_col))
     return found.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))

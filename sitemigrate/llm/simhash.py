@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitemigrate.llm.common import materialize, n_partitions
+from sitemigrate.llm.common import free_name, materialize, n_partitions
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -191,10 +191,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (of repeated ids, any one row)."""
     groups = near_duplicates(spark, docs, id_col, text_col)
-    firsts = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("group_fp").alias("__group"), F.col("text_hash").alias("__hash"))
-    keep = materialize(spark, firsts.groupBy("__id", "__group").agg(F.min("__hash").alias("__hash"), F.count("*").alias("__n")), "firsts")
-    rows = docs.withColumn("__own_hash", F.xxhash64(text_col))
-    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__own_hash"] == keep["__hash"]))
-    alone = kept.filter("__n = 1").select(*docs.columns)  # most rows: no copy of them has their id
-    repeated = kept.filter("__n > 1").groupBy("__id", "__group").agg(*(F.first(c).alias(c) for c in docs.columns))
+    id_, group, hash_, n, own_hash = (free_name(docs, name) for name in ("id", "group", "hash", "n", "own_hash"))
+    firsts = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(id_), F.col("group_fp").alias(group), F.col("text_hash").alias(hash_))
+    keep = materialize(spark, firsts.groupBy(id_, group).agg(F.min(hash_).alias(hash_), F.count("*").alias(n)), "firsts")
+    rows = docs.withColumn(own_hash, F.xxhash64(text_col))
+    kept = rows.join(keep, rows[id_col].eqNullSafe(keep[id_]) & (rows[own_hash] == keep[hash_]))
+    alone = kept.filter(F.col(n) == 1).select(*docs.columns)  # most rows: no copy of them has their id
+    repeated = kept.filter(F.col(n) > 1).groupBy(id_, group).agg(*(F.first(c).alias(c) for c in docs.columns))
     return alone.unionByName(repeated.select(*docs.columns))

@@ -15,6 +15,7 @@ import struct
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +32,16 @@ Read = Callable[[int, int], bytes]
 # --- writing ---------------------------------------------------------------------------------------------------------
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def warc_record(page_id: str | int | None, url: str | None, payload: bytes, digest: str, refers_to: str | int | None) -> bytes:
     """One response record, or a revisit of the page ``refers_to`` with the HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
-    name = "" if page_id is None else page_id
+    name = "" if page_id is None else quote(str(page_id), safe="")
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{RECORD}{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     lines += [f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{RECORD}{refers_to}>"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{RECORD}{quote(str(refers_to), safe='')}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -165,7 +166,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
     responses, a null id revisits if an equal payload has an id, and equal payloads without any id are all responses.
     An archive is closed at ``archive_bytes``, so a task holds one archive and one batch of rows.
     """
-    kept = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    kept = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     kept = kept.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     owners = kept.filter(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
     owners = materialize(spark, owners, "owners")
@@ -183,7 +184,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
                 page, url, html, sha1, refers_to = (batch.column(k)[i].as_py() for k in range(5))
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 data = warc_record(page, url, html.encode("utf-8"), digest, refers_to)
-                open_.append(("-" if page is None else str(page), data))
+                open_.append(("-" if page is None else quote(page, safe=""), data))
                 held += len(data)
                 if held >= archive_bytes:
                     yield close()
@@ -191,23 +192,22 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
         if open_:
             yield close()
 
-    return materialize(spark, rows.select("id", "url", "html", "sha1", "refers_to").mapInArrow(write, ARCHIVES), "archives")
+    return materialize(spark, rows.select(F.col("id").cast("string"), "url", "html", "sha1", F.col("refers_to").cast("string")).mapInArrow(write, ARCHIVES), "archives")
 
 
-def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_archives(archives: DataFrame, with_payload: bool = False, id_type: str = "long") -> DataFrame:
     """One row per record of a table (archive, content); also reads the rows of Spark's ``binaryFile`` source renamed so.
 
-    Columns: page_id, url, payload_bytes and payload_digest (both of the full payload, for revisits as their headers say),
+    Ids are given as ``id_type`` (null where they aren't of it). Columns: page_id, url, payload_bytes and payload_digest (both of the full payload, for revisits as their headers say),
     record_type, refers_to, payload (null for revisits and unless ``with_payload``), error. A response whose payload
     doesn't have the length and digest it claims has ``error`` set; an archive that can't be read gives one row with
     only ``error``.
     """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "error"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
-    def page(uri: str | None) -> int | None:
-        tail = (uri or "").strip("<>").removeprefix(RECORD)
-        return int(tail) if tail.lstrip("-").isdigit() else None
+    def page(uri: str | None) -> str | None:
+        return unquote((uri or "").strip("<>").removeprefix(RECORD)) or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +225,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                     rows.append((*[None] * 7, f"unreadable archive: {e}"))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
 
-    return archives.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string")
+    found = archives.select("content").mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary, error string")
+    return found.withColumns({c: F.col(c).try_cast(id_type) for c in ("page_id", "refers_to")})
 
 
 #: DuckDB SQL for the query ``op10``; a base32 digest is four runs of eight digits, each of 40 bits.

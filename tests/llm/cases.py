@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp long, n_lines int, kept string, score double, bucket int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp long, n_lines int, kept string, score double, bucket int, verdict string, own_hash string, text_hash int, removed string, `group` int, hash string, n int, text_of string, base_of string, more_of string, all_of string, number string, known string, __text string, __base string, __all string, __text_hash string, __n string, __verdict string, `key` int, word string, part string"
 SYLLABLES = "ba ce di fo gu ka le mi no pu ra se ti vo zu el an or im us".split()
 
 
@@ -12,7 +12,7 @@ def words(rng, n):
 
 def row(doc_id, text):
     """Extra columns have names that operators use inside."""
-    return (doc_id, text, "en", "s", None if text is None else len(text), "x", 7, 3, "no", 0.5, 1)
+    return (doc_id, text, "en", "s", None if text is None else len(text), "x", 7, 3, "no", 0.5, 1, "v", "o", 5, "r", 6, "h", 8, "t", "b", "m", "a", "9", "k", "__t", "__b", "__a", "__h", "__n", "__v", 2, "w", "p")
 
 
 def odd_documents(spark):

@@ -31,6 +31,30 @@ def test_codecs_agree_with_the_library(tools, parts):
     assert array("I", batch.encode_all(pa.array([text]))[0]).tolist() == want
 
 
+def test_every_code_point_is_cut_as_the_library_cuts_it(tools):
+    """Each one between letters, and before and after numbers and symbols; the texts of 64 are told apart where they differ."""
+    own, batch, library = tools
+    every = [chr(x) for x in range(0x110000) if not 0xD800 <= x <= 0xDFFF]
+    texts = [" ".join(f"a{c}b {c}{c}1!{c}!" for c in every[lo : lo + 64]) for lo in range(0, len(every), 64)]
+    wrong = []
+    for lo in range(0, len(texts), 512):
+        part = texts[lo : lo + 512]
+        for text, e, other in zip(part, library.encode_batch_fast(part, add_special_tokens=False), batch.encode_all(pa.array(part))):
+            if not array("I", own.encode(text)).tolist() == array("I", other).tolist() == e.ids:
+                wrong.append(text)
+    assert wrong == []
+
+
+def test_newer_characters_in_pairs(tools):
+    """Compositions and decompositions of characters that Python's tables may lack."""
+    own, batch, library = tools
+    rng = random.Random(8)
+    odd = [chr(x) for x in range(0x80, 0x32000) if not chr(x).isprintable() and not 0xD800 <= x <= 0xDFFF]
+    texts = ["".join(rng.choice((rng.choice(odd), rng.choice("aé\u0301\u0308ΣĞ1'")))  for _ in range(6)) for _ in range(5000)] + [chr(a) + chr(b) for a, b in ((0x113C2, 0x113C2), (0x16121, 0x1611E), (0x16D67, 0x16D67))]
+    for text, e, other in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), batch.encode_all(pa.array(texts))):
+        assert array("I", own.encode(text)).tolist() == array("I", other).tolist() == e.ids
+
+
 def naive(symbols, merges):
     rank = {m: i for i, m in enumerate(merges)}
     while True:

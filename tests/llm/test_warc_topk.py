@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import struct
 import zipfile
@@ -102,6 +103,12 @@ def test_members_that_are_packed_or_broken(spark):
     assert len(errors) == 6 and all(errors)
 
 
+def test_pages_with_ids_of_other_types(spark):
+    pages = spark.createDataFrame([("a/1", "u", "same"), ("b 2>", "u", "same"), ("é", "u", "other"), (None, "u", "third")], "page_id string, url string, html string")
+    got = warc_zip.read_archives(warc_zip.write_archives(spark, pages), id_type="string").collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"], r["error"]) for r in got), key=repr) == sorted([("a/1", "revisit", "b 2>", None), ("b 2>", "response", None, None), ("é", "response", None, None), (None, "response", None, None)], key=repr)
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, id long, q string, score double"
 
 
@@ -138,6 +145,31 @@ def test_repeated_rows_and_few_rows(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 7, 131072), (2, 7, 131072)]
 
 
+def test_large_components_and_scores(spark):
+    rng = random.Random(4)
+    rows = [(0, [1.0, 1.0]), (1, [1e7, 0.0]), (2, [-1e13, 3.0]), (50, [-3e12, 2.0]), (100, [2e14, -2e14]), (3, [2e14, -1e14]), (4, [2.0**40 + 0.25, 0.5])] + [(10 + i, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(20)]
+    df = spark.createDataFrame([(i, v, 1, 2, "q", 0.0) for i, v in rows], VECTORS)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in bitslice.top_k(spark, df, df.filter("vec_id % 50 = 0")).collect())
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(whole[i], w)), j) for j, w in whole.items() if j != i)[:5]
+        want += [(i, r + 1, j, clip(-s)) for r, (s, j) in enumerate(best)]
+    assert got == want and got[0] == (0, 1, 3, 256 * whole[3][0] + 256 * whole[3][1])
+    with pytest.raises(Exception, match="128 bits"):
+        bitslice.top_k(spark, spark.createDataFrame([(1, [1e30], 1, 2, "q", 0.0)], VECTORS), df.limit(0))
+
+
+def test_ids_of_other_types(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(60)]
+    of = {i: f"v{i:03d}" for i, _ in rows}
+    df = spark.createDataFrame([(of[i], v) for i, v in rows], "vec_id string, embedding array<double>")
+    got = bitslice.top_k(spark, df, df.filter("vec_id <= 'v004'"), block_rows=20, query_rows=2, packs=1).collect()
+    assert sorted(tuple(r) for r in got) == sorted((of[q], r, of[v], s) for q, r, v, s in brute_top(rows, lambda i: i <= 4, 5))
+
+
 def test_bit_slices_give_the_scores():
     rng = np.random.default_rng(3)
     for n in (1, 63, 64, 65, 300):
