@@ -24,6 +24,11 @@ from pyspark.sql import types as T
 from sitemigrate.llm.common import free_name, materialize, n_partitions
 
 
+RADIUS = 3
+#: Variants that meet in one bucket, about; 16 bytes each.
+VARIANTS = 1 << 19
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of a text, as a signed 64-bit number (as Spark's long holds it)."""
     words = (text or "").encode("utf-8").lower().split()
@@ -109,7 +114,9 @@ def _meet(masks: list[np.uint64]):
                 hit = names[at] == names[low] | step
                 a.append(least[low[hit]])
                 b.append(least[at[hit]])
-        a, b = _forest(np.concatenate(a), np.concatenate(b))
+        a, b = np.concatenate(a), np.concatenate(b)
+        close = np.bitwise_count(a ^ b) <= RADIUS  # what met is verified, though no other pair can meet
+        a, b = _forest(a[close], b[close])
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     return run
@@ -134,9 +141,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(spark: SparkSession, fingerprints: DataFrame, blocks: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``, long) that connect all within three bits of each other."""
-    buckets = n_partitions(spark)
+    variants = 65 * blocks * fingerprints.count()
+    buckets = max(n_partitions(spark), -(-variants // VARIANTS))
     run, masks = _spread(blocks, buckets)
-    dealt = fingerprints.mapInArrow(run, "bucket long, blob binary")
+    dealt = fingerprints.mapInArrow(run, "bucket long, blob binary").repartition(buckets, "bucket")
     return dealt.groupBy("bucket").applyInArrow(_meet(masks), "a long, b long").distinct()
 
 
