@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 
 from sitemigrate import schema
 
-#: The namespaces of the format.
-EXPORT = "wordpress.org/export"
-WP = {f"{scheme}://{EXPORT}/{v}/" for scheme in ("http", "https") for v in ("1.0", "1.1", "1.2")}
-EXCERPT = {f"{uri}excerpt/" for uri in WP}
+#: The namespaces of the format. Its own differ by host; path and version tell them.
+EXPORT = re.compile(r"https?://[^/?#]+/export/1\.[012]/(excerpt/)?")
 CONTENT = "http://purl.org/rss/1.0/modules/content/"
 DC = "http://purl.org/dc/elements/1.1/"
 
@@ -32,7 +31,8 @@ def _name(element: ET.Element) -> tuple[str, str]:
     """Family ("wp", "excerpt", "content", "dc", "" or "?") and local name."""
     uri, _, local = element.tag.rpartition("}")
     uri = uri[1:]
-    family = "wp" if uri in WP else "excerpt" if uri in EXCERPT else "content" if uri == CONTENT else "dc" if uri == DC else "?" if uri else ""
+    own = EXPORT.fullmatch(uri)
+    family = "excerpt" if own and own[1] else "wp" if own else "content" if uri == CONTENT else "dc" if uri == DC else "?" if uri else ""
     return family, local
 
 
@@ -111,6 +111,54 @@ def parse_item(root_tag: str, item: str) -> dict:
     return row
 
 
+_CATEGORY = re.compile(r"<category\b([^>]*?)(?:/>|>(.*?)</category>)", re.S)
+_NESTED = re.compile(r"<wp:(postmeta|comment)>(.*?)</wp:\1>", re.S)
+_COMMENT_META = re.compile(r"<wp:commentmeta>(.*?)</wp:commentmeta>", re.S)
+
+
+def _tagged(xml: str, tag: str) -> str | None:
+    """The text of the first element with this tag: CDATA sections as they are, else with its references decoded."""
+    m = re.search(rf"<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", xml, re.S)
+    return None if m is None else _plain(m[1])
+
+
+def _plain(body: str) -> str:
+    m = re.fullmatch(r"\s*<!\[CDATA\[(.*)\]\]>\s*", body, re.S)
+    return m[1].replace("]]]]><![CDATA[>", "]]>") if m else html.unescape(body)
+
+
+def parse_leniently(item: str) -> dict:
+    """One item's row as ``parse_item`` makes it, by tags alone; tags within content are lower-cased, lone breaks closed."""
+    nested, failed = _NESTED.findall(item), {}
+    outside = _NESTED.sub("", item)
+    row: dict = {"terms": [], "postmeta": [], "comments": []}
+    row |= {column: _tagged(outside, tag) for tag, column in PLAIN.items()}
+    row |= {column: _tagged(outside, f"wp:{tag}") for tag, column in WP_TEXT.items()}
+    row |= {column: _number(_tagged(outside, f"wp:{column}") or "", column, failed) for column in schema.POST_NUMBERS}
+    row["post_author"] = _tagged(outside, "dc:creator")
+    for column, tag in (("post_content", "content:encoded"), ("post_excerpt", "excerpt:encoded")):
+        text = _tagged(outside, tag)
+        if text is not None:
+            text = re.sub(r"</?[A-Z]+", lambda m: m[0].lower(), text)
+            text = text.replace("<br>", "<br />").replace("<hr>", "<hr />")
+        row[column] = text
+    for attributes, body in _CATEGORY.findall(outside):
+        own = {k: html.unescape(v) for k, v in re.findall(r'([\w:]+)="([^"]*)"', attributes)}
+        if "nicename" in own:
+            row["terms"].append({"name": _plain(body), "slug": own["nicename"], "domain": own.get("domain")})
+    for tag, body in nested:
+        if tag == "postmeta":
+            row["postmeta"].append({"key": _tagged(body, "wp:meta_key"), "value": _tagged(body, "wp:meta_value")})
+            continue
+        meta = [{"key": _tagged(m, "wp:meta_key"), "value": _tagged(m, "wp:meta_value")} for m in _COMMENT_META.findall(body)]
+        bare = _COMMENT_META.sub("", body)
+        comment = {column: _tagged(bare, f"wp:{t}") for t, column in COMMENT_TEXT.items()}
+        ids = {"comment_id": "comment_id", "comment_user_id": "user_id"}
+        row["comments"].append(comment | {column: _number(_tagged(bare, f"wp:{t}") or "", t, failed) for t, column in ids.items()} | {"commentmeta": meta})
+    row["failed_casts"] = list(failed.items())
+    return row
+
+
 def parse_channel(root_tag: str, xml: str) -> dict:
     """Authors and terms among the channel elements before the first item or after the last one."""
     check_plain(xml)

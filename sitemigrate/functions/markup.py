@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+
+import regex
 
 #: Attributes that hold URLs, by tag.
 URL_ATTRIBUTES = {
@@ -27,9 +29,11 @@ _BLOCK = re.compile(r"^\s*(wp:[A-Za-z0-9_-]+)\s+(\{.*\})\s*/?\s*$", re.S)
 _JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _CSS = re.compile(r"/\*.*?(?:\*/|$)|url\(\s*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|((?:[^\s\"'()\\]|\\[0-9A-Fa-f]{1,6}\s?|\\.)*))\s*\)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S | re.I)
 _CSS_ESCAPE = re.compile(r"\\(?:([0-9A-Fa-f]{1,6})\s?|(.))", re.S)
-_HOST = r"(?:[^\W_]|[%\-]|[^\x00-\x7F\s«»“”‘’])+"
-_TEXT_URL = re.compile(rf"(?<![\w@/.:%-])(?:(?P<scheme>https?)://|(?P<slashes>//))?(?P<host>{_HOST}(?:\.{_HOST})*)(?P<port>:\d{{1,5}}(?!\d))?(?P<path>[/?#][^\s<>]*)?", re.I)
+_HOST = r"(?:[^\W_]|[%\-]|[^\x00-\x7F\s\p{P}\p{Sm}\p{Sc}\p{Sk}])+"  # signs such as emoji may stand in international hosts
+_TEXT_URL = regex.compile(rf"(?<![\w@/.:%-])(?:(?P<scheme>https?)://|(?P<slashes>//))?(?P<host>{_HOST}(?:\.{_HOST})*)(?P<port>:\d{{1,5}}(?!\d))?(?P<path>[/?#][^\s<>]*)?", regex.I)
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+_CREDENTIALS = re.compile(r":[^\s/?#@]*@")
+#: Characters that end no URL.
 _BAD_END = "({[`!;:'\".,?«»“”‘’"
 
 
@@ -50,7 +54,7 @@ def text_urls(text: str) -> Iterator[tuple[int, int, str, str | None]]:
     """(start, end, URL, top-level domain to check) of URLs in plain text; the domain is None where a scheme is given.
 
     Without scheme or slashes, a host needs a dot and a known domain. A path goes on to a blank or angle bracket and ends in
-    no punctuation; one trailing bracket or full stop is left out. Credentials are none of ours.
+    no punctuation; one trailing bracket or full stop is left out. A host with credentials, or before two colons, is none.
     """
     for m in _TEXT_URL.finditer(text):
         end = m.end()
@@ -59,7 +63,7 @@ def text_urls(text: str) -> Iterator[tuple[int, int, str, str | None]]:
         url = text[m.start() : end]
         if url[-1:] in (")", "."):
             url, end = url[:-1], end - 1
-        if text[end : end + 1] == "@" or "@" in (m["path"] or "")[:1]:
+        if text[end : end + 1] == "@" or text[end : end + 2] == "::" or _CREDENTIALS.match(text, m.end("host")):
             continue
         tld = None
         if not m["scheme"] and not m["slashes"]:
@@ -69,7 +73,7 @@ def text_urls(text: str) -> Iterator[tuple[int, int, str, str | None]]:
         yield m.start(), end, url, tld
 
 
-def occurrences(markup: str) -> Iterator[tuple[str, int, int, str, str, str | None]]:
+def occurrences(markup: str, block_attributes: Mapping[str, list[str]] = BLOCK_ATTRIBUTES) -> Iterator[tuple[str, int, int, str, str, str | None]]:
     """(kind, start, end, raw, decoded, domain to check), in order of place. Kinds: attr, style, block, text.
 
     ``start`` to ``end`` is what a new URL replaces: an attribute's value, ``url(...)``, a JSON string with its quotes, or
@@ -83,7 +87,7 @@ def occurrences(markup: str) -> Iterator[tuple[str, int, int, str, str, str | No
             return
         at = m.end()
         if m["comment"] is not None:
-            yield from _in_block(m["comment"], m.start("comment"))
+            yield from _in_block(m["comment"], m.start("comment"), block_attributes)
         elif m["tag"]:
             tag = m["tag"].lower()
             yield from _in_tag(tag, m["attrs"], m.start("attrs"))
@@ -115,7 +119,7 @@ def _in_text(markup: str, start: int, end: int) -> Iterator[tuple]:
         yield "text", start + lo, start + hi, raw[lo:hi], url, tld
 
 
-def _in_block(comment: str, start: int) -> Iterator[tuple]:
+def _in_block(comment: str, start: int, block_attributes: Mapping[str, list[str]]) -> Iterator[tuple]:
     m = _BLOCK.match(comment)
     if not m:
         return
@@ -123,7 +127,7 @@ def _in_block(comment: str, start: int) -> Iterator[tuple]:
         attributes = json.loads(m[2])
     except ValueError:
         return
-    known, depth, name, at = BLOCK_ATTRIBUTES.get(m[1], []), 0, None, m.start(2)
+    known, depth, name, at = block_attributes.get(m[1], []), 0, None, m.start(2)
     for token in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]', m[2], re.S):
         t = token[0]
         if t in "{[":

@@ -33,11 +33,15 @@ def with_scheme(url: Column, default: Column | str) -> Column:
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), url).when(url.startswith("//"), F.concat(s, F.lit(":"), url)).otherwise(F.concat(s, F.lit("://"), url))
 
 
-def is_child_url(url: Column, base: Column) -> Column:
-    """Same scheme and host (the port doesn't matter), and a path equal to the base's or below it."""
+def is_child_url(url: Column, base: Column, same_host: Column | None = None) -> Column:
+    """Same scheme and host (the port doesn't matter), and a path equal to the base's or below it.
+
+    ``same_host`` replaces the comparison of hosts as they are written.
+    """
     path, base_path = F.rtrim(decoded_path(url), F.lit("/")), F.rtrim(decoded_path(base), F.lit("/"))
     below = (path == base_path) | F.startswith(path, F.concat(base_path, F.lit("/")))
-    return F.coalesce((host(url) != "") & (host(url) == host(base)) & (scheme(url) == scheme(base)) & below, F.lit(False))
+    same_host = (host(url) != "") & (host(url) == host(base)) if same_host is None else same_host
+    return F.coalesce(same_host & (scheme(url) == scheme(base)) & below, F.lit(False))
 
 
 def path_pattern(base: Column) -> Column:
@@ -47,7 +51,7 @@ def path_pattern(base: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(letters, one), ""))
 
 
-def rebase_url(url: Column, base: Column, target: Column, relative: Column | None = None) -> Column:
+def rebase_url(url: Column, base: Column, target: Column, relative: Column | None = None, same_host: Column | None = None) -> Column:
     """A URL below ``base`` moved below ``target``; null if it isn't below.
 
     Scheme, host and port become the target's, its path takes the place of the base's, and what follows keeps its own
@@ -64,4 +68,4 @@ def rebase_url(url: Column, base: Column, target: Column, relative: Column | Non
     if relative is not None:
         origin = F.when(relative, F.lit("")).otherwise(origin)
         moved = F.when(relative & (moved == ""), F.lit("/")).otherwise(moved)
-    return F.when(is_child_url(url, base), F.concat(origin, moved, query, fragment))
+    return F.when(is_child_url(url, base, same_host), F.concat(origin, moved, query, fragment))

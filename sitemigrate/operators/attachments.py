@@ -61,11 +61,30 @@ def name_files(fetched: DataFrame, mime_types: DataFrame) -> DataFrame:
     return out.withColumn("allowed", F.col("__known").isNotNull()).drop("__mime", "__ext", "__known")
 
 
-def unique_names(files: DataFrame, order: str = "post_id") -> DataFrame:
-    """``files`` with ``unique_name``: the second file of a name in a folder gets ``-1`` before its extension, and so on."""
-    n = F.row_number().over(Window.partitionBy("folder", F.lower("file_name")).orderBy(order)) - 1
-    numbered = F.regexp_replace("file_name", F.lit(r"^(.*?)(\.[A-Za-z0-9]+)?$"), F.concat(F.lit("$1-"), n.cast("string"), F.lit("$2")))
-    return files.withColumn("unique_name", F.when(n == 0, F.col("file_name")).otherwise(numbered))
+STEM = r"^(.*?)(\.[A-Za-z0-9]+)?$"
+
+
+def unique_names(files: DataFrame, order: str = "post_id", existing: DataFrame | None = None) -> DataFrame:
+    """``files`` with ``unique_name``, no two alike in a folder, whatever the case of letters.
+
+    The first file of a name keeps it, unless ``existing`` (folder, file_name: the site's files) has it. Every other one gets
+    the next free of ``-1``, ``-2`` and so on before its extension; names of other files and of the site aren't free.
+    """
+    key = [F.coalesce(F.col("folder"), F.lit("")).alias("__folder"), F.lower("file_name").alias("__name")]
+    there = files.select(*key, F.lit(False).alias("__site"))
+    if existing is not None:
+        there = there.unionByName(existing.select(*key, F.lit(True).alias("__site")))
+    names = there.groupBy("__folder", "__name").agg(F.max("__site").alias("__site"))
+    stem, extension = F.regexp_extract("__name", STEM, 1), F.regexp_extract("__name", STEM, 2)
+    number = F.regexp_extract(stem, r"^.*-([1-9][0-9]{0,8})$", 1)
+    used = names.filter(number != "").select("__folder", F.concat(F.regexp_replace(stem, r"-[0-9]+$", ""), extension).alias("__name"), number.cast("int").alias("__used"))
+    used = used.groupBy("__folder", "__name").agg(F.sort_array(F.collect_set("__used")).alias("__used"))
+    known = names.join(used, ["__folder", "__name"], "left")
+    nth = F.row_number().over(Window.partitionBy("__folder", "__name").orderBy(order)) - F.when(F.col("__site"), 0).otherwise(1)
+    ranked = files.select("*", *key).join(known, ["__folder", "__name"]).withColumn("__n", nth)
+    free = F.aggregate(F.coalesce("__used", F.array().cast("array<int>")), F.col("__n"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    name = F.concat(F.regexp_extract("file_name", STEM, 1), F.lit("-"), free.cast("string"), F.regexp_extract("file_name", STEM, 2))
+    return ranked.withColumn("unique_name", F.when(F.col("__n") == 0, F.col("file_name")).otherwise(name)).select(*files.columns, "unique_name")
 
 
 def remap_rows(done: DataFrame) -> DataFrame:

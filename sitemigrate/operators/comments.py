@@ -15,10 +15,11 @@ def last_by_id(comments: DataFrame) -> DataFrame:
 def drop_known(comments: DataFrame, site_comments: DataFrame) -> DataFrame:
     """Comments without those that the site has by author and date, on any post, where their post was there before.
 
-    ``comments`` needs ``post_exists``, ``author`` and ``date``; ``site_comments`` has ``author`` and ``date``.
+    A null author or date is taken as empty. ``comments`` needs ``post_exists``, ``author`` and ``date``; ``site_comments`` has ``author`` and ``date``.
     """
-    known = site_comments.select(F.col("author").alias("__a"), F.col("date").alias("__d")).distinct()
-    old = comments.filter("post_exists").join(known, (F.col("author") == F.col("__a")) & (F.col("date") == F.col("__d")), "left_anti")
+    author, date = (F.coalesce(F.col(c), F.lit("")) for c in ("author", "date"))
+    known = site_comments.select(author.alias("__a"), date.alias("__d")).distinct()
+    old = comments.filter("post_exists").join(known, (author == F.col("__a")) & (date == F.col("__d")), "left_anti")
     return old.unionByName(comments.filter("NOT coalesce(post_exists, false)"))
 
 

@@ -33,9 +33,11 @@ def allocate_ids(spark: SparkSession, rows: DataFrame, existing: DataFrame, old_
     Of rows that ask for one id, the first in ``order`` gets it.
     """
     taken = existing.select(F.col(existing_col).alias("__taken")).distinct()
+    asking = F.col(old_col) > 0  # rows without an id don't meet in one partition
     first = F.row_number().over(Window.partitionBy(old_col).orderBy(*order)) == 1
-    marked = rows.withColumn("__first", first & (F.col(old_col) > 0)).join(taken, F.col(old_col) == F.col("__taken"), "left")
-    marked = keep(spark, marked.withColumn("__free", F.coalesce("__first", F.lit(False)) & F.col("__taken").isNull()).drop("__first", "__taken"))
+    marked = rows.filter(asking).withColumn("__first", first).join(taken, F.col(old_col) == F.col("__taken"), "left")
+    marked = marked.withColumn("__free", F.col("__first") & F.col("__taken").isNull()).drop("__first", "__taken")
+    marked = keep(spark, marked.unionByName(rows.filter(~F.coalesce(asking, F.lit(False))).withColumn("__free", F.lit(False))))
     top = max_id(existing, existing_col).union(max_id(rows, old_col)).agg(F.max("max_id").alias("__top"))
     fresh = dense_rank_rows(spark, marked.filter("NOT __free"), order, "__rank").crossJoin(F.broadcast(top)).withColumn(out, F.col("__top") + F.col("__rank"))
     kept = marked.filter("__free").withColumn(out, F.col(old_col).cast("long"))

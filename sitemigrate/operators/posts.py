@@ -49,10 +49,11 @@ NATURAL_KEY = ["post_title", "post_date", "post_type"]
 def match_existing(posts: DataFrame, site: DataFrame, override: DataFrame | None = None) -> DataFrame:
     """``posts`` with ``existing_id``: the smallest id of a site post with the same title, date and type.
 
-    ``override`` (export_id, post_id, existing_id) replaces the match; 0 forces an insert.
+    A part of the key that is null is taken as empty, on both sides. ``override`` (export_id, post_id, existing_id) replaces the match; 0 forces an insert.
     """
-    known = site.groupBy(*NATURAL_KEY).agg(F.min("ID").alias("existing_id"))
-    out = posts.join(known, NATURAL_KEY, "left")
+    key = [F.coalesce(F.col(c), F.lit("")).alias(f"__{c}") for c in NATURAL_KEY]
+    known = site.groupBy(*key).agg(F.min("ID").alias("existing_id"))
+    out = posts.select("*", *key).join(known, [f"__{c}" for c in NATURAL_KEY], "left").drop(*(f"__{c}" for c in NATURAL_KEY))
     if override is not None:
         out = out.join(override.select("export_id", "post_id", F.col("existing_id").alias("__override")), ["export_id", "post_id"], "left")
         out = out.withColumn("existing_id", F.nullif(F.coalesce("__override", "existing_id"), F.lit(0))).drop("__override")

@@ -76,7 +76,3 @@ def ancestors(spark: SparkSession, terms: DataFrame) -> DataFrame:
 def new_term_meta(meta: DataFrame, created: DataFrame) -> DataFrame:
     """Metadata of terms that were made now; that of known terms is left alone."""
     return meta.join(created.filter("is_new").select("taxonomy", "slug", "term_id"), ["taxonomy", "slug"])
-
-
-def order_by_doc(export: str = "export_id"):
-    return Window.partitionBy(export).orderBy("phase", "doc_pos", "ord")

@@ -17,19 +17,21 @@ from sitemigrate.functions import markup
 from sitemigrate.functions import url_columns as U
 
 
-def extract_urls(docs: DataFrame, id_col: str, html_col: str, tlds: DataFrame | None = None, kinds: tuple[str, ...] = ("attr", "style", "text", "block")) -> DataFrame:
+def extract_urls(docs: DataFrame, id_col: str, html_col: str, tlds: DataFrame | None = None, kinds: tuple[str, ...] = ("attr", "style", "text", "block"), block_attributes: dict[str, list[str]] | None = None) -> DataFrame:
     """All URL occurrences of ``html_col``: (id, ord, kind, start, end, raw, decoded).
 
     Hosts in texts without a scheme count if their top-level domain is in ``tlds`` (column ``tld``) or is ``internal``; without
-    ``tlds`` such hosts don't count. Null texts have none.
+    ``tlds`` such hosts don't count. Null texts have none. ``block_attributes`` names further attributes of blocks that may
+    hold relative URLs.
     """
+    known = {b: [*markup.BLOCK_ATTRIBUTES.get(b, []), *(block_attributes or {}).get(b, [])] for b in {**markup.BLOCK_ATTRIBUTES, **(block_attributes or {})}}
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(1)):
-                found = [x for x in markup.occurrences(text.as_py() or "") if x[0] in kinds]
+                found = [x for x in markup.occurrences(text.as_py() or "", known) if x[0] in kinds]
                 rows += [(ord_, *x) for ord_, x in enumerate(found)]
                 at += [i] * len(found)
             kinds_ = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -48,17 +50,24 @@ def known_hosts(found: DataFrame, tlds: DataFrame | None) -> DataFrame:
     return sure.unionByName(found.filter("tld <> 'internal'").join(listed, "tld", "left_semi").select(*sure.columns))
 
 
-def match_mappings(occurrences: DataFrame, mapping: DataFrame, url_col: str = "decoded", longest: bool = False) -> DataFrame:
+def match_mappings(occurrences: DataFrame, mapping: DataFrame, url_col: str = "decoded", longest: bool = False, by: str | None = None) -> DataFrame:
     """``occurrences`` with ``from_base`` and ``to_base`` of the first mapping (by ``ord``, or the longest base) that is a parent.
 
-    Joined on scheme and host; occurrences without a match keep nulls.
+    Joined on scheme and host, hosts in one form (see ``canonical_hosts``), and on ``by``, a column of both tables, where
+    mappings hold for some rows only. Equal places in the order are told apart by base. Occurrences without a match keep
+    nulls.
     """
-    url = F.col(url_col)
-    bases = mapping.select(F.col("ord").alias("__ord"), "from_base", "to_base", U.scheme(F.col("from_base")).alias("__s"), U.host(F.col("from_base")).alias("__h"))
-    pairs = occurrences.select(url.alias("__url")).distinct().withColumn("__s", U.scheme(F.col("__url"))).withColumn("__h", U.host(F.col("__url"))).filter("__h <> ''").join(bases, ["__s", "__h"])
-    pairs = pairs.filter(U.is_child_url(F.col("__url"), F.col("from_base")))
-    rank = F.struct(-F.length("from_base"), F.col("__ord")) if longest else F.struct("__ord")
-    best = pairs.groupBy("__url").agg(F.min_by(F.struct("from_base", "to_base"), rank).alias("m")).select("__url", "m.from_base", "m.to_base")
+    url, own = F.col(url_col), [by] if by else []
+    bases = mapping.select(*own, F.col("ord").alias("__ord"), "from_base", "to_base", U.scheme(F.col("from_base")).alias("__s"), U.host(F.col("from_base")).alias("__host_of"))
+    bases = canonical_hosts(bases, "__host_of", "__h").drop("__host_of")
+    pairs = occurrences.select(*own, url.alias("__url")).distinct().withColumn("__s", U.scheme(F.col("__url"))).withColumn("__host_of", U.host(F.col("__url"))).filter("__host_of <> ''")
+    pairs = canonical_hosts(pairs, "__host_of", "__h").drop("__host_of").join(bases, [*own, "__s", "__h"])
+    pairs = pairs.filter(U.is_child_url(F.col("__url"), F.col("from_base"), F.lit(True)))
+    rank = F.struct(-F.length("from_base"), F.col("__ord"), "from_base", "to_base") if longest else F.struct("__ord", "from_base", "to_base")
+    best = pairs.groupBy(*own, "__url").agg(F.min_by(F.struct("from_base", "to_base"), rank).alias("m")).select(*own, "__url", "m.from_base", "m.to_base")
+    if by:
+        best = best.withColumnRenamed(by, "__by")
+        return occurrences.join(best, (url == F.col("__url")) & (F.col(by) == F.col("__by")), "left").drop("__url", "__by")
     return occurrences.join(best, url == F.col("__url"), "left").drop("__url")
 
 
@@ -77,19 +86,27 @@ def encode_for(kind: Column, url: Column) -> Column:
     return F.when(kind == "attr", attr).when(kind == "style", style).when(kind == "block", block).otherwise(text)
 
 
-def rewrite_content(docs: DataFrame, mapping: DataFrame, id_col: str, html_col: str, base_url: str | None = None, tlds: DataFrame | None = None, longest: bool = False) -> DataFrame:
+def rewrite_content(docs: DataFrame, mapping: DataFrame, id_col: str, html_col: str, base_url: str | Column | None = None, tlds: DataFrame | None = None, longest: bool = False, by: str | None = None, block_attributes: dict[str, list[str]] | None = None) -> DataFrame:
     """``docs`` with the URLs of ``html_col`` moved by ``mapping`` (ord, from_base, to_base); all else stays byte for byte.
 
-    Relative URLs are read against ``base_url`` and stay relative. ``id_col`` must be unique. Adds ``n_rewritten``.
+    Relative URLs are read against ``base_url`` (a URL, or a column of ``docs``) and stay relative. With ``by``, a row takes
+    the mappings of its own value of that column. ``id_col`` must be unique. Adds ``n_rewritten``.
     """
-    found = extract_urls(docs, id_col, html_col, tlds)
-    url = F.col("decoded")
-    first = F.lit(base_url) if base_url else F.lit(None).cast("string")
-    relative = ~url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//") & (F.col("kind") != "text")
+    found = extract_urls(docs, id_col, html_col, tlds, block_attributes=block_attributes)
+    first = base_url if isinstance(base_url, Column) else F.lit(base_url or None).cast("string")
+    if by or isinstance(base_url, Column):
+        found = found.join(docs.select(F.col(id_col), *([F.col(by).alias("__of")] if by else []), first.alias("__base")), id_col)
+    else:
+        found = found.withColumn("__base", first)
+    if by:
+        mapping = mapping.withColumnRenamed(by, "__of")
+    url, first = F.col("decoded"), F.col("__base")
+    relative = ~url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//") & ~url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & (F.col("kind") != "text")
     origin = F.concat(U.scheme(first), F.lit("://"), U.part(first, 2))
     absolute = F.when(relative & url.startswith("/"), F.concat(origin, url)).when(relative, F.lit(None)).otherwise(U.with_scheme(url, F.coalesce(U.scheme(first), F.lit("https"))))
-    moved = match_mappings(found.withColumn("relative", relative).withColumn("absolute", absolute).filter("absolute IS NOT NULL"), mapping, "absolute", longest).filter("to_base IS NOT NULL")
-    new = U.rebase_url(F.col("absolute"), F.col("from_base"), F.col("to_base"), F.col("relative"))
+    placed = found.withColumn("relative", relative).withColumn("absolute", absolute).filter("absolute IS NOT NULL")
+    moved = match_mappings(placed, mapping, "absolute", longest, "__of" if by else None).filter("to_base IS NOT NULL")
+    new = U.rebase_url(F.col("absolute"), F.col("from_base"), F.col("to_base"), F.col("relative"), F.lit(True))
     bare = (F.col("kind") == "text") & ~url.rlike(r"^[A-Za-z]+://")
     new = F.when(bare & url.startswith("//"), F.regexp_replace(new, r"^[a-z]+:", "")).when(bare, F.regexp_replace(new, r"^[a-z]+://", "")).otherwise(new)
     edits = moved.withColumn("new", encode_for(F.col("kind"), new)).filter("new <> raw").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "new"))).alias("__edits"))
@@ -99,9 +116,10 @@ def rewrite_content(docs: DataFrame, mapping: DataFrame, id_col: str, html_col:
 
 
 def splice(text: Column, edits: Column) -> Column:
-    """``text`` with each of the sorted edits (start, end, new) in place; what lies between is copied."""
-    step = lambda acc, e: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), e["new"]).alias("out"), e["end"].alias("at"))
-    return F.aggregate(edits, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """``text`` with each of the sorted edits (start, end, new) in place; what lies between is copied once."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(edits, lambda e: e["end"]))
+    pieces = F.zip_with(edits, F.slice(ends, F.lit(1), F.size(edits)), lambda e, at: F.concat(F.substring(text, at + 1, e["start"] - at), e["new"]))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
 
 
 def site_mappings(headers: DataFrame, targets: DataFrame) -> DataFrame:
@@ -124,13 +142,19 @@ def _canonical(host: str | None) -> str | None:
 
 
 def canonical_hosts(df: DataFrame, host_col: str, out: str = "canonical_host") -> DataFrame:
-    """``df`` with hosts case-folded, percent-decoded and in punycode; each distinct host is worked out once."""
+    """``df`` with hosts case-folded, percent-decoded and in punycode.
+
+    Plain hosts are lower-cased; of all others, each distinct one is worked out once.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_canonical(x) for x in batch.column(0).to_pylist()], pa.string())], ["__host", out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_canonical(x) for x in batch.column(0).to_pylist()], pa.string())], ["__host", "__form"])
 
-    distinct = df.select(F.col(host_col).alias("__host")).filter("__host IS NOT NULL").distinct()
-    return df.join(distinct.mapInArrow(run, f"__host string, {out} string"), F.col(host_col) == F.col("__host"), "left").drop("__host")
+    host = F.col(host_col)
+    plain = F.coalesce(host.rlike(r"^[A-Za-z0-9._\-]*$"), F.lit(True))
+    odd = df.filter(~plain).select(host.alias("__host")).distinct().mapInArrow(run, "__host string, __form string")
+    return df.join(odd, host == F.col("__host"), "left").withColumn(out, F.when(plain, F.lower(host)).otherwise(F.col("__form"))).drop("__host", "__form")
 
 
 # --- remaps and inventories ----------------------------------------------------------------------------------------------
@@ -158,6 +182,12 @@ def apply_url_remap(docs: DataFrame, remaps: DataFrame, text_col: str, by: str =
     return docs.join(lists, by, "left").withColumn(text_col, new).drop("__remaps")
 
 
+def remap_enclosures(meta: DataFrame, remaps: DataFrame) -> DataFrame:
+    """Post metadata (export_id, key, value) with the remaps of its export applied to the values of ``enclosure``."""
+    enclosed = apply_url_remap(meta.filter("key = 'enclosure'"), remaps, "value").select(*meta.columns)
+    return meta.filter("NOT coalesce(key = 'enclosure', false)").unionByName(enclosed)
+
+
 def inventory(occurrences: DataFrame, own_hosts: DataFrame | None = None) -> DataFrame:
     """Counts by kind, scheme and host, with ``internal`` for hosts in ``own_hosts`` (column ``host``)."""
     named = occurrences.withColumn("scheme", U.scheme(F.col("decoded"))).withColumn("host", U.host(F.col("decoded")))

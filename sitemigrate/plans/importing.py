@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemigrate.operators import authors as A
@@ -49,6 +49,12 @@ class ImportOptions:
     transform_comments: Transform = same
     transform_postmeta: Transform = same
     transform_termmeta: Transform = same
+    transform_commentmeta: Transform = same
+    transform_content: Transform = same  # posts that are made, after their URLs moved
+    postmeta_key: Column | None = None  # an expression of key and value; null or empty leaves the row out
+    termmeta_key: Column | None = None
+    block_attributes: dict[str, list[str]] | None = None  # further block attributes that may hold relative URLs
+    salvage: bool = True  # items that aren't XML are read by their tags
 
 
 @dataclass
@@ -75,6 +81,9 @@ def import_exports(spark: SparkSession, paths: str | list[str], site: SiteTables
     headers = keep(spark, exports.validate_exports(exports.headers_of(channel)))
     valid = headers.filter("status <> 'error'")
     parsed = keep(spark, exports.parse_items(items, valid))
+    refused = exports.quarantine(parsed)
+    if o.salvage:
+        parsed = keep(spark, parsed.filter("error IS NULL").unionByName(exports.read_leniently(refused)))
     channel = keep(spark, exports.parse_channel(channel, valid))
     flat = exports.flatten_entities(parsed)
     log = [headers.select("export_id", F.lit("export").alias("entity"), F.col("status").alias("outcome"), "reason")]
@@ -99,15 +108,18 @@ def import_exports(spark: SparkSession, paths: str | list[str], site: SiteTables
     log.append(term_rows.select(F.col("export_id"), F.lit("term").alias("entity"), F.when(F.col("is_new"), "created").otherwise("exists").alias("outcome"), F.lit(None).cast("string").alias("reason")))
     bridge = links.select(F.col("new_id").alias("post_id"), terms.legacy_domain("domain").alias("taxonomy"), "slug").join(term_rows.select("taxonomy", "slug", "term_id"), ["taxonomy", "slug"])
     bridge = terms.post_terms_bridge(bridge)
-    new_termmeta = terms.new_term_meta(o.transform_termmeta(termmeta), term_rows).select("term_id", "key", "value").filter("coalesce(key, '') <> ''")
+    new_termmeta = terms.new_term_meta(o.transform_termmeta(termmeta), term_rows).select("term_id", (F.col("key") if o.termmeta_key is None else o.termmeta_key).alias("key"), "value").filter("coalesce(key, '') <> ''")
 
     final = _link_posts(spark, post_rows, post_map, author_map, valid, o)
-    comments, commentmeta = _comments(spark, site, o.transform_comments(flat["comments"]), flat["commentmeta"], post_map, author_map)
+    comments, commentmeta = _comments(spark, site, o.transform_comments(flat["comments"]), o.transform_commentmeta(flat["commentmeta"]), post_map, author_map)
     log.append(comments.select("export_id", F.lit("comment").alias("entity"), F.lit("created").alias("outcome"), F.lit(None).cast("string").alias("reason")))
 
     id_pairs = post_map.filter("old_id <> 0").select("export_id", "old_id", "new_id")
     own_meta = o.transform_postmeta(flat["postmeta"]).join(post_map.select("export_id", "post_doc_pos", F.col("new_id").alias("post_id")), ["export_id", "post_doc_pos"])
-    own_meta = meta.remap_references(meta.filter_keys(own_meta.select("export_id", "post_id", "key", "value")), author_map, id_pairs).select("post_id", "key", "value")
+    own_meta = meta.remap_references(meta.filter_keys(own_meta.select("export_id", "post_id", "key", "value"), o.postmeta_key), author_map, id_pairs)
+    if o.url_remaps is not None:
+        own_meta = urls.remap_enclosures(own_meta, o.url_remaps)
+    own_meta = own_meta.select("post_id", "key", "value")
     menu_rows, menu_log = _menus(spark, site, routed.filter("route = 'menu'"), flat, term_rows, declared, id_pairs, o)
     log.append(menu_log)
 
@@ -130,7 +142,7 @@ def import_exports(spark: SparkSession, paths: str | list[str], site: SiteTables
     everything = log[0]
     for rows in log[1:]:
         everything = everything.unionByName(rows)
-    return ImportResult(new_site, headers, exports.quarantine(parsed), everything)
+    return ImportResult(new_site, headers, refused, everything)
 
 
 def _users(spark, site: SiteTables, headers: DataFrame, declared: DataFrame, all_posts: DataFrame, o: ImportOptions):
@@ -156,8 +168,9 @@ def _posts(spark, site: SiteTables, loading: DataFrame, o: ImportOptions) -> Dat
     """Posts with ``new_id``, ``inserted`` (a new row is made) and ``existed`` (the site had it)."""
     matched = posts.match_existing(loading, site.posts, o.existing_override)
     # An item like one of any file before it meets the post that this one makes, as if the files came one after the other.
-    first = matched.groupBy(*posts.NATURAL_KEY).agg(F.min(F.struct("export_id", "doc_pos")).alias("__meet"))
-    keyed = matched.join(first, [matched[c].eqNullSafe(first[c]) for c in posts.NATURAL_KEY]).select(matched["*"], "__meet")
+    key = [F.coalesce(F.col(c), F.lit("")).alias(f"__{c}") for c in posts.NATURAL_KEY]
+    first = matched.groupBy(*key).agg(F.min(F.struct("export_id", "doc_pos")).alias("__meet"))
+    keyed = matched.select("*", *key).join(first, [f"__{c}" for c in posts.NATURAL_KEY]).select(matched["*"], "__meet")
     keyed = keyed.withColumn("inserted", F.col("existing_id").isNull() & (F.col("__meet") == F.struct("export_id", "doc_pos"))).withColumn("existed", F.col("existing_id").isNotNull())
     new = ids.allocate_ids(spark, keyed.filter("inserted"), site.posts, "post_id", "ID", ["export_id", "doc_pos"])
     others = keyed.filter("NOT inserted").join(new.select(F.col("export_id").alias("__e"), F.col("doc_pos").alias("__p"), "new_id"), (F.col("__meet.export_id") == F.col("__e")) & (F.col("__meet.doc_pos") == F.col("__p")), "left")
@@ -171,12 +184,14 @@ def _link_posts(spark, post_rows: DataFrame, post_map: DataFrame, author_map: Da
     out = posts.remap_parents(out, post_map.filter("old_id <> 0").select("export_id", "old_id", "new_id"))
     if o.rewrite_urls and o.site_url:
         targets = headers.select("export_id", F.lit(o.site_url).alias("site_url"))
-        mapping = urls.site_mappings(headers, targets).select("ord", "from_base", "to_base").distinct()
+        mapping = urls.site_mappings(headers, targets)  # each export's links move from its own base only
+        out = keep(spark, out.join(headers.select("export_id", F.col("base_url").alias("__base_url")), "export_id", "left"))
         for column in ("post_content", "post_excerpt"):
-            out = urls.rewrite_content(out, mapping, "new_id", column).drop("n_rewritten") if column == "post_content" else out.drop("post_excerpt").join(urls.rewrite_content(out.select("new_id", "post_excerpt"), mapping, "new_id", column).drop("n_rewritten"), "new_id", "left")
+            out = urls.rewrite_content(out, mapping, "new_id", column, F.col("__base_url"), by="export_id", block_attributes=o.block_attributes).drop("n_rewritten")
+        out = out.drop("__base_url")
     if o.url_remaps is not None:
         out = urls.apply_url_remap(out, o.url_remaps, "post_content")
-    return out
+    return o.transform_content(out)
 
 
 def _terms(spark, site: SiteTables, ordered: DataFrame, o: ImportOptions) -> DataFrame:
@@ -209,6 +224,7 @@ def _menus(spark, site: SiteTables, items: DataFrame, flat: dict, term_rows: Dat
     named = joined.select(
         "export_id", "post_doc_pos", F.col("post_id").alias("item_id"), "post_title", "terms", F.col("_menu_item_type").alias("item_type"), F.col("_menu_item_object_id").try_cast("bigint").alias("object_id"),
         F.coalesce(F.col("_menu_item_menu_item_parent").try_cast("bigint"), F.lit(0)).alias("parent_item"), F.col("_menu_item_classes").alias("classes"), F.col("_menu_item_url").alias("url"),
+        F.col("_menu_item_target").alias("target"), F.col("_menu_item_xfn").alias("xfn"), F.col("post_content").alias("description"), F.col("post_excerpt").alias("attr_title"), "menu_order",
     )
     with_menu = menus.menu_of(named, term_rows.filter("taxonomy = 'nav_menu'").select("slug", F.col("term_id").alias("menu_id")))
     term_pairs = declared.filter("term_id <> 0").join(term_rows.select("taxonomy", "slug", F.col("term_id").alias("new_id")), ["taxonomy", "slug"]).groupBy("export_id", F.col("term_id").alias("old_id")).agg(F.min("new_id").alias("new_id"))
@@ -219,6 +235,6 @@ def _menus(spark, site: SiteTables, items: DataFrame, flat: dict, term_rows: Dat
     top = site.posts.select("ID").unionByName(site.menu_items.select("ID")).unionByName(id_pairs.select(F.col("new_id").alias("ID")))
     numbered = ids.allocate_ids(spark, good.withColumn("__old", F.lit(0).cast("long")), top, "__old", "ID", ["export_id", "post_doc_pos"]).drop("__old")
     parents = menus.css_classes(menus.link_parents(keep(spark, numbered)))
-    rows = parents.select(F.col("new_id").alias("ID"), "menu_id", "post_title", "item_type", F.col("new_object_id").alias("object_id"), F.col("new_parent").alias("menu_item_parent"), "classes", "url")
+    rows = parents.select(F.col("new_id").alias("ID"), "menu_id", "post_title", "item_type", F.col("new_object_id").alias("object_id"), F.col("new_parent").alias("menu_item_parent"), "classes", "url", "target", "xfn", "description", "attr_title", "menu_order")
     log = linked.select("export_id", F.lit("menu item").alias("entity"), F.when(F.col("reason").isNull(), "created").otherwise("reject").alias("outcome"), "reason")
     return rows, log

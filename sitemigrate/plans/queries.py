@@ -85,15 +85,21 @@ def export_salvage(spark, d):
     third = F.regexp_extract("item_xml", r"<wp:post_id>(\d+)", 1).cast("long") % 3 == 0
     broken = items.withColumn("item_xml", F.when(third, F.concat("item_xml", F.lit("<b>"))).otherwise(F.col("item_xml")))
     saved = exports.salvage(exports.quarantine(exports.parse_items(broken, exports.headers_of(channel))))
-    plain = saved.withColumn("post_content", _unescape("post_content"))
-    return plain.select(F.col("post_id").alias("doc_id"), F.length("post_content").cast("long").alias("n_chars"))
+    return saved.select(F.col("post_id").alias("doc_id"), F.length("post_content").cast("long").alias("n_chars"))
 
 
-def _unescape(c: str):
-    out = F.col(c)
-    for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&#13;", "\r"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(raw))
-    return out
+@query("SELECT doc_id, lang AS slug, 'Language ' || lang AS name, 'a <b> ' || doc_id AS value, 'c' || doc_id AS author FROM documents WHERE doc_id % 2 = 0")
+def salvage_entities(spark, d):
+    """Terms, metadata and comments of items that aren't XML."""
+    of = F.col("post_id").cast("string")
+    extra = {"postmeta": F.array(F.struct(F.lit("k").alias("key"), F.concat(F.lit("a <b> "), of).alias("value"))), "comments": F.array(F.struct(F.lit(7).alias("comment_id"), F.concat(F.lit("c"), of).alias("author"), *(F.lit("x").alias(c) for c in ("date", "content", "approved", "parent")), F.lit(0).alias("user_id")))}
+    path = exports.write_exports(document_posts(spark, d).withColumns(extra).drop("post_content"), scratch_dir(spark) + "/exports", "export", "post_id")
+    items, channel = exports.split_chunks(exports.read_chunks(spark, path))
+    half = F.regexp_extract("item_xml", r"<wp:post_id>(\d+)", 1).cast("long") % 2 == 0
+    broken = items.withColumn("item_xml", F.when(half, F.concat("item_xml", F.lit("<b>"))).otherwise(F.col("item_xml")))
+    parsed = exports.parse_items(broken, exports.headers_of(channel))
+    rows = exports.read_leniently(exports.quarantine(parsed))
+    return rows.select(F.col("post_id").alias("doc_id"), F.explode("terms").alias("t"), "postmeta", "comments").select("doc_id", "t.slug", "t.name", F.col("postmeta")[0]["value"].alias("value"), F.col("comments")[0]["author"].alias("author"))
 
 
 # --- posts -------------------------------------------------------------------------------------------------------------
@@ -115,13 +121,13 @@ def route_posts(spark, d):
 
 
 @query("""
-SELECT k.export_id, k.post_title, k.post_date, k.post_type, s.existing_id FROM
-(SELECT o_orderkey, 'x' AS export_id, CAST(o_custkey AS VARCHAR) AS post_title, strftime(o_orderdate, '%Y-%m') AS post_date, o_orderstatus AS post_type FROM orders WHERE o_orderkey % 2 = 1) k
-LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS post_title, strftime(o_orderdate, '%Y-%m') AS post_date, o_orderstatus AS post_type, min(o_orderkey) AS existing_id FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2, 3) s
-USING (post_title, post_date, post_type)
+WITH r AS (SELECT o_orderkey, 'x' AS export_id, CAST(o_custkey AS VARCHAR) AS post_title, CASE WHEN o_orderkey % 6 IN (1, 4) THEN NULL ELSE strftime(o_orderdate, '%Y-%m') END AS post_date, o_orderstatus AS post_type FROM orders)
+SELECT k.export_id, k.post_title, k.post_date, k.post_type, s.existing_id FROM (SELECT * FROM r WHERE o_orderkey % 2 = 1) k
+LEFT JOIN (SELECT post_title, post_date, post_type, min(o_orderkey) AS existing_id FROM r WHERE o_orderkey % 2 = 0 GROUP BY 1, 2, 3) s
+ON k.post_title = s.post_title AND k.post_date IS NOT DISTINCT FROM s.post_date AND k.post_type = s.post_type
 """)
 def existing_posts(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", F.lit("x").alias("export_id"), F.col("o_custkey").cast("string").alias("post_title"), F.date_format("o_orderdate", "yyyy-MM").alias("post_date"), F.col("o_orderstatus").alias("post_type"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit("x").alias("export_id"), F.col("o_custkey").cast("string").alias("post_title"), F.when(~(F.col("o_orderkey") % 6).isin(1, 4), F.date_format("o_orderdate", "yyyy-MM")).alias("post_date"), F.col("o_orderstatus").alias("post_type"))
     site = rows.filter("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "ID")
     return posts.match_existing(rows.filter("o_orderkey % 2 = 1").drop("o_orderkey"), site)
 
@@ -459,20 +465,24 @@ def fetch_validation(spark, d):
 
 
 @query("""
-WITH f AS (SELECT page_id, page_id % 5 AS folder, CASE WHEN page_id % 3 = 0 THEN 'photo' || (page_id % 10) || '.jpg' WHEN page_id % 3 = 1 THEN 'file' || (page_id % 4) || '.png' ELSE 'n' || (page_id % 6) || '.gif' END AS file_name FROM pages),
-n AS (SELECT *, row_number() OVER (PARTITION BY folder, file_name ORDER BY page_id) - 1 AS n FROM f)
-SELECT page_id, file_name, true AS allowed, CASE WHEN n = 0 THEN file_name ELSE replace(file_name, '.', '-' || n || '.') END AS unique_name FROM n
+WITH f AS (SELECT page_id, page_id % 5 AS folder, CASE WHEN page_id % 3 = 0 THEN 'photo' || (page_id % 10) || '.jpg' WHEN page_id % 3 = 1 THEN 'file' || (page_id % 4) || '.png' ELSE 'n' || CASE WHEN page_id % 11 = 0 THEN '2-' || (page_id % 4) ELSE (page_id % 6)::VARCHAR END || '.gif' END AS file_name FROM pages),
+site(folder, file_name) AS (VALUES (0, 'photo0.jpg'), (1, 'FILE1.png'), (2, 'n2-5.gif'), (2, 'photo3-1.jpg')),
+names AS (SELECT DISTINCT folder, lower(file_name) AS name FROM (SELECT folder, file_name FROM f UNION ALL SELECT folder, file_name FROM site)),
+n AS (SELECT f.*, row_number() OVER (PARTITION BY f.folder, f.file_name ORDER BY page_id) - CASE WHEN s.file_name IS NULL THEN 1 ELSE 0 END AS n FROM f LEFT JOIN site s ON s.folder = f.folder AND lower(s.file_name) = f.file_name),
+free AS (SELECT page_id, k, row_number() OVER (PARTITION BY page_id ORDER BY k) AS r FROM n, range(1, n.n + 20) t(k) WHERE n.n > 0 AND NOT EXISTS (SELECT 1 FROM names WHERE names.folder = n.folder AND names.name = replace(n.file_name, '.', '-' || k || '.')))
+SELECT page_id, file_name, true AS allowed, CASE WHEN n = 0 THEN file_name ELSE replace(file_name, '.', '-' || k || '.') END AS unique_name FROM n LEFT JOIN free USING (page_id) WHERE n = 0 OR r = n
 """)
 def attachment_names(spark, d):
     k = F.col("page_id")
     rows = table(spark, d, "pages").select(
         "page_id", (k % 5).cast("string").alias("folder"),
         F.when(k % 3 == 0, F.concat(F.lit("https://x.example.org/a/photo"), (k % 10).cast("string"), F.lit(".jpg?size=2"))).otherwise("https://x.example.org/").alias("url"),
-        F.when(k % 3 == 1, F.concat(F.lit('attachment; filename="file'), (k % 4).cast("string"), F.lit('"'))).when(k % 3 == 2, F.concat(F.lit("inline; filename=n"), (k % 6).cast("string"), F.lit(".gif"))).alias("content_disposition"),
+        F.when(k % 3 == 1, F.concat(F.lit('attachment; filename="file'), (k % 4).cast("string"), F.lit('"'))).when(k % 3 == 2, F.concat(F.lit("inline; filename=n"), F.when(k % 11 == 0, F.concat(F.lit("2-"), (k % 4).cast("string"))).otherwise((k % 6).cast("string")), F.lit(".gif"))).alias("content_disposition"),
         F.when(k % 3 == 1, "image/png; q=1").otherwise("image/jpeg").alias("content_type"),
     )
     mime = spark.createDataFrame([("image/png", "png"), ("image/jpeg", "jpg|jpeg|jpe"), ("image/gif", "gif")], "mime_type string, extensions string")
-    return attachments.unique_names(attachments.name_files(rows, mime), "page_id").select("page_id", "file_name", "allowed", "unique_name")
+    there = spark.createDataFrame([("0", "photo0.jpg"), ("1", "FILE1.png"), ("2", "n2-5.gif"), ("2", "photo3-1.jpg")], "folder string, file_name string")
+    return attachments.unique_names(attachments.name_files(rows, mime), "page_id", there).select("page_id", "file_name", "allowed", "unique_name")
 
 
 @query("""
@@ -596,14 +606,43 @@ def url_block_attrs(spark, d):
     return found.select("page_id", "decoded")
 
 
-@query()
+@query("""
+WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE text IS NOT NULL)
+SELECT w || '.' || CASE length(w) % 4 WHEN 0 THEN 'example.org' WHEN 1 THEN 'xn--cole-9oa.fr' WHEN 2 THEN 'xn--bcher-kva.example' ELSE 'xn--ls8h.la' END AS canonical_host, count(*) AS n FROM w GROUP BY 1
+""")
 def idn_hosts(spark, d):
-    """International hosts made from the documents' first words, in one form."""
-    host = F.concat(F.regexp_extract("text", r"(\p{L}+)", 1), F.lit(".Example.ORG"))
-    hosts = table(spark, d, "documents").select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+    """International hosts made from all words of the documents, in one form."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    k = F.length("w") % 4
+    end = F.when(k == 0, "Example.ORG").when(k == 1, "\u00c9cole.fr").when(k == 2, "b%C3%BCcher.example").otherwise("\U0001f4a9.la")
+    hosts = words.select(F.concat(F.upper("w"), F.lit("."), end).alias("host"), "n")
     return urls.canonical_hosts(hosts, "host").groupBy("canonical_host").agg(F.sum("n").alias("n"))
 
 
+@query("""
+SELECT page_id, 'https://h' || page_id || '.example.org' AS decoded FROM pages WHERE page_id % 4 = 2
+UNION ALL SELECT page_id, 'https://h' || page_id || '.example.org/p—q' FROM pages WHERE page_id % 4 = 3
+""")
+def url_text_rules(spark, d):
+    """URLs in texts: none with credentials or two colons, hosts end before dashes, paths don't."""
+    k = F.col("page_id").cast("string")
+    text = F.concat(F.lit("see https://user:pw@h"), k, F.lit(".example.org/x now"))
+    text = F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("see https://a"), k, F.lit("::b/x now"))).otherwise(text)
+    text = F.when(F.col("page_id") % 4 == 2, F.concat(F.lit("at https://h"), k, F.lit(".example.org—see"))).otherwise(text)
+    text = F.when(F.col("page_id") % 4 == 3, F.concat(F.lit("at https://h"), k, F.lit(".example.org/p—q, ok"))).otherwise(text)
+    return urls.extract_urls(table(spark, d, "pages").select("page_id", text.alias("html")), "page_id", "html").select("page_id", "decoded")
+
+
+@query("SELECT page_id AS export_id, CASE WHEN page_id % 3 = 0 THEN 'enclosure' WHEN page_id % 3 = 1 THEN 'other' END AS key, CASE WHEN page_id % 3 = 0 THEN 'https://new.example.com/' || page_id ELSE url END || chr(10) || '17' AS value FROM pages")
+def enclosure_remap(spark, d):
+    """Metadata of attachments that were fetched: the URLs of enclosures move, other values stay."""
+    pages = table(spark, d, "pages")
+    key = F.when(F.col("page_id") % 3 == 0, "enclosure").when(F.col("page_id") % 3 == 1, "other")
+    rows = pages.select(F.col("page_id").alias("export_id"), key.alias("key"), F.concat("url", F.lit("\n17")).alias("value"))
+    remaps = pages.select(F.col("page_id").alias("export_id"), F.col("url").alias("from_url"), F.concat(F.lit("https://new.example.com/"), F.col("page_id").cast("string")).alias("to_url"))
+    return urls.remap_enclosures(rows, remaps)
+
+
 # --- blocks ------------------------------------------------------------------------------------------------------------
 
 
@@ -730,6 +769,22 @@ def import_posts(spark, d):
     return result.site.posts.filter("post_title <> 'Document 0'").select(F.col("ID").alias("post_id"), "post_parent", F.length("post_content").cast("long").alias("n_chars"))
 
 
+@query("""
+SELECT page_id, CASE WHEN page_id % 2 = 0
+  THEN '<a href="/p' || page_id || '">r</a> <a href="https://new.example.com/q' || page_id || '">a</a> <a href="https://ÉCOLE.example.org/z' || page_id || '">i</a> <!-- wp:image {"url":"/i.png"} /-->'
+  ELSE '<a href="/science/p' || page_id || '">r</a> <a href="https://old.example.org/science/q' || page_id || '">a</a> <a href="https://new.example.com/z' || page_id || '">i</a> <!-- wp:image {"url":"/science/i.png"} /-->' END AS post_content FROM pages
+""")
+def import_rewrite(spark, d):
+    """Two exports: each one's own links move, absolute, relative, in blocks, and to an international host; the other's stay."""
+    k = F.col("page_id").cast("string")
+    text = F.concat(F.lit('<a href="/science/p'), k, F.lit('">r</a> <a href="https://old.example.org/science/q'), k, F.lit('">a</a> <a href="https://\u00c9COLE.example.org/z'), k, F.lit('">i</a> <!-- wp:image {"url":"/science/i.png"} /-->'))
+    rows = table(spark, d, "pages").select(F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("export"), F.col("page_id").alias("post_id"), F.concat(F.lit("Page "), k).alias("post_title"), text.alias("post_content"), F.lit("publish").alias("status"), F.lit("post").alias("post_type"))
+    base = F.when(F.col("export") == "even", "https://old.example.org/science").otherwise("https://xn--cole-9oa.example.org")
+    path = exports.write_exports(rows, scratch_dir(spark) + "/exports", "export", "post_id", base_url=base)
+    result = import_exports(spark, path, SiteTables.empty(spark), ImportOptions(rewrite_urls=True, site_url="https://new.example.com"))
+    return result.site.posts.select(F.substring("post_title", 6, 20).cast("long").alias("page_id"), "post_content")
+
+
 @query("SELECT entity, outcome, n FROM (SELECT 'post' AS entity, 'created' AS outcome, count(*) AS n FROM documents UNION ALL SELECT 'term', 'created', count(DISTINCT lang) FROM documents UNION ALL SELECT 'export', 'ok', count(DISTINCT source) FROM documents UNION ALL SELECT 'author', 'created', count(*) FROM (SELECT DISTINCT source, lang FROM documents))")
 def import_report(spark, d):
     result = import_exports(spark, document_exports(spark, d), SiteTables.empty(spark))

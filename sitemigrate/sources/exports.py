@@ -18,7 +18,12 @@ from sitemigrate import schema
 from sitemigrate.functions import item_xml
 from sitemigrate.storage import exists
 
-DEFAULT_ROOT = f'<rss version="2.0" xmlns:excerpt="http://{item_xml.EXPORT}/1.2/excerpt/" xmlns:content="{item_xml.CONTENT}" xmlns:dc="{item_xml.DC}" xmlns:wp="http://{item_xml.EXPORT}/1.2/">'
+#: Host of the namespaces that are written; where a consumer asks for another one, pass it to ``write_exports``.
+NAMESPACE_HOST = "export.example.org"
+
+
+def root_tag(host: str = NAMESPACE_HOST) -> str:
+    return f'<rss version="2.0" xmlns:excerpt="http://{host}/export/1.2/excerpt/" xmlns:content="{item_xml.CONTENT}" xmlns:dc="{item_xml.DC}" xmlns:wp="http://{host}/export/1.2/">'
 
 
 # --- scanning ----------------------------------------------------------------------------------------------------------
@@ -30,18 +35,34 @@ def chunks_of(raw: DataFrame) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Pieces of export files between ends of items; a piece that ends inside a CDATA section goes on in the next one."""
+    """Pieces of export files between ends of items; a piece that ends inside a CDATA section goes on in the next one.
+
+    Whether a section is open is carried along the blocks of a file that Spark reads in one task, and from block to block by
+    one row for each; only the pieces of torn items are put together.
+    """
     chunks = chunks_of(spark.read.option("lineSep", "</item>").option("recursiveFileLookup", "true").text(paths))
     opened, closed = (F.length("chunk") - F.locate(mark, F.reverse("chunk")) for mark in ("[ATADC[!<", ">]]"))
     last_open, last_close = F.when(F.contains("chunk", F.lit("<![CDATA[")), opened).otherwise(-1), F.when(F.contains("chunk", F.lit("]]>")), closed).otherwise(-1)
     marked = chunks.withColumn("ends_open", F.when((last_open >= 0) | (last_close >= 0), last_open > last_close))
     torn = marked.filter("ends_open").select("export_id").distinct()  # only such files are put in order
     whole = marked.join(torn, "export_id", "left_anti").select("export_id", "doc_pos", "chunk")
-    order = Window.partitionBy("export_id").orderBy("doc_pos")
-    state = marked.join(torn, "export_id", "left_semi").withColumn("open", F.coalesce(F.last("ends_open", ignorenulls=True).over(order), F.lit(False)))
-    first = state.withColumn("n", F.sum(F.when(F.coalesce(F.lag("open").over(order), F.lit(False)), 0).otherwise(1)).over(order))
-    joined = first.groupBy("export_id", "n").agg(F.min("doc_pos").alias("doc_pos"), F.sort_array(F.collect_list(F.struct("doc_pos", "chunk"))).alias("parts"))
-    return whole.unionByName(joined.select("export_id", "doc_pos", F.array_join(F.col("parts.chunk"), "</item>").alias("chunk")))
+    rows = marked.join(torn, "export_id", "left_semi").withColumn("block", F.col("doc_pos.block"))
+    within = Window.partitionBy("export_id", "block").orderBy("doc_pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(df: DataFrame, of: str, out: str) -> DataFrame:
+        """``df`` with the last ``of`` that isn't null of all pieces before, in the same block or in earlier ones."""
+        ends = df.groupBy("export_id", "block").agg(F.max_by(of, F.when(F.col(of).isNotNull(), F.col("doc_pos"))).alias("end"))
+        earlier = Window.partitionBy("export_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("export_id", "block", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+        return df.join(carried, ["export_id", "block"]).withColumn(out, F.coalesce(F.last(of, ignorenulls=True).over(within), "carried")).drop("carried")
+
+    rows = before(rows, "ends_open", "open").withColumn("open", F.coalesce("open", F.lit(False)))
+    rows = before(rows.withColumn("start", F.when(~F.col("open"), F.col("doc_pos"))), "start", "item").withColumn("item", F.coalesce("start", "item"))
+    torn_items = rows.filter("open").select("export_id", "item").distinct()
+    parts = rows.join(torn_items, ["export_id", "item"], "left_semi")
+    joined = parts.groupBy("export_id", "item").agg(F.sort_array(F.collect_list(F.struct("doc_pos", "chunk"))).alias("parts"))
+    single = rows.join(torn_items, ["export_id", "item"], "left_anti").select("export_id", "doc_pos", "chunk")
+    return whole.unionByName(single).unionByName(joined.select("export_id", F.col("item").alias("doc_pos"), F.array_join(F.col("parts.chunk"), "</item>").alias("chunk")))
 
 
 ITEM_AT = r"(?s)^(.*?)(<item[\s>].*)$"
@@ -110,7 +131,7 @@ def _parse(df: DataFrame, text: str, kind: str, parse) -> DataFrame:
                 rows = []
                 for xml, root in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     try:
-                        rows.append(parse(root or DEFAULT_ROOT, xml))
+                        rows.append(parse(root or root_tag(), xml))
                     except (item_xml.ET.ParseError, ValueError) as e:
                         rows.append({"error": str(e)})
                 made = [pa.array([r.get(c) for r in rows], arrow.field(c).type) for c in columns]
@@ -165,26 +186,14 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.filter("error IS NOT NULL").select("export_id", "doc_pos", "item_xml", "error")
 
 
-#: Tag of the lenient reading, by column.
-LENIENT = {
-    "post_title": "title", "guid": "guid", "post_author": "dc:creator", "post_content": "content:encoded", "post_excerpt": "excerpt:encoded", "post_id": "wp:post_id",
-    "post_date": "wp:post_date", "post_name": "wp:post_name", "status": "wp:status", "post_parent": "wp:post_parent", "post_type": "wp:post_type",
-}
+def read_leniently(quarantined: DataFrame) -> DataFrame:
+    """Refused items as rows of ``parse_items``, read by their tags alone: all fields, terms, metadata and comments."""
+    return _parse(quarantined.withColumn("root_tag", F.lit(None).cast("string")), "item_xml", schema.ITEM, lambda _, xml: item_xml.parse_leniently(xml))
 
 
 def salvage(quarantined: DataFrame) -> DataFrame:
-    """Fields of refused items by their tags alone; split CDATA sections are joined, ``<br>`` is closed."""
-
-    def field(column: str, tag: str) -> Column:
-        body = F.regexp_extract("item_xml", rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-        plain = F.regexp_extract(body, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", 1)
-        text = F.replace(F.when(body.rlike(r"(?s)^\s*<!\[CDATA\[.*\]\]>\s*$"), plain).otherwise(body), F.lit("]]]]><![CDATA[>"), F.lit("]]>"))
-        if column in ("post_content", "post_excerpt"):
-            lower = F.regexp_replace(text, r"<br\s*>", "<br />")
-            return lower.alias(column)
-        return (text.try_cast("bigint") if column in schema.POST_NUMBERS else text).alias(column)
-
-    return quarantined.select("export_id", "doc_pos", *(field(c, t) for c, t in LENIENT.items()))
+    """The scalar fields of refused items, read by their tags alone."""
+    return read_leniently(quarantined).drop("item_xml", "terms", "postmeta", "comments", "failed_casts", "error")
 
 
 # --- writing -----------------------------------------------------------------------------------------------------------
@@ -228,7 +237,7 @@ def item_text(columns: list[str]) -> Column:
     return F.concat(F.lit("<item>"), *parts, F.lit("</item>"))
 
 
-def write_exports(posts: DataFrame, path: str, export_col: str, order_col: str, version: Column | None = None, base_url: Column | None = None) -> str:
+def write_exports(posts: DataFrame, path: str, export_col: str, order_col: str, version: Column | None = None, base_url: Column | None = None, namespace_host: str = NAMESPACE_HOST) -> str:
     """One export file for each value of ``export_col`` below ``path``: ``export=<value>/``.
 
     An export is one file by nature, so a task writes it; items go out in the order of ``order_col``. Pass null as version
@@ -239,7 +248,7 @@ def write_exports(posts: DataFrame, path: str, export_col: str, order_col: str,
     items = posts.select(F.col(export_col).cast("string").alias("export"), F.lit(1).alias("part"), F.col(order_col).cast("string").alias("o"), F.lpad(F.col(order_col).cast("string"), 20, "0").alias("key"), item_text(posts.columns).alias("value"))
     of = posts.select(F.col(export_col).cast("string").alias("export"), version.alias("version"), base_url.alias("base_url")).distinct()
     head = F.concat(
-        F.lit(f'<?xml version="1.0" encoding="UTF-8" ?>\n{DEFAULT_ROOT}\n<channel>\n<title>'), escape(F.col("export")), F.lit("</title>"),
+        F.lit(f'<?xml version="1.0" encoding="UTF-8" ?>\n{root_tag(namespace_host)}\n<channel>\n<title>'), escape(F.col("export")), F.lit("</title>"),
         F.when(F.col("version").isNotNull(), F.concat(F.lit("<wp:wxr_version>"), escape(F.col("version")), F.lit("</wp:wxr_version>"))).otherwise(F.lit("")),
         F.lit("<wp:base_site_url>"), escape(F.col("base_url")), F.lit("</wp:base_site_url>"),
     )

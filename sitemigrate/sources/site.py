@@ -18,7 +18,7 @@ SCHEMAS = {
     "postmeta": "post_id bigint, key string, value string",
     "comments": "comment_id bigint, post_id bigint, author string, author_email string, author_url string, author_ip string, date string, date_gmt string, content string, approved string, type string, parent string, user_id bigint",
     "commentmeta": "comment_id bigint, key string, value string",
-    "menu_items": "ID bigint, menu_id bigint, post_title string, item_type string, object_id bigint, menu_item_parent bigint, classes string, url string",
+    "menu_items": "ID bigint, menu_id bigint, post_title string, item_type string, object_id bigint, menu_item_parent bigint, classes string, url string, target string, xfn string, description string, attr_title string, menu_order bigint",
     "sticky_posts": "post_id bigint",
     "id_map": "export_id string, kind string, old_key string, new_id bigint",
 }

@@ -1,10 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sitemigrate.functions.item_xml import EXPORT
 from sitemigrate.sources import exports
 
-HEAD = f'<?xml version="1.0"?>\n{exports.DEFAULT_ROOT}\n<channel><title>T</title>'
+EXPORT = "export.example.org/export"
+HEAD = f'<?xml version="1.0"?>\n{exports.root_tag()}\n<channel><title>T</title>'
 
 
 def export(tmp_path, name, body, version="1.2", head=HEAD):
