@@ -46,11 +46,22 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs no earlier stage. Hadoop deletes the table when the driver ends.
     """
+    return materialize_at(spark, df, name)[0]
+
+
+def materialize_at(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, with the folder, which ``drop_table`` can delete before the driver ends."""
     path = f"{shared_dir(spark)}/sitemigrate-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``materialize_at`` has written and nothing reads any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath.getParent(), True)
 
 
 def n_partitions(spark: SparkSession) -> int:

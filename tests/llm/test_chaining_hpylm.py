@@ -136,7 +136,10 @@ def test_predictive_probabilities_sum_to_one():
     model = hpylm.Model(0, int(count.sum()), v, hpylm.classes_of(np.zeros(0, np.int64)), 5, [])
     n = len(model.classes)
     for _ in range(3):
-        sums = hpylm.Bucket(0, cells, model).sums()
+        bucket = hpylm.Bucket(0, cells, model)
+        *_, drawn = bucket.draws()
+        assert [x.tolist() for x in vars(bucket.unpacked(bucket.packed(drawn))).values()][:5] == [x.tolist() for x in vars(drawn).values()][:5]
+        sums = bucket.sums(drawn)
         model.states.append(hpylm.State(sums[:n], sums[n : 2 * n], np.zeros(0), np.zeros(0), float(sums[4 * n]), float(sums[4 * n + 1]), (0.6, 0.5, 0.4), (1.5, 1.0, 0.7)))
     p = 10 ** hpylm.Bucket(0, cells, model).log10_predictive(1).reshape(v, 3)
     state = model.states[2]
@@ -279,3 +282,12 @@ def test_scores_are_near_a_sequential_sampler(spark, monkeypatch):
                     total[i, k] += model.p(place, w)
     want = sum(math.log10(x / draws) for x in total.values())
     assert sum(r["score"] for r in held.values()) == pytest.approx(want, rel=0.01)
+
+
+def test_tokens_of_many_texts_are_those_of_each():
+    rng = random.Random(16)
+    texts = [None, "", " \t", "One two", words(rng, 40), "x" * 50, None]
+    h, kind, n = hpylm.tokens_of_all(texts)
+    want = [hpylm.tokens_of(t) for t in texts]
+    assert n.tolist() == [len(w[0]) for w in want]
+    assert h.tolist() == [x for w in want for x in w[0].tolist()] and kind.tolist() == [x for w in want for x in w[1].tolist()]
