@@ -68,11 +68,10 @@ def attribute_paths(found: DataFrame, id_col: str, levels: int | None = None) ->
         levels = _json_depth(found)
     out = None
     for depth in range(1, max(levels, 1) + 1):
-        here.createOrReplaceTempView("__block_attrs")
-        exploded = here.sparkSession.sql(
-            f"SELECT b.`{id_col}`, b.ord, b.block, concat(b.path, CASE WHEN b.path = '' THEN '' ELSE '.' END, coalesce(e.key, cast(e.pos AS string))) AS path, e.value AS v "
-            "FROM __block_attrs b, LATERAL variant_explode(b.v) e"
-        )
+        inner = here.sparkSession.tvf.variant_explode(F.col("v").outer())
+        step = F.coalesce("key", F.col("pos").cast("string"))
+        path = F.concat("path", F.when(F.col("path") == "", "").otherwise("."), step)
+        exploded = here.lateralJoin(inner).select(F.col(id_col), "ord", "block", path.alias("path"), F.col("value").alias("v"))
         rows = exploded.select(F.col(id_col), "ord", "block", F.lit(depth).alias("depth"), "path", F.expr("cast(v as string)").alias("value"))
         out = rows if out is None else out.unionByName(rows)
         here = exploded.filter(F.expr("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'"))
