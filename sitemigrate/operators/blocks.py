@@ -96,6 +96,11 @@ def usage(found: DataFrame) -> DataFrame:
     return found.filter("NOT is_closer").groupBy("block").agg(F.count("*").alias("n"), F.count("attrs").alias("n_with_attrs"), F.sum(F.col("void").cast("long")).alias("n_void"))
 
 
+def attribute_usage(found: DataFrame, id_col: str) -> DataFrame:
+    """Openers by block and attribute of the first level."""
+    return attribute_paths(found, id_col, levels=1).groupBy("block", F.col("path").alias("attr")).agg(F.count("*").alias("n"))
+
+
 def serialize(block: Column, attrs: Column, void: Column, is_closer: Column) -> Column:
     """A delimiter from its parts: angle brackets and ampersands of the attributes as ``\\u`` escapes, empty ones left out."""
     safe = attrs

@@ -46,3 +46,13 @@ def repair_encoding(df: DataFrame, text_col: str) -> DataFrame:
     again = F.encode(c, "ISO-8859-1").cast("string")
     fits = F.coalesce(narrow & F.is_valid_utf8(again), F.lit(False))
     return df.withColumn("repaired", F.when(fits, again).otherwise(c)).withColumn("repair", F.when(fits, "latin-1 read as utf-8").otherwise("none"))
+
+
+def repair_bytes(df: DataFrame, bytes_col: str, out: str = "text") -> DataFrame:
+    """``df`` with ``out`` and ``repair``: bytes that aren't UTF-8 but were taken for it are read as Latin-1; others as UTF-8.
+
+    Every byte is a Latin-1 character, so nothing is lost; ``bytes_col`` is binary, and null stays null.
+    """
+    c = F.col(bytes_col)
+    valid = F.is_valid_utf8(c.cast("string"))
+    return df.withColumn(out, F.when(valid, F.decode(c, "UTF-8")).otherwise(F.decode(c, "ISO-8859-1"))).withColumn("repair", F.when(valid, "none").when(~valid, "utf-8 read as latin-1"))

@@ -729,6 +729,19 @@ def text_repair(spark, d):
     return text.repair_encoding(table(spark, d, "documents").select("doc_id", wrong.alias("text")), "text").select("doc_id", "repaired")
 
 
+@query("SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 AND regexp_matches(text, '[\u0080-\u00FF]') THEN 'utf-8 read as latin-1' ELSE 'none' END AS repair FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\u0000-\u00FF]')")
+def text_repair_bytes(spark, d):
+    """Bytes of every second text in Latin-1, the others in UTF-8, of texts that Latin-1 can hold."""
+    c = F.col("text")
+    rows = table(spark, d, "documents").filter(~c.rlike(r"[^\x00-\xFF]")).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode(c, "ISO-8859-1")).otherwise(F.encode(c, "UTF-8")).alias("raw"))
+    return text.repair_bytes(rows, "raw").select("doc_id", "text", "repair")
+
+
+@query("SELECT block, attr, count(*) AS n FROM (SELECT unnest([{'block': 'wp:group', 'attr': 'id'}, {'block': 'wp:group', 'attr': 'layout'}, {'block': 'wp:image', 'attr': 'url'}], recursive := true) FROM documents) GROUP BY 1, 2")
+def block_attribute_usage(spark, d):
+    return blocks.attribute_usage(blocks.delimiters(_block_docs(spark, d), "doc_id", "html"), "doc_id")
+
+
 # --- whole imports -----------------------------------------------------------------------------------------------------
 
 
