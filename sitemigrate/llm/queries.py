@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemigrate.llm import bitslice, bpe, chaining, hpylm, line_dedup, merkle, packing, periodic_runs, quality, secret_scan, simhash, warc_zip
+from sitemigrate.llm import bitslice, bottom_k, bpe, chaining, hpylm, line_dedup, merkle, packing, periodic_runs, quality, secret_scan, simhash, warc_zip
 from sitemigrate.llm.common import read_table
 
 
@@ -64,6 +64,11 @@ def op10_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op11_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottom_k.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return periodic_runs.digests(periodic_runs.periodic_runs(docs))
@@ -75,7 +80,7 @@ def op13_butterfly_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_collinear_chaining, op2_boosted_quality_rules, op3_line_window_dedup, op4_pitman_yor_scores, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle, op8_bit_sliced_top_k, op9_markov_secret_scan, op10_zip_packaged_warc, op12_recompression_runs, op13_butterfly_merkle_manifest)
+    f.__name__: f for f in (op1_collinear_chaining, op2_boosted_quality_rules, op3_line_window_dedup, op4_pitman_yor_scores, op5_bpe_automaton, op6_exact_complement_packing, op7_simhash_meet_in_the_middle, op8_bit_sliced_top_k, op9_markov_secret_scan, op10_zip_packaged_warc, op11_bottom_k_near_duplicates, op12_recompression_runs, op13_butterfly_merkle_manifest)
 }
 
 ORACLES: dict[str, str] = {"op3_line_window_dedup": line_dedup.ORACLE_SQL, "op8_bit_sliced_top_k": bitslice.ORACLE_SQL, "op10_zip_packaged_warc": warc_zip.ORACLE_SQL, "op12_recompression_runs": periodic_runs.ORACLE_SQL, "op13_butterfly_merkle_manifest": merkle.ORACLE_SQL}
