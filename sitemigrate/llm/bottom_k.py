@@ -8,15 +8,17 @@ whole, share 0.8 of them for certain.
 1. Equal sets become one class. Inverted lists of retained values count in how many classes each value stands. A class with
    too few shared values has no partner. All others go into the lists of their rarest values only, so many that two alike
    classes meet in one (shared values beyond these are too few).
-2. Nothing pairs up a list's members. Each list has a pivot, the member with the largest share of values in common with
-   others; its members are compared with it: by the sketch of the union first, then by their whole sets.
-3. What may be left are links between members that aren't both alike to their pivot. If X and M are linked and X isn't
-   linked with pivot L, then they share hashes outside L, or M is smaller than L and what they share lies in L. So members
-   go on into lists of the hashes that they have beyond the pivot (again only the rarest, as many as must meet), or into the
-   list of the smaller ones, each with a new pivot, and so on until no list has members of two components. Every list
-   leaves out the pivots before it, so this ends; in a family of near copies of one text, it does at once.
-
-The links grow with the lists' members, never with the square of a list. Each step is a join or an aggregation.
+2. Nothing pairs up a list's members. Each list has a pivot, the member whose hashes are the most common ones on average
+   (of a family of copies, the text that the others were made from); its members are compared with it: by the sketch of the
+   union first, then by their whole sets.
+3. What may be left are links between members of different components. A class stays open if enough of its hashes stand in
+   other components; how many do bounds the sizes of its partners. Open classes meet in lists of their rarest such hashes,
+   by size: again with a pivot from another component as long as that merges components, then each with every member that
+   the bounds allow. Near copies of one text are one component by then, and those changed too much for any link fail the
+   bounds, as their changed hashes stand nowhere else.
+
+The candidates grow with the lists' members, not with the square of a list: only the last step looks at pairs, of different
+components, mutually possible by size and shared hashes. Each step is a join or an aggregation.
 """
 
 from __future__ import annotations
@@ -102,13 +104,24 @@ def classes_of(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str)
 
 
 def _sharing(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """Classes with enough shared values: (cls, n, core, shared: their values, by rarity, list: those that meet)."""
+    """Classes with enough shared values: (cls, n, shared: their values, by rarity, list: those that meet)."""
     postings = classes.select("cls", F.explode("sketch").alias("v"))
     counts = postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     by_class = postings.join(counts, "v").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values"))
     found = by_class.join(classes.select("cls", "n"), "cls").withColumn("least", _least(F.col("n"))).filter(F.size("values") >= F.col("least"))
-    core = F.size("values") / F.least(F.col("n"), F.lit(K))
-    return materialize(spark, found.select("cls", "n", core.alias("core"), F.transform("values", lambda x: x["v"]).alias("shared"), _rarest(F.col("values"), F.col("least")).alias("list")), "sharing")
+    return materialize(spark, found.select("cls", "n", F.transform("values", lambda x: x["v"]).alias("shared"), _rarest(F.col("values"), F.col("least")).alias("list")), "sharing")
+
+
+def _cores(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(cls, n, core): how common a set's hashes are among the sets, the mean logarithm of their counts.
+
+    Sets too many of whose hashes stand nowhere else can't have a partner and are left out.
+    """
+    postings = sets.select("cls", F.explode("set").alias("v"))
+    counts = postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    common = postings.join(counts, "v").groupBy("cls").agg(F.count("*").alias("common"), F.sum(F.log("df")).alias("weight"))
+    rows = common.join(sets.select("cls", F.size("set").alias("n")), "cls").filter(5 * F.col("common") >= 4 * F.col("n"))
+    return materialize(spark, rows.select("cls", "n", (F.col("weight") / F.col("n")).alias("core")), "cores")
 
 
 def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,55 +137,73 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(p, "p")
 
 
-def _pivots(lists: DataFrame, key: list[str], eligible: Column | None = None) -> DataFrame:
-    """(key, p): the pivot of each list that has members of two components or more; ``lists`` has x, comp and core."""
-    best = F.struct("core", -F.col("x"))
-    of = lists.groupBy(*key).agg(F.max_by("x", best if eligible is None else F.when(eligible, best)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return of.filter("lo < hi AND p IS NOT NULL").drop("lo", "hi")
+def _pivots(lists: DataFrame) -> DataFrame:
+    """(v, p): the pivot of each list (v, x, core) of two members or more."""
+    of = lists.groupBy("v").agg(F.max_by("x", F.struct("core", -F.col("x"))).alias("p"), F.count("*").alias("df"))
+    return of.filter("df > 1").drop("df")
 
 
-def _link_rest(spark: SparkSession, pairs: DataFrame, sharing: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """All links that connect what is alike: ``links`` (a, b), and those found among members that their pivots don't link."""
-    sizes = sharing.select(F.col("cls").alias("x"), "n", "core")
-    labels = components(spark, links)
+def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among pairs (x, p): by the sketch of the union, then by the whole sets."""
+    both = _with_sets(materialize(spark, pairs, "pairs"), sets)
+    sure = both.filter(_may_link(F.col("set_x"), F.col("set_p"))).filter(_linked(F.size(F.array_intersect("set_x", "set_p")), F.size("set_x"), F.size("set_p")))
+    return materialize(spark, sure.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct(), "links")
+
+
+def _size_class(n: Column) -> Column:
+    return F.when(n < 32, n).otherwise(F.floor(F.log(n) * 16)).cast("int")
+
+
+def _open_lists(spark: SparkSession, sharing: DataFrame, cores: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of hashes where components may meet: probes and entries (v, z, x, comp, core, n, most, left).
+
+    Entries are the smaller partners, by their size class z; probes ask for partners no larger than themselves. ``most`` is
+    the largest size of a partner, by the hashes that stand in other components; ``left`` counts those hashes from this one
+    on, by rarity, so that partners who first meet here share no more than that.
+    """
     named = lambda df: df.join(labels.select(F.col("v").alias("x"), "label"), "x", "left").withColumn("comp", F.coalesce("label", "x")).drop("label")
-    values = named(sharing.select(F.col("cls").alias("x"), F.explode("shared").alias("v")))
-    mixed = values.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
-    opened = values.join(mixed, "v").groupBy("x").agg(F.count("*").alias("o")).join(sizes, "x").filter(F.col("o") >= _least(F.col("n"))).select("x")
-    members = pairs.join(opened, "x").select(F.xxhash64("p").alias("path"), "x", "p")
+    mixed = lambda df: df.groupBy("v").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v", "df")
+    known = cores.select(F.col("cls").alias("x"), "n", "core")
+    values = named(sharing.select(F.col("cls").alias("x"), F.explode("shared").alias("v")).join(known, "x"))
+    opened = values.join(mixed(values), "v").groupBy("x", "n", "core", "comp").agg(F.count("*").alias("o")).filter(F.col("o") >= _least(F.col("n")))
+    hashes = materialize(spark, opened.join(sets.withColumnRenamed("cls", "x"), "x").select("x", "n", "core", "comp", F.explode("set").alias("v")), "hashes")
+    held = hashes.join(mixed(hashes), "v").groupBy("x", "n", "core", "comp").agg(F.collect_list(F.struct("df", "v")).alias("values"))
+    must = F.ceil(4 * F.col("n") / 5).cast("int")
+    held = held.filter(F.size("values") >= must).withColumn("most", F.floor(9 * F.size("values") / 4).cast("long") - F.col("n"))
+    placed = held.select("x", "n", "core", "comp", "most", F.size("values").alias("o"), F.posexplode(_rarest(F.col("values"), must)).alias("at", "v"))
+    rows = materialize(spark, placed.withColumn("left", F.col("o") - F.col("at")).drop("o", "at"), "open")
+    entries = rows.filter("most >= n").withColumn("z", _size_class(F.col("n")))
+    sizes = F.sequence(_size_class(F.ceil(4 * F.col("n") / 5)), _size_class(F.least("n", "most")))
+    probes = rows.filter(5 * F.col("most") >= 4 * F.col("n")).withColumn("z", F.explode(sizes))
+    return probes, entries
+
+
+def _link_rest(spark: SparkSession, sharing: DataFrame, cores: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, label): components over ``links`` (a, b) and all links between those."""
+    labels = components(spark, links)
+    possible = (F.col("n_p") <= F.least("n", "most")) & (5 * F.col("n_p") >= 4 * F.col("n")) & (F.col("n") <= F.col("most_p"))
+    possible &= _linked(F.least("left", "left_p"), F.col("n"), F.col("n_p"))
     while True:
-        members = materialize(spark, members.distinct(), "members")
-        if not members.take(1):
-            return links
-        both = _with_sets(members.select("x", "p").distinct(), sets)
-        compared = both.select("x", "p", F.size(F.array_intersect("set_x", "set_p")).alias("i"), F.size("set_x").alias("n"), F.size("set_p").alias("m"), F.array_except("set_x", "set_p").alias("beyond"))
-        compared = materialize(spark, compared.withColumn("linked", _linked(F.col("i"), F.col("n"), F.col("m"))), "compared")
-        new = compared.filter("linked").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).join(links, ["a", "b"], "left_anti")
-        new = materialize(spark, new, "new_links")
-        if new.take(1):
+        probes, entries = _open_lists(spark, sharing, cores, sets, labels)
+        tops = entries.groupBy("v", "z").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        other = tops.join(entries, ["v", "z"])
+        side = lambda c: F.max_by("x", F.when(F.col("comp") == F.col(c), F.struct("core", -F.col("x")))).alias(f"p_{c}")
+        tops = other.groupBy("v", "z", "lo", "hi").agg(side("lo"), side("hi"))
+        meeting = probes.join(tops, ["v", "z"]).filter("lo < hi OR lo <> comp").withColumn("p", F.when(F.col("lo") != F.col("comp"), F.col("p_lo")).otherwise(F.col("p_hi")))
+        meeting = materialize(spark, meeting.select("v", "z", "x", "comp", "n", "most", "p"), "meeting")
+        new = _verified(spark, meeting.select("x", "p").distinct(), sets)
+        merged = new.count()
+        if merged:
             links = materialize(spark, links.unionByName(new), "links")
             labels = components(spark, links)
-        rows = materialize(spark, named(members.join(compared, ["x", "p"])).join(sizes.select("x", "core"), "x"), "rows")
-
-        # Partners that share a hash beyond the pivot: lists of such hashes, with members of two components.
-        apart = rows.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("path")
-        rows = rows.join(apart, "path")
-        beyond = rows.select("path", "x", "comp", F.explode("beyond").alias("v"))
-        mixed = beyond.groupBy("path", "v").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("path", "v", "df")
-        values = beyond.join(mixed, ["path", "v"]).groupBy("path", "x").agg(F.collect_list(F.struct("df", "v")).alias("values"))
-        must = F.greatest(F.ceil(4 * F.col("n") / 5) - F.col("i"), F.lit(1)).cast("int")
-        left = rows.drop("beyond").join(values, ["path", "x"]).withColumn("must", must).filter(F.size("values") >= F.col("must"))
-        sharing_lists = left.select("path", F.explode(_rarest(F.col("values"), F.col("must"))).alias("v"), "x", "comp", "core", F.lit(True).alias("eligible"))
-
-        # Partners of which one is smaller than the pivot, and that share nothing beyond it: what both have in it must do.
-        within = rows.filter(5 * F.col("i") >= 4 * F.col("n")).filter("n < m OR NOT linked")
-        least = within.filter("n < m").groupBy("path").agg(F.min("n").alias("least"))
-        small = within.join(least, "path").filter(F.col("linked") | (9 * F.col("i") >= 4 * (F.col("n") + F.col("least"))))
-        small_lists = small.select("path", F.lit(None).cast("long").alias("v"), "x", "comp", "core", (F.col("n") < F.col("m")).alias("eligible"))
-
-        lists = materialize(spark, sharing_lists.unionByName(small_lists).withColumn("list", F.xxhash64("path", F.coalesce("v", F.lit(0)), F.col("v").isNull())), "lists")
-        pivots = _pivots(lists, ["list"], F.col("eligible"))
-        members = lists.join(pivots, "list").filter("x <> p").select(F.xxhash64("path", "p", F.col("v").isNull()).alias("path"), "x", "p")
+        if 100 * merged <= meeting.select("x").distinct().count():  # few are left to merge
+            break
+    probes, entries = _open_lists(spark, sharing, cores, sets, labels)
+    tops = entries.groupBy("v", "z").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    probes = probes.drop("core").join(tops, ["v", "z"]).filter("lo < hi OR lo <> comp")
+    pairs = probes.join(entries.select("v", "z", F.col("x").alias("p"), F.col("comp").alias("comp_p"), F.col("n").alias("n_p"), F.col("most").alias("most_p"), F.col("left").alias("left_p")), ["v", "z"])
+    new = _verified(spark, pairs.filter("comp <> comp_p").filter(possible).select("x", "p").distinct(), sets)
+    return components(spark, links.unionByName(new)) if new.take(1) else labels
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,15 +215,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     own, classes = classes_of(spark, docs, id_col, text_col)
     sharing = _sharing(spark, classes)
-    lists = sharing.select(F.explode("list").alias("v"), F.col("cls").alias("x"), F.col("cls").alias("comp"), "core")
-    pairs = lists.join(_pivots(lists, ["v"]), "v").filter("x <> p").select("x", "p").distinct()
-    pairs = materialize(spark, pairs, "pairs")
-    used = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("p").alias("cls"))).distinct()
-    sets = _sets(spark, docs, classes.select("cls", "id", "text_hash").join(used, "cls"), id_col, text_col)
-    likely = _with_sets(pairs, sets).filter(_may_link(F.col("set_x"), F.col("set_p")))
-    sure = likely.filter(_linked(F.size(F.array_intersect("set_x", "set_p")), F.size("set_x"), F.size("set_p")))
-    links = materialize(spark, sure.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct(), "links")
-    labels = components(spark, _link_rest(spark, pairs, sharing, sets, links))
+    postings = sharing.select("cls", F.explode("list").alias("v"))
+    met = postings.join(postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "v").select("cls").distinct()
+    sets = _sets(spark, docs, classes.select("cls", "id", "text_hash").join(met, "cls"), id_col, text_col)
+    cores = _cores(spark, sets)
+    lists = postings.join(cores, "cls").select("v", F.col("cls").alias("x"), "core")
+    pairs = lists.join(_pivots(lists), "v").filter("x <> p").select("x", "p").distinct()
+    labels = _link_rest(spark, sharing, cores, sets, _verified(spark, pairs, sets))
     of = materialize(spark, classes.select("cls", "key", "id").join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("key", "id", "label"), "labelled")
     least = materialize(spark, of.groupBy("label").agg(F.min("id").alias("component_id")), "least")
     named = materialize(spark, of.join(least, "label").select(F.col("key").alias("of"), "component_id"), "named")
