@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sitemigrate.llm.common import ascii_lower, free_name, materialize, n_partitions
 
@@ -56,10 +55,10 @@ def _runs(nodes: list[str]) -> list[str]:
     return [hashlib.sha256("".join(nodes[i : i + FANOUT]).encode()).hexdigest() for i in range(0, len(nodes), FANOUT)]
 
 
-def _subtree(leaves: list[str], whole: bool) -> list[list[str]]:
-    """All levels of a partition: up to one node where it holds the ``whole`` group, else ``BLOCK_LEVELS`` of them."""
+def _subtree(leaves: list[str], whole: bool, height: int) -> list[list[str]]:
+    """All levels of a partition: up to one node where it holds the ``whole`` group, else ``height`` above the leaves."""
     levels = [leaves]
-    while len(levels[-1]) > 1 if whole else len(levels) <= BLOCK_LEVELS:
+    while len(levels[-1]) > 1 if whole else len(levels) <= height:
         levels.append(_runs(levels[-1]))
     return levels
 
@@ -72,13 +71,12 @@ def _in_order(spark: SparkSession, df: DataFrame, order: list[str], name: str) -
     return materialize(spark, numbered.select("*", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("row")).drop("place"), name)
 
 
-def _groups(spark: SparkSession, sizes: DataFrame) -> DataFrame:
+def _groups(spark: SparkSession, sizes: DataFrame, size: int) -> DataFrame:
     """(group, n, no, blocks): the groups numbered in their order; ``sizes`` has (group, part, n)."""
     totals = sizes.groupBy("group").agg(F.sum("n").alias("n"))
     placed = _in_order(spark, totals, ["group"], "groups")
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number for each partition
     before = F.array(*(F.lit(sum(counts.get(k, 0) for k in range(part))).cast("long") for part in range(max(counts, default=0) + 1)))
-    size = FANOUT**BLOCK_LEVELS
     return placed.select("group", "n", (F.element_at(before, F.col("part").cast("int") + 1) + F.col("row")).alias("no"), F.ceil(F.col("n") / size).cast("long").alias("blocks"))
 
 
@@ -124,7 +122,7 @@ def _swap(units: DataFrame, level: Column, position: Column, swap: Column, lane:
     return done.unionByName(units.filter(~active).select(*done.columns))
 
 
-def manifest(spark: SparkSession, docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", group_col: str = "lang", carry: Sequence[str] = ()) -> DataFrame:
+def manifest(spark: SparkSession, docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", group_col: str = "lang", carry: Sequence[str] = (), block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """One row per input row: ``id_col``, ``group_col``, the ``carry`` columns, ``leaf``, ``subroot``, ``root`` and ``proof``.
 
     ``proof`` lists, from the leaf's level to the root, the siblings of the node on the path: those before and those after
@@ -132,24 +130,24 @@ def manifest(spark: SparkSession, docs: DataFrame, columns: Sequence[str] = ("do
     and is a group of its own, the empty string another. An empty table gives no rows. Only the columns named are read, and
     texts stay where they are: rows travel as digests. A group that holds all rows spreads over its partitions.
     """
+    size = FANOUT**block_levels
     leaves = docs.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("group"), F.unhex(leaf_hash(columns)).alias("leaf"), F.struct(F.lit(0).alias("none"), *carry).alias("carry"))
     leaves = materialize(spark, leaves, "leaves")
     placed = _in_order(spark, leaves, ["group", "id", "leaf"], "ordered")
     sizes = materialize(spark, placed.groupBy("group", "part").agg(F.count("*").alias("n"), F.min("row").alias("first")), "sizes")
-    groups, rounds = _group_rounds(spark, _groups(spark, sizes))
+    groups, rounds = _group_rounds(spark, _groups(spark, sizes, size))
     groups = materialize(spark, groups, "groups")
     so_far = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("group").alias("g"), F.col("part").alias("p"), (F.coalesce(F.sum("n").over(so_far), F.lit(0)) - F.col("first")).alias("shift"))
     numbers = groups.select(F.col("group").alias("g"), "no", F.col("n").alias("n_group"))
     starts = starts.join(numbers, starts["g"].eqNullSafe(numbers["g"])).select(starts["g"], "p", "shift", "no", "n_group")
     at = placed.join(starts, placed["group"].eqNullSafe(starts["g"]) & (placed["part"] == starts["p"])).withColumn("place", F.col("row") + F.col("shift"))
-    size = FANOUT**BLOCK_LEVELS
     rows = at.select("no", F.floor(F.col("place") / size).alias("block"), F.col("place").cast("long").alias("place"), (F.col("n_group") <= size).alias("whole"), "id", "group", "leaf", "carry")
     rows = materialize(spark, rows, "rows")
-    units = rows.select("no", "block", "place", "whole", "leaf").groupBy("no", "block").applyInArrow(_block_root, "no long, block long, node string")
+    units = rows.select("no", "block", "place", "whole", "leaf").groupBy("no", "block").applyInArrow(_block_root(block_levels), "no long, block long, node string")
     uppers = _upper(spark, units, groups, rounds)
     kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("group", T.StringType()), T.StructField("carry", rows.schema["carry"].dataType), *T.StructType.fromDDL(f"leaf string, subroot string, root string, proof array<{STEP}>").fields])
-    proofs = rows.groupBy("no", "block").cogroup(uppers.groupBy("no", "block")).applyInArrow(_proofs(to_arrow_type(rows.schema["carry"].dataType), to_arrow_type(rows.schema["id"].dataType)), kind)
+    proofs = rows.groupBy("no", "block").cogroup(uppers.groupBy("no", "block")).applyInArrow(_proofs(block_levels), kind)
     return proofs.select(F.col("id").alias(id_col), *([F.col("group").alias(group_col)] if group_col != id_col else []), *(F.col("carry")[c].alias(c) for c in carry), "leaf", "subroot", "root", "proof")
 
 
@@ -180,12 +178,15 @@ def _sorted_leaves(table: pa.Table) -> tuple[pa.Table, list[str], bool]:
     return table, [x.hex() for x in table.column("leaf").to_pylist()], table.column("whole")[0].as_py()
 
 
-def _block_root(table: pa.Table) -> pa.Table:
-    _, leaves, whole = _sorted_leaves(table)
-    return pa.table({"no": table.column("no").slice(0, 1), "block": table.column("block").slice(0, 1), "node": pa.array([_subtree(leaves, whole)[-1][0]])})
+def _block_root(height: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, leaves, whole = _sorted_leaves(table)
+        return pa.table({"no": table.column("no").slice(0, 1), "block": table.column("block").slice(0, 1), "node": pa.array([_subtree(leaves, whole, height)[-1][0]])})
+
+    return run
 
 
-def _proofs(carry: pa.DataType, id_type: pa.DataType):
+def _proofs(height: int):
     """Rows of one partition with their proofs: the siblings below its root, then its upper proof."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -193,7 +194,7 @@ def _proofs(carry: pa.DataType, id_type: pa.DataType):
         upper = right.slice(0, 1).to_pylist()[0]
         before, after, picks = [], [], []
         place = np.arange(len(leaves))
-        for nodes in _subtree(leaves, whole)[:-1]:
+        for nodes in _subtree(leaves, whole, height)[:-1]:
             picks.append(place + len(before))
             for i in range(len(nodes)):
                 start = i - i % FANOUT
