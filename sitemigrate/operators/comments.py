@@ -12,14 +12,20 @@ def last_by_id(comments: DataFrame) -> DataFrame:
     return comments.groupBy("export_id", "post_doc_pos", "comment_id").agg(F.max_by(F.struct(*rest), "ord").alias("c")).select("export_id", "post_doc_pos", "comment_id", "c.*")
 
 
-def drop_known(comments: DataFrame, site_comments: DataFrame) -> DataFrame:
-    """Comments without those that the site has by author and date, on any post, where their post was there before.
+def drop_known(comments: DataFrame, site_comments: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Comments without those that are there already by author and date, on any post, where their post was there before.
 
-    A null author or date is taken as empty. ``comments`` needs ``post_exists``, ``author`` and ``date``; ``site_comments`` has ``author`` and ``date``.
+    There are the site's comments and, given an ``order`` of columns, those of ``comments`` that come before: all comments of
+    a new post are loaded, and those of a post met again only if none like them came earlier. A null author or date is
+    taken as empty. ``comments`` needs ``post_exists``, ``author`` and ``date``; ``site_comments`` has ``author`` and ``date``.
     """
     author, date = (F.coalesce(F.col(c), F.lit("")) for c in ("author", "date"))
+    like = (author == F.col("__a")) & (date == F.col("__d"))
     known = site_comments.select(author.alias("__a"), date.alias("__d")).distinct()
-    old = comments.filter("post_exists").join(known, (author == F.col("__a")) & (date == F.col("__d")), "left_anti")
+    old = comments.filter("post_exists").join(known, like, "left_anti")
+    if order is not None:
+        first = comments.groupBy(author.alias("__a"), date.alias("__d")).agg(F.min(F.struct(*order)).alias("__first"))
+        old = old.join(first, like & (F.struct(*order) == F.col("__first"))).drop("__a", "__d", "__first")
     return old.unionByName(comments.filter("NOT coalesce(post_exists, false)"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sitemigrate.functions import markup
 from sitemigrate.functions import url_columns as U
+from sitemigrate.operators.remaps import apply_url_remap
 
 
 def extract_urls(docs: DataFrame, id_col: str, html_col: str, tlds: DataFrame | None = None, kinds: tuple[str, ...] = ("attr", "style", "text", "block"), block_attributes: dict[str, list[str]] | None = None) -> DataFrame:
@@ -171,17 +172,6 @@ def resized_stubs(remaps: DataFrame) -> DataFrame:
     return remaps.select(*(F.col(c) for c in remaps.columns if c not in ("from_url", "to_url")), stub(F.col("from_url")).alias("from_url"), stub(F.col("to_url")).alias("to_url"))
 
 
-def apply_url_remap(docs: DataFrame, remaps: DataFrame, text_col: str, by: str = "export_id") -> DataFrame:
-    """``docs`` with all remaps of their export applied to ``text_col``, longest first, each on the result of those before.
-
-    An export's remaps are one list, so they should be those of one site's attachments.
-    """
-    order = F.sort_array(F.collect_list(F.struct((-F.length("from_url")).alias("n"), "from_url", "to_url")))
-    lists = remaps.filter("from_url <> ''").groupBy(by).agg(order.alias("__remaps"))
-    new = F.aggregate(F.coalesce("__remaps", F.array().cast("array<struct<n:int,from_url:string,to_url:string>>")), F.col(text_col), lambda text, r: F.replace(text, r["from_url"], r["to_url"]))
-    return docs.join(lists, by, "left").withColumn(text_col, new).drop("__remaps")
-
-
 def remap_enclosures(meta: DataFrame, remaps: DataFrame) -> DataFrame:
     """Post metadata (export_id, key, value) with the remaps of its export applied to the values of ``enclosure``."""
     enclosed = apply_url_remap(meta.filter("key = 'enclosure'"), remaps, "value").select(*meta.columns)

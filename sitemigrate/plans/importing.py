@@ -6,7 +6,7 @@ Ids are given before anything is linked, so that references in any direction are
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from sitemigrate.operators import authors as A
 from sitemigrate.operators import comments as C
 from sitemigrate.operators import ids, menus, meta, posts, terms, urls
 from sitemigrate.sources import exports
-from sitemigrate.sources.site import SiteTables
+from sitemigrate.sources.site import KEYS, SiteTables
 from sitemigrate.storage import keep
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -63,6 +63,8 @@ class ImportResult:
     exports: DataFrame
     quarantine: DataFrame
     log: DataFrame  # entity, outcome, reason, export_id: one row for each handled thing
+    added: dict[str, DataFrame]  # new rows by table
+    replaced: dict[str, DataFrame]  # keys of rows that new ones replace, by table
 
     def report(self) -> DataFrame:
         """Counts by export, entity and outcome, with subtotals (nulls) and the grand total."""
@@ -88,7 +90,7 @@ def import_exports(spark: SparkSession, paths: str | list[str], site: SiteTables
     flat = exports.flatten_entities(parsed)
     log = [headers.select("export_id", F.lit("export").alias("entity"), F.col("status").alias("outcome"), "reason")]
 
-    users, author_map, made = _users(spark, site, valid, exports.authors_of(channel), flat["posts"], o)
+    author_map, made = _users(spark, site, valid, exports.authors_of(channel), flat["posts"], o)
     log.append(author_map.select("export_id", F.lit("author").alias("entity"), F.col("how").alias("outcome"), F.lit(None).cast("string").alias("reason")))
 
     declared, termmeta = exports.terms_of(channel)
@@ -120,33 +122,35 @@ def import_exports(spark: SparkSession, paths: str | list[str], site: SiteTables
     if o.url_remaps is not None:
         own_meta = urls.remap_enclosures(own_meta, o.url_remaps)
     own_meta = own_meta.select("post_id", "key", "value")
-    menu_rows, menu_log = _menus(spark, site, routed.filter("route = 'menu'"), flat, term_rows, declared, id_pairs, o)
+    menu_rows, menu_log = _menus(spark, site, routed.filter("route = 'menu'"), flat, term_rows, declared, post_map, o)
     log.append(menu_log)
 
     maps = id_pairs.select("export_id", F.lit("post").alias("kind"), F.col("old_id").cast("string").alias("old_key"), "new_id").unionByName(author_map.select("export_id", F.lit("author").alias("kind"), F.col("author_login").alias("old_key"), F.col("user_id").alias("new_id")))
-    old_terms = site.terms
-    new_site = replace(
-        site,
-        users=users,
-        terms=old_terms.unionByName(term_rows.filter("is_new").select("term_id", "taxonomy", "slug", "name", "parent_id")),
-        termmeta=site.append("termmeta", new_termmeta),
-        posts=site.append("posts", final.filter("inserted").withColumn("ID", F.col("new_id")).withColumn("post_author", F.col("post_author_id")).withColumn("post_status", F.col("status")).withColumn("post_parent", F.col("new_parent"))),
-        post_terms=site.post_terms.unionByName(bridge.select("post_id", "taxonomy", "term_id")).distinct(),
-        postmeta=meta.append(site.postmeta, own_meta, o.dedupe_meta),
-        comments=site.append("comments", comments.drop("comment_id", "user_id", "parent").withColumnsRenamed({"new_id": "comment_id", "new_user_id": "user_id", "new_parent": "parent"})),
-        commentmeta=site.append("commentmeta", commentmeta.select(F.col("new_id").alias("comment_id"), "key", "value")),
-        menu_items=site.append("menu_items", menu_rows),
-        sticky_posts=site.sticky_posts.unionByName(post_rows.filter("is_sticky = 1").select(F.col("new_id").alias("post_id"))).distinct(),
-        id_map=site.upsert("id_map", maps.groupBy("export_id", "kind", "old_key").agg(F.max("new_id").alias("new_id")), ["export_id", "kind", "old_key"]),
-    )
+    rows = {
+        "users": made,
+        "terms": term_rows.filter("is_new"),
+        "termmeta": new_termmeta,
+        "posts": final.filter("inserted").withColumn("ID", F.col("new_id")).withColumn("post_author", F.col("post_author_id")).withColumn("post_status", F.col("status")).withColumn("post_parent", F.col("new_parent")),
+        "postmeta": own_meta,
+        "comments": comments.drop("comment_id", "user_id", "parent").withColumnsRenamed({"new_id": "comment_id", "new_user_id": "user_id", "new_parent": "parent"}),
+        "commentmeta": commentmeta.select(F.col("new_id").alias("comment_id"), "key", "value"),
+        "menu_items": menu_rows,
+    }
+    added = {name: site.shaped(name, new) for name, new in rows.items()}
+    if o.dedupe_meta:
+        added["postmeta"] = site.fresh("postmeta", own_meta)
+    added["post_terms"] = site.fresh("post_terms", bridge)
+    added["sticky_posts"] = site.fresh("sticky_posts", post_rows.filter("is_sticky = 1").select(F.col("new_id").alias("post_id")))
+    added["id_map"] = site.fresh("id_map", maps.groupBy("export_id", "kind", "old_key").agg(F.max("new_id").alias("new_id")))
+    replaced = {"id_map": added["id_map"].select(*KEYS["id_map"]).join(site.id_map, KEYS["id_map"], "left_semi")}
     everything = log[0]
     for rows in log[1:]:
         everything = everything.unionByName(rows)
-    return ImportResult(new_site, headers, refused, everything)
+    return ImportResult(site.changed(added, replaced), headers, refused, everything, added, replaced)
 
 
 def _users(spark, site: SiteTables, headers: DataFrame, declared: DataFrame, all_posts: DataFrame, o: ImportOptions):
-    """The users afterwards, the map of authors (user_id set for all), and the rows that were made."""
+    """The map of authors (user_id set for all), and the users to make."""
     known = A.last_by_login(declared).select("export_id", "author_id", "author_login", "author_display_name", "author_email")
     inferred = A.infer_authors(all_posts).filter("NOT failed").join(known.select("export_id").distinct(), "export_id", "left_anti")
     everyone = known.unionByName(inferred.select("export_id", F.lit(0).cast("long").alias("author_id"), "author_login", "author_display_name", F.lit(None).cast("string").alias("author_email")))
@@ -157,27 +161,31 @@ def _users(spark, site: SiteTables, headers: DataFrame, declared: DataFrame, all
     named = everyone.select("export_id", A.sanitize_login("author_login").alias("author_login"), "author_display_name", "author_email")
     wanted = mapped.filter("user_id IS NULL").join(named, ["export_id", "author_login"]).groupBy("new_login").agg(F.min_by(F.struct("author_display_name", "author_email"), F.struct("export_id", "author_login")).alias("u"))
     made = ids.allocate_ids(spark, wanted.select("new_login", F.lit(0).cast("long").alias("old"), "u.*"), site.users, "old", "user_id", ["new_login"], "user_id")
-    users = site.append("users", made.select("user_id", F.col("new_login").alias("user_login"), F.col("author_display_name").alias("display_name"), F.col("author_email").alias("user_email")))
-    users = keep(spark, users)
-    logins = users.select("user_login", F.col("user_id").alias("__made"))
+    made = keep(spark, made.select("user_id", F.col("new_login").alias("user_login"), F.col("author_display_name").alias("display_name"), F.col("author_email").alias("user_email")))
+    logins = site.append("users", made).select("user_login", F.col("user_id").alias("__made"))
     full = mapped.join(logins, F.col("new_login") == F.col("user_login"), "left").withColumn("user_id", F.coalesce("user_id", "__made")).drop("user_login", "__made")
-    return users, keep(spark, full), made
+    return keep(spark, full), made
 
 
 def _posts(spark, site: SiteTables, loading: DataFrame, o: ImportOptions) -> DataFrame:
-    """Posts with ``new_id``, ``inserted`` (a new row is made) and ``existed`` (the site had it)."""
+    """Posts with ``new_id``, ``inserted`` (a new row is made) and ``existed`` (the site, or an item before, had it)."""
     matched = posts.match_existing(loading, site.posts, o.existing_override)
     # An item like one of any file before it meets the post that this one makes, as if the files came one after the other.
     key = [F.coalesce(F.col(c), F.lit("")).alias(f"__{c}") for c in posts.NATURAL_KEY]
     first = matched.groupBy(*key).agg(F.min(F.struct("export_id", "doc_pos")).alias("__meet"))
     keyed = matched.select("*", *key).join(first, [f"__{c}" for c in posts.NATURAL_KEY]).select(matched["*"], "__meet")
-    keyed = keyed.withColumn("inserted", F.col("existing_id").isNull() & (F.col("__meet") == F.struct("export_id", "doc_pos"))).withColumn("existed", F.col("existing_id").isNotNull())
-    new = ids.allocate_ids(spark, keyed.filter("inserted"), site.posts, "post_id", "ID", ["export_id", "doc_pos"])
+    keyed = keyed.withColumn("inserted", F.col("existing_id").isNull() & (F.col("__meet") == F.struct("export_id", "doc_pos"))).withColumn("existed", ~F.col("inserted"))
+    new = ids.allocate_ids(spark, keyed.filter("inserted"), _taken(site), "post_id", "ID", ["export_id", "doc_pos"])
     others = keyed.filter("NOT inserted").join(new.select(F.col("export_id").alias("__e"), F.col("doc_pos").alias("__p"), "new_id"), (F.col("__meet.export_id") == F.col("__e")) & (F.col("__meet.doc_pos") == F.col("__p")), "left")
     others = others.withColumn("new_id", F.coalesce("existing_id", "new_id")).drop("__e", "__p")
     return new.unionByName(others).drop("__meet").withColumn("post_doc_pos", F.col("doc_pos"))
 
 
+def _taken(site: SiteTables) -> DataFrame:
+    """Ids (ID) of the site's posts and menu items, which share one space."""
+    return site.posts.select("ID").unionByName(site.menu_items.select("ID"))
+
+
 def _link_posts(spark, post_rows: DataFrame, post_map: DataFrame, author_map: DataFrame, headers: DataFrame, o: ImportOptions) -> DataFrame:
     """New posts with their author, parent, and content with URLs moved."""
     out = A.remap_post_authors(post_rows, author_map, o.default_user)
@@ -207,14 +215,14 @@ def _terms(spark, site: SiteTables, ordered: DataFrame, o: ImportOptions) -> Dat
 def _comments(spark, site: SiteTables, raw: DataFrame, raw_meta: DataFrame, post_map: DataFrame, author_map: DataFrame):
     """Comments that are inserted, with ``new_id``, ``new_user_id`` and ``new_parent``, and their metadata."""
     of_posts = C.last_by_id(raw).join(post_map.select("export_id", "post_doc_pos", F.col("new_id").alias("post_id"), F.col("existed").alias("post_exists")), ["export_id", "post_doc_pos"])
-    fresh = C.drop_known(of_posts, site.comments.select("author", "date"))
+    fresh = C.drop_known(of_posts, site.comments.select("author", "date"), ["export_id", "post_doc_pos", "comment_id"])
     numbered = ids.allocate_ids(spark, fresh.withColumn("__old", F.lit(0).cast("long")), site.comments, "__old", "comment_id", ["export_id", "post_doc_pos", "comment_id"]).drop("__old")
     inserted = keep(spark, numbered)
     linked = C.remap_parents(C.remap_users(inserted, author_map), inserted.select("export_id", "post_doc_pos", "comment_id", "new_id"))
     return linked, C.loadable_meta(raw_meta, inserted)
 
 
-def _menus(spark, site: SiteTables, items: DataFrame, flat: dict, term_rows: DataFrame, declared: DataFrame, id_pairs: DataFrame, o: ImportOptions):
+def _menus(spark, site: SiteTables, items: DataFrame, flat: dict, term_rows: DataFrame, declared: DataFrame, post_map: DataFrame, o: ImportOptions):
     """Menu items to insert and their log."""
     place = ["export_id", "post_doc_pos"]
     own = items.withColumn("post_doc_pos", F.col("doc_pos"))
@@ -224,17 +232,18 @@ def _menus(spark, site: SiteTables, items: DataFrame, flat: dict, term_rows: Dat
     named = joined.select(
         "export_id", "post_doc_pos", F.col("post_id").alias("item_id"), "post_title", "terms", F.col("_menu_item_type").alias("item_type"), F.col("_menu_item_object_id").try_cast("bigint").alias("object_id"),
         F.coalesce(F.col("_menu_item_menu_item_parent").try_cast("bigint"), F.lit(0)).alias("parent_item"), F.col("_menu_item_classes").alias("classes"), F.col("_menu_item_url").alias("url"),
-        F.col("_menu_item_target").alias("target"), F.col("_menu_item_xfn").alias("xfn"), F.col("post_content").alias("description"), F.col("post_excerpt").alias("attr_title"), "menu_order",
+        F.col("_menu_item_target").alias("target"), F.col("_menu_item_xfn").alias("xfn"), F.col("_menu_item_object").alias("object"), "status", F.col("post_content").alias("description"), F.col("post_excerpt").alias("attr_title"), "menu_order",
     )
-    with_menu = menus.menu_of(named, term_rows.filter("taxonomy = 'nav_menu'").select("slug", F.col("term_id").alias("menu_id")))
+    known = site.terms.select("taxonomy", "slug", "term_id").unionByName(term_rows.select("taxonomy", "slug", "term_id")).filter("taxonomy = 'nav_menu'")
+    with_menu = menus.menu_of(named, known.groupBy("slug").agg(F.min("term_id").alias("menu_id")))
     term_pairs = declared.filter("term_id <> 0").join(term_rows.select("taxonomy", "slug", F.col("term_id").alias("new_id")), ["taxonomy", "slug"]).groupBy("export_id", F.col("term_id").alias("old_id")).agg(F.min("new_id").alias("new_id"))
-    linked = keep(spark, menus.link_objects(with_menu, term_pairs, id_pairs))
+    linked = keep(spark, menus.link_objects(with_menu, term_pairs, post_map.filter("old_id <> 0").select("export_id", "old_id", "new_id")))
     good = linked.filter("reason IS NULL")
     if o.dedupe_menu:
         good = good.join(site.menu_items.select("menu_id", "post_title", "item_type", F.col("object_id").alias("new_object_id")), ["menu_id", "post_title", "item_type", "new_object_id"], "left_anti")
-    top = site.posts.select("ID").unionByName(site.menu_items.select("ID")).unionByName(id_pairs.select(F.col("new_id").alias("ID")))
-    numbered = ids.allocate_ids(spark, good.withColumn("__old", F.lit(0).cast("long")), top, "__old", "ID", ["export_id", "post_doc_pos"]).drop("__old")
+    taken = _taken(site).unionByName(post_map.select(F.col("new_id").alias("ID")))  # posts without an old id as well
+    numbered = ids.allocate_ids(spark, good.withColumn("__old", F.lit(0).cast("long")), taken, "__old", "ID", ["export_id", "post_doc_pos"]).drop("__old")
     parents = menus.css_classes(menus.link_parents(keep(spark, numbered)))
-    rows = parents.select(F.col("new_id").alias("ID"), "menu_id", "post_title", "item_type", F.col("new_object_id").alias("object_id"), F.col("new_parent").alias("menu_item_parent"), "classes", "url", "target", "xfn", "description", "attr_title", "menu_order")
+    rows = parents.select(F.col("new_id").alias("ID"), "menu_id", "post_title", "item_type", F.col("new_object_id").alias("object_id"), F.col("new_parent").alias("menu_item_parent"), "classes", "url", "target", "xfn", "description", "attr_title", "menu_order", "object", "status")
     log = linked.select("export_id", F.lit("menu item").alias("entity"), F.when(F.col("reason").isNull(), "created").otherwise("reject").alias("outcome"), "reason")
     return rows, log

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from sitemigrate.functions import url_columns as U
 from sitemigrate.operators import attachments, authors, blocks, comments, ids, menus, meta, posts, terms, text, urls
 from sitemigrate.plans.importing import POST_TYPES, ImportOptions, import_exports
 from sitemigrate.sources import exports
-from sitemigrate.sources.site import SiteTables
+from sitemigrate.sources.site import SCHEMAS, SiteTables
+from sitemigrate.sources.site_log import SiteLog
 from sitemigrate.storage import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -815,7 +817,7 @@ def stream_import(spark, d):
     path = document_exports(spark, d)
     run = ingest.import_stream(spark, path, f"{root}/site", f"{root}/checkpoint", ImportOptions(), available_now=True)
     run.awaitTermination()
-    return _counts(SiteTables.read(spark, ingest.latest_version(spark, f"{root}/site")))
+    return _counts(SiteLog(spark, f"{root}/site").read())
 
 
 @query("SELECT count(*) AS n_items, count(*) AS n_distinct FROM documents")
@@ -831,3 +833,45 @@ def stream_repeated_items(spark, d):
     run = items.select("item_hash").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("item_hash string").parquet(f"{root}/out").agg(F.count("*").alias("n_items"), F.count_distinct("item_hash").alias("n_distinct"))
+
+
+@query("""
+WITH counts AS (SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM nation) AS items)
+SELECT 'posts' AS kind, 2 * pages AS n, 2 * pages AS n_ids, pages AS n_kept FROM counts UNION ALL SELECT 'menu items', 2 * items, 2 * items, 0 FROM counts
+UNION ALL SELECT 'both', 2 * pages + 2 * items, 2 * pages + 2 * items, pages FROM counts
+""")
+def import_menus(spark, d):
+    """Pages as posts, half of them without an id, and menu items that ask for the same ids, over two imports: all ids differ.
+
+    The second import's posts ask for ids that the first one's menu items may have; posts of the first that ask keep theirs.
+    """
+    site = replace(SiteTables.empty(spark), terms=spark.createDataFrame([(1, "nav_menu", "main", "Main", 0)], SCHEMAS["terms"]))
+    k = F.col("page_id")
+    for n in (1, 2):
+        named = F.concat(F.lit(f"Page {n} "), k.cast("string"))
+        rows = table(spark, d, "pages").select(F.lit("menus").alias("export"), k.alias("o"), F.when(F.lit(n == 1), k + 1).otherwise(0).alias("post_id"), named.alias("post_title"), F.lit("post").alias("post_type"), F.lit("publish").alias("status"), F.lit(None).cast("array<struct<name:string,slug:string,domain:string>>").alias("terms"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("postmeta"))
+        values = {"type": F.lit("custom"), "url": F.concat(F.lit("https://x.example.org/"), "n_name"), "object": F.lit("custom"), "menu_item_parent": F.lit("0")}
+        items = table(spark, d, "nation").select(
+            F.lit("menus").alias("export"), (F.col("n_nationkey") + (1 << 40)).alias("o"), (F.col("n_nationkey") + 1).alias("post_id"), F.col("n_name").alias("post_title"), F.lit("nav_menu_item").alias("post_type"), F.lit("publish").alias("status"),
+            F.array(F.struct(F.lit("Main").alias("name"), F.lit("main").alias("slug"), F.lit("nav_menu").alias("domain"))).alias("terms"), F.array(*(F.struct(F.lit(f"_menu_item_{key}").alias("key"), v.alias("value")) for key, v in values.items())).alias("postmeta"),
+        )
+        path = exports.write_exports(rows.unionByName(items.withColumn("post_id", F.col("post_id") + (1 << 40))), f"{scratch_dir(spark)}/exports", "export", "o")
+        result = import_exports(spark, path, site)
+        at = f"{scratch_dir(spark)}/site"
+        result.site.write(at)
+        site = SiteTables.read(spark, at)
+    post = site.posts.select(F.lit("posts").alias("kind"), "ID", (F.col("post_title") == F.concat(F.lit("Page 1 "), (F.col("ID") - 1).cast("string"))).alias("kept"))
+    both = post.unionByName(site.menu_items.select(F.lit("menu items").alias("kind"), "ID", F.lit(False).alias("kept")))
+    both = both.unionByName(both.withColumn("kind", F.lit("both")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("ID").alias("n_ids"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+
+
+@query("SELECT 'posts' AS entity, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'comments', count(*) FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)")
+def import_twice_in_one_batch(spark, d):
+    """Conversations as posts with their turns as comments, in two files of one batch: the second file's comments are known."""
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
+    comment = F.struct((F.col("turn") + 1).cast("long").alias("comment_id"), F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), "role").alias("author"), F.col("turn").cast("string").alias("date"), F.lit("x").alias("content"), F.lit("1").alias("approved"), F.lit("0").alias("parent"), F.lit(0).cast("long").alias("user_id"))
+    posts_ = turns.groupBy("conv_id").agg(F.collect_list(comment).alias("comments")).select("conv_id", F.col("conv_id").alias("post_id"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("post_title"), F.lit("post").alias("post_type"), F.lit("publish").alias("status"), "comments")
+    twice = posts_.withColumn("export", F.lit("one")).unionByName(posts_.withColumn("export", F.lit("two")))
+    site = import_exports(spark, exports.write_exports(twice, f"{scratch_dir(spark)}/exports", "export", "conv_id"), SiteTables.empty(spark)).site
+    return site.posts.agg(F.count("*").alias("n")).select(F.lit("posts").alias("entity"), "n").unionByName(site.comments.agg(F.count("*").alias("n")).select(F.lit("comments").alias("entity"), "n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,14 @@ SCHEMAS = {
     "postmeta": "post_id bigint, key string, value string",
     "comments": "comment_id bigint, post_id bigint, author string, author_email string, author_url string, author_ip string, date string, date_gmt string, content string, approved string, type string, parent string, user_id bigint",
     "commentmeta": "comment_id bigint, key string, value string",
-    "menu_items": "ID bigint, menu_id bigint, post_title string, item_type string, object_id bigint, menu_item_parent bigint, classes string, url string, target string, xfn string, description string, attr_title string, menu_order bigint",
+    "menu_items": "ID bigint, menu_id bigint, post_title string, item_type string, object_id bigint, menu_item_parent bigint, classes string, url string, target string, xfn string, description string, attr_title string, menu_order bigint, object string, status string",
     "sticky_posts": "post_id bigint",
     "id_map": "export_id string, kind string, old_key string, new_id bigint",
 }
 
+#: What tells the rows of a table apart where new ones replace old ones; all other tables only grow.
+KEYS = {"id_map": ["export_id", "kind", "old_key"]}
+
 
 @dataclass
 class SiteTables:
@@ -54,13 +57,21 @@ class SiteTables:
         for field in fields(self):
             getattr(self, field.name).write.parquet(f"{path}/{field.name}")
 
-    def upsert(self, name: str, new: DataFrame, key: list[str]) -> DataFrame:
-        """Rows of a table that ``new`` doesn't replace, and ``new``."""
-        old = getattr(self, name)
-        return old.join(new.select(*key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    def shaped(self, name: str, new: DataFrame) -> DataFrame:
+        """Rows with the columns of a table, those that are missing null."""
+        there = set(new.columns)
+        return new.select(*((F.col(c) if c in there else F.lit(None)).cast(f.dataType).alias(c) for f in getattr(self, name).schema for c in (f.name,)))
 
     def append(self, name: str, new: DataFrame) -> DataFrame:
         """A table and new rows, columns that are missing null."""
-        old = getattr(self, name)
-        there = set(new.columns)
-        return old.unionByName(new.select(*((F.col(c) if c in there else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in old.columns)))
+        return getattr(self, name).unionByName(self.shaped(name, new))
+
+    def fresh(self, name: str, new: DataFrame) -> DataFrame:
+        """Of rows for a table, those that it hasn't, each once."""
+        old, rows = getattr(self, name), self.shaped(name, new).distinct()
+        return rows.join(old, [rows[c].eqNullSafe(old[c]) for c in old.columns], "left_anti")
+
+    def changed(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame]) -> SiteTables:
+        """The tables with rows added, those with keys in ``replaced`` left out before."""
+        kept = {n: getattr(self, n).join(replaced[n], KEYS[n], "left_anti") if n in replaced else getattr(self, n) for n in added}
+        return replace(self, **{n: kept[n].select(*getattr(self, n).columns).unionByName(rows) for n, rows in added.items()})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitemigrate.plans.importing import ImportOptions, import_exports
 from sitemigrate.sources import exports
 from sitemigrate.sources.site import SiteTables
-from sitemigrate.storage import exists
+from sitemigrate.sources.site_log import SiteLog
 
 
 def read_item_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,36 +24,23 @@ def drop_repeated_items(items: DataFrame, keep_for: str = "7 days") -> DataFrame
 
 
 def import_stream(spark: SparkSession, path: str, site_path: str, checkpoint: str, options: ImportOptions | None = None, available_now: bool = False):
-    """A running query that imports arriving export files into versions ``site_path/v=<batch>``.
+    """A running query that imports arriving export files into a log of versions at ``site_path`` (see ``SiteLog``).
 
-    Each batch starts from the last version below its own number. A batch that is run again after a failure starts from the
-    same version and writes another copy, which a marker written last makes current: files count once.
+    A micro-batch makes the version of its number, from the one before it, and writes only what is new. Its manifest comes
+    last: a batch that is run again after a failure starts from the same version, and files count once.
     """
+
     def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        log = SiteLog(session, site_path)
         files = [r["path"] for r in batch.select("path").distinct().collect()]  # file names of one micro-batch (maxFilesPerTrigger)
-        if files and not exists(session, f"{site_path}/v={number}/done"):
-            before = latest_version(session, site_path, number)
-            site = SiteTables.read(session, before) if before else SiteTables.empty(session)
-            result = import_exports(session, files, site, options)
-            target = f"{site_path}/v={number}/try={session.sparkContext.applicationId}-{_now(session)}"
-            result.site.write(target)
-            session.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{site_path}/v={number}/done")
+        known = log.versions()
+        if files and number not in known:
+            before = [v for v in known if v < number]
+            result = import_exports(session, files, log.read(before[-1]) if before else SiteTables.empty(session), options)
+            log.commit(result.added, number, result.replaced)
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1000").load(path)
     names = files.select("path")  # without the content, which only the import reads
     writer = names.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def latest_version(spark: SparkSession, site_path: str, below: int | None = None) -> str | None:
-    """Where the newest finished version lies (below a number)."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{site_path}/v=*/done")
-    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path)
-    versions = sorted(int(str(s.getPath().getParent().getName())[2:]) for s in (found or []))
-    versions = [v for v in versions if below is None or v < below]
-    return spark.read.parquet(f"{site_path}/v={versions[-1]}/done").first()["path"] if versions else None
-
-
-def _now(spark: SparkSession) -> int:
-    return spark._jvm.java.lang.System.nanoTime()

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sitemigrate.plans.importing import ImportOptions, import_exports
 from sitemigrate.sources.site import SiteTables
+from sitemigrate.sources.site_log import SiteLog
 from test_exports import export
 
 BODY = """
@@ -75,7 +76,7 @@ def test_stream_imports_each_file_once(spark, tmp_path):
     run()
     export(tmp_path / "in", "b.xml", BODY.replace("Parent", "Other"))
     run()
-    site = SiteTables.read(spark, ingest.latest_version(spark, f"file://{tmp_path}/site"))
+    site = SiteLog(spark, f"file://{tmp_path}/site").read()
     assert sorted(r["post_title"] for r in site.posts.collect()) == ["Child", "Other", "Parent"]
     assert site.users.count() == 1 and site.comments.count() == 2
 
