@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DELIMITER = r"(?s)<!--\s*(/?)(wp:[A-Za-z0-9_-]+)\s*((?:\{|\[).*?(?:\}|\]))?\s*(/?)\s*-->"
+from sitemigrate.storage import keep
+
+COMMENT = r"(?s)<!--.*?-->"
+DELIMITER = r"(?s)^<!--\s*(/?)(wp:[A-Za-z0-9_-]+)\s*((?:\{|\[).*(?:\}|\]))?\s*(/?)\s*-->$"
 
 
 def delimiters(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every block delimiter: (id, ord, start, stop, is_closer, block, attrs, void), places in code points, stop exclusive.
 
-    A delimiter whose attributes aren't a JSON object or array, or a closer with attributes, is none.
+    A comment ends at its first ``-->``. One whose attributes aren't a JSON object or array is no delimiter, nor is a closer
+    with attributes. ``ord`` counts a text's comments.
     """
-    pieces = F.arrays_zip(F.split(F.col(text_col), DELIMITER, -1).alias("gap"), *(F.regexp_extract_all(F.col(text_col), F.lit(DELIMITER), F.lit(g)).alias(n) for g, n in enumerate(("all", "closer", "block", "attrs", "void"))))
+    pieces = F.arrays_zip(F.split(F.col(text_col), COMMENT, -1).alias("gap"), F.regexp_extract_all(F.col(text_col), F.lit(COMMENT), F.lit(0)).alias("all"))
     rows = docs.filter(F.col(text_col).contains("<!--")).select(F.col(id_col), F.posexplode(pieces).alias("ord", "x"))
     before = Window.partitionBy(id_col).orderBy("ord")
     lengths = rows.withColumn("start", F.sum(F.length("x.gap")).over(before) + F.coalesce(F.sum(F.length("x.all")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    attrs = F.nullif(F.col("x.attrs"), F.lit(""))
-    found = lengths.filter("x.all IS NOT NULL").select(
-        F.col(id_col), "ord", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("x.all")).cast("int").alias("stop"), (F.col("x.closer") == "/").alias("is_closer"),
-        F.col("x.block").alias("block"), attrs.alias("attrs"), (F.col("x.void") == "/").alias("void"),
+    part = lambda n: F.regexp_extract("x.all", DELIMITER, n)
+    found = lengths.filter(F.col("x.all").rlike(DELIMITER)).select(
+        F.col(id_col), "ord", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("x.all")).cast("int").alias("stop"), (part(1) == "/").alias("is_closer"),
+        part(2).alias("block"), F.nullif(part(3), F.lit("")).alias("attrs"), (part(4) == "/").alias("void"),
     )
     return found.filter(F.col("attrs").isNull() | (~F.col("is_closer") & F.try_parse_json("attrs").isNotNull()))
 
@@ -28,24 +32,42 @@ def delimiters(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def nesting(found: DataFrame, id_col: str) -> DataFrame:
     """Delimiters with ``depth`` (of the block they open or close, from 1) and ``breadcrumbs``, up to a document's first error.
 
-    A closer that doesn't close the innermost open block is an error: its row has ``error``, and later ones are left out. The
-    stack is folded along each document's own delimiters.
+    A closer that doesn't close the innermost open block is an error: its row has ``error``, and later ones are left out.
+
+    Depths are running sums. A closer belongs to the row before it of its own depth, which must be an opener of its block;
+    the first one that doesn't fit cuts its document. Breadcrumbs come from parents, the last openers one level up, by
+    doubling the distance that is known: joins grow with the logarithm of the depth, and nothing with a text's square.
     """
-    fields = "ord", "start", "stop", "is_closer", "block", "attrs", "void"
-    per_doc = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("all"))
-    kind = "struct<ord:int,start:int,stop:int,is_closer:boolean,block:string,attrs:string,void:boolean,depth:int,breadcrumbs:array<string>,error:string>"
-
-    def step(acc: Column, x: Column) -> Column:
-        stack = acc["stack"]
-        wrong = x["is_closer"] & ((F.size(stack) == 0) | (F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit("")) != x["block"]))
-        inner = F.when(x["is_closer"], stack).otherwise(F.concat(stack, F.array(x["block"])))
-        row = F.struct(*(x[f] for f in fields), F.size(inner).alias("depth"), inner.alias("breadcrumbs"), F.when(wrong, F.lit("closer doesn't match")).alias("error")).cast(kind)
-        after = F.when(x["is_closer"], F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(x["void"], stack).otherwise(inner)
-        stopped = acc["stopped"]
-        return F.struct(F.when(stopped, stack).otherwise(after).alias("stack"), F.when(stopped, acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row))).alias("rows"), (stopped | wrong).alias("stopped"))
-
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast(f"array<{kind}>").alias("rows"), F.lit(False).alias("stopped"))
-    return per_doc.select(F.col(id_col), F.explode(F.aggregate("all", start, step)["rows"]).alias("x")).select(id_col, "x.*")
+    spark = found.sparkSession
+    order = Window.partitionBy(id_col).orderBy("ord")
+    change = F.when(F.col("is_closer"), -1).when(F.col("void"), 0).otherwise(1)
+    open_before = F.coalesce(F.sum(change).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = found.withColumn("depth", open_before + F.when(F.col("is_closer"), 0).otherwise(1))
+    level = Window.partitionBy(id_col, "depth").orderBy("ord")
+    opener = F.when(~F.col("is_closer") & ~F.col("void"), F.struct("ord", "block"))
+    last = F.last(F.when(~F.col("void"), F.struct(opener.alias("opener"))), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1))["opener"]
+    paired = placed.withColumn("__of", F.when(F.col("is_closer"), last))
+    wrong = F.col("is_closer") & ((F.col("depth") < 1) | F.col("__of").isNull() | (F.col("__of.block") != F.col("block")))
+    marked = paired.withColumn("error", F.when(wrong, F.lit("closer doesn't match"))).withColumn("__first", F.min(F.when(F.col("error").isNotNull(), F.col("ord"))).over(Window.partitionBy(id_col)))
+    rows = keep(spark, marked.filter("__first IS NULL OR ord <= __first").drop("__first"))
+
+    # The last opener one level up is the parent: openers and those that ask for one meet by level.
+    openers = rows.filter("NOT is_closer AND NOT void")
+    asking = rows.filter("NOT is_closer")
+    meeting = openers.select(id_col, "depth", "ord", F.col("ord").alias("up")).unionByName(asking.select(id_col, (F.col("depth") - 1).alias("depth"), "ord", F.lit(None).cast("int").alias("up")))
+    parent = meeting.withColumn("parent", F.last("up", ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1))).filter("up IS NULL").select(id_col, "ord", "parent")
+    paths = asking.select(id_col, "ord", "void", F.array("block").alias("crumbs")).join(parent, [id_col, "ord"])
+    while True:
+        paths = keep(spark, paths)
+        if not paths.filter("parent IS NOT NULL").take(1):
+            break
+        above = paths.filter("NOT void").select(id_col, F.col("ord").alias("parent"), F.col("parent").alias("__next"), F.col("crumbs").alias("__above"))
+        paths = paths.join(above, [id_col, "parent"], "left").select(id_col, "ord", "void", F.concat(F.coalesce("__above", F.array().cast("array<string>")), "crumbs").alias("crumbs"), F.col("__next").alias("parent"))
+    at = F.when(F.col("is_closer"), F.col("__of.ord")).otherwise(F.col("ord"))
+    known = paths.select(F.col(id_col).alias("__id"), F.col("ord").alias("__ord"), "crumbs")
+    joined = rows.join(known, (F.col(id_col) == F.col("__id")) & (at == F.col("__ord")), "left")
+    crumbs = F.coalesce("crumbs", F.array().cast("array<string>"))
+    return joined.select(id_col, "ord", "start", "stop", "is_closer", "block", "attrs", "void", F.greatest("depth", F.lit(0)).alias("depth"), crumbs.alias("breadcrumbs"), "error")
 
 
 def inner_html(docs: DataFrame, nested: DataFrame, id_col: str, text_col: str) -> DataFrame:
