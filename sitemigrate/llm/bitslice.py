@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,7 @@ from pyspark.sql import functions as F
 
 from sitemigrate.llm.common import materialize, n_partitions, named_again, number_ids
 
-HALF = 1 << 62
-
-
-#: Components are below this after scaling; scores of up to 4096 of them have two halves that fit longs.
+#: Components below this, after scaling, are 64-bit numbers; vectors with larger ones are wide, of Python's whole numbers.
 LIMIT = 2.0**56
 
 
@@ -33,24 +31,42 @@ def quantise(vector: list | None, scale: float) -> np.ndarray | None:
     v = np.asarray(vector, np.float64)
     if not np.isfinite(v).all():
         return None
-    v = v * scale
-    if (np.abs(v) >= LIMIT).any():
-        raise ValueError(f"a component of {LIMIT / scale:g} or more in size: scores of it can't be ranked in 128 bits")
-    return np.floor(v).astype(np.int64)
+    if (np.abs(v) >= LIMIT / scale).any():
+        return np.array([math.floor(Fraction(x) * Fraction(scale)) for x in v.tolist()], object)
+    return np.floor(v * scale).astype(np.int64)
+
+
+def _packed(q: np.ndarray) -> bytes:
+    return ",".join(map(str, q)).encode() if q.dtype == object else q.astype("<i8").tobytes()
+
 
+def _unpacked(blobs: list[bytes], dims: int, wide: bool) -> np.ndarray:
+    if wide:
+        return np.array([[int(x) for x in blob.split(b",")] for blob in blobs], object)
+    return np.frombuffer(b"".join(blobs), "<i8").reshape(len(blobs), dims)
 
-def build_index(ids: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+
+def rank_key(score: int) -> bytes:
+    """Bytes in the order of whole numbers of any size: the length, with the sign, before the digits."""
+    n = (abs(score).bit_length() + 7) // 8
+    digits = score if score >= 0 else (1 << 8 * n) + score
+    return (32768 + (n if score >= 0 else -n)).to_bytes(2, "big") + digits.to_bytes(n, "big")
+
+
+def build_index(ids: np.ndarray, values: np.ndarray) -> dict:
     """The slices of ``values`` (rows x attributes), offset so that all are non-negative, for rows sorted by id."""
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     low = int(values.min(initial=0))
-    shifted = (values - low).astype(np.uint64)
+    kind = object if values.dtype == object else np.uint64
+    shifted = (values - low).astype(kind)
     width = max(1, int(shifted.max(initial=0)).bit_length())
     n_words = -(-len(ids) // 64)
-    padded = np.zeros((values.shape[1], n_words * 64), np.uint64)
+    padded = np.zeros((values.shape[1], n_words * 64), kind)
     padded[:, : len(ids)] = shifted.T
-    slices = np.stack([np.packbits((padded >> np.uint64(s) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8") for s in range(width)], axis=1)
-    return {"ids": ids, "low": np.array(low), "slices": slices}  # slices: attributes x bits x words
+    of = int if kind is object else np.uint64
+    slices = np.stack([np.packbits((padded >> of(s) & of(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8") for s in range(width)], axis=1)
+    return {"ids": ids, "low": low, "slices": slices}  # slices: attributes x bits x words
 
 
 def _add(planes: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -138,16 +154,12 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
     return words[at] * 64 + bit
 
 
-def _blob(column: pa.ChunkedArray) -> bytes:
-    return b"".join(x.as_buffer() for x in column.combine_chunks())
-
-
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65_536, query_rows: int = 64, packs: int = 256) -> DataFrame:
     """For each row of ``queries`` its ``k`` best rows of ``vectors`` (all, if fewer): query_id, rank, vec_id, score (long).
 
     Both tables need ``id_col`` (of one type, with any ids) and ``vector_col``. Rows with a null id, a null vector, or null or
-    non-finite components take no part; components of 2**48 or more in size are an error (``LIMIT`` / ``scale``). Ranks are
-    exact at any score; one that doesn't fit a long is given as the largest or smallest long. Vectors of another length than
+    non-finite components take no part; finite ones may be of any size. Ranks are exact at any score; one that doesn't fit
+    a long is given as the largest or smallest long. Vectors of another length than
     the query's don't meet it. A query meets every row but those with its own id; repeated rows are rows of their own.
 
     Rows are indexed in blocks of about ``block_rows``, queries are packed by ``query_rows``. Each pack goes to each block,
@@ -159,46 +171,48 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, a, q) for i, v, a in zip(*(c.to_pylist() for c in batch.columns)) if i is not None and (q := quantise(v, scale)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int64()), pa.array([a for _, a, _ in rows], pa.bool_()), pa.array([len(q) for *_, q in rows], pa.int32()), pa.array([q.astype("<i8").tobytes() for *_, q in rows], pa.binary())], ["id", "asks", "dims", "q"])
+            columns = [pa.array([i for i, _, _ in rows], pa.int64()), pa.array([a for _, a, _ in rows], pa.bool_()), pa.array([len(q) for *_, q in rows], pa.int32())]
+            columns += [pa.array([q.dtype == object for *_, q in rows], pa.bool_()), pa.array([_packed(q) for *_, q in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "asks", "dims", "wide", "q"])
 
-    rows = both.select(F.col(id_col), F.col(vector_col).cast("array<double>"), "asks").mapInArrow(quantised, "id long, asks boolean, dims int, q binary")
+    rows = both.select(F.col(id_col), F.col(vector_col).cast("array<double>"), "asks").mapInArrow(quantised, "id long, asks boolean, dims int, wide boolean, q binary")
     rows = materialize(spark, rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     count = {r["asks"]: r["n"] for r in rows.groupBy("asks").agg(F.count("*").alias("n")).collect()}
     n_blocks, n_packs = (max(1, math.ceil(count.get(asks, 0) / size)) for asks, size in ((False, block_rows), (True, query_rows)))
     copies = max(math.ceil(n_packs / packs), min(n_packs, math.ceil(n_partitions(spark) / n_blocks)))
 
     def index(table: pa.Table) -> pa.Table:
-        dims = table.column("dims")[0].as_py()
-        values = np.frombuffer(_blob(table.column("q")), "<i8").reshape(-1, dims) if dims else np.zeros((table.num_rows, 0), np.int64)
+        dims, wide = table.column("dims")[0].as_py(), table.column("wide")[0].as_py()
+        values = _unpacked(table.column("q").to_pylist(), dims, wide) if dims else np.zeros((table.num_rows, 0), np.int64)
         built = build_index(table.column("id").to_numpy(), values)
-        return pa.table({"dims": pa.array([dims], pa.int32()), "block": table.column("block")[:1], "ids": [built["ids"].tobytes()], "low": pa.array([int(built["low"])], pa.int64()), "width": pa.array([built["slices"].shape[1]], pa.int32()), "slices": [built["slices"].tobytes()]})
+        return pa.table({"dims": pa.array([dims], pa.int32()), "block": table.column("block")[:1], "ids": [built["ids"].tobytes()], "low": [str(built["low"])], "width": pa.array([built["slices"].shape[1]], pa.int32()), "slices": [built["slices"].tobytes()]})
 
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy().astype("<i8").tobytes()
-        return pa.table({"dims": pa.array([table.column("dims")[0].as_py()], pa.int32()), "pack": table.column("pack")[:1], "asked": [ids], "q": [_blob(table.column("q"))]})
+        return pa.table({"dims": table.column("dims")[:1], "pack": table.column("pack")[:1], "asked": [ids], "wide": table.column("wide")[:1], "q": pa.array([table.column("q").to_pylist()], pa.list_(pa.binary()))})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                dims, ids, low, width, slices, own, q = (batch.column(c)[r] for c in range(7))
+                dims, ids, low, width, slices, own, wide, q = (batch.column(c)[r] for c in range(8))
                 ids = np.frombuffer(ids.as_buffer(), "<i8")
-                of = {"ids": ids, "low": low.as_py(), "slices": np.frombuffer(slices.as_buffer(), "<u8").reshape(dims.as_py(), width.as_py(), -(-len(ids) // 64))}
+                of = {"ids": ids, "low": int(low.as_py()), "slices": np.frombuffer(slices.as_buffer(), "<u8").reshape(dims.as_py(), width.as_py(), -(-len(ids) // 64))}
                 own = np.frombuffer(own.as_buffer(), "<i8")
-                q = np.frombuffer(q.as_buffer(), "<i8").reshape(len(own), dims.as_py())
-                found = [(int(i), v, s >> 62, s & HALF - 1) for i, x in zip(own, q) for v, s in top(of, x, k, int(i))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(4)], ["query_id", "vec_id", "high", "low"])
+                q = _unpacked(q.as_py(), dims.as_py(), wide.as_py()) if dims.as_py() else np.zeros((len(own), 0), np.int64)
+                found = [(int(i), v, rank_key(s), max(-(1 << 63), min(s, (1 << 63) - 1))) for i, x in zip(own, q) for v, s in top(of, x, k, int(i))]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)], ["query_id", "vec_id", "key", "score"])
 
     by_hash = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
-    indexes = rows.filter("NOT asks").withColumn("block", by_hash(n_blocks)).groupBy("dims", "block").applyInArrow(index, "dims int, block long, ids binary, low long, width int, slices binary")
+    indexes = rows.filter("NOT asks").withColumn("block", by_hash(n_blocks)).groupBy("dims", "wide", "block").applyInArrow(index, "dims int, block long, ids binary, low string, width int, slices binary")
     indexes = materialize(spark, indexes, "indexes").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-    asked = rows.filter("asks").withColumn("pack", by_hash(n_packs)).groupBy("dims", "pack").applyInArrow(pack, "dims int, pack long, asked binary, q binary")
+    asked = rows.filter("asks").withColumn("pack", by_hash(n_packs)).groupBy("dims", "wide", "pack").applyInArrow(pack, "dims int, pack long, asked binary, wide boolean, q array<binary>")
     asked = materialize(spark, asked, "asked").withColumn("copy", F.pmod("pack", F.lit(copies))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = asked.join(indexes, ["dims", "block", "copy"]).select("dims", "ids", "low", "width", "slices", "asked", "q")
-    best = pairs.mapInArrow(search, "query_id long, vec_id long, high long, low long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    pairs = asked.join(indexes, ["dims", "block", "copy"]).select("dims", "ids", "low", "width", "slices", "asked", "wide", "q")
+    best = pairs.mapInArrow(search, "query_id long, vec_id long, key binary, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    score = F.when(F.col("high") > 1, (1 << 63) - 1).when(F.col("high") < -2, -(1 << 63)).otherwise(F.when(F.col("high") < 0, -HALF).when(F.col("high") == 1, HALF).otherwise(0) + F.when(F.col("high") == -2, -HALF).otherwise(0) + F.col("low"))
-    return named_again(ranked.select("query_id", "rank", "vec_id", score.cast("long").alias("score")), names, "query_id", "vec_id")
+    return named_again(ranked.select("query_id", "rank", "vec_id", "score"), names, "query_id", "vec_id")
 
 
 ORACLE_SQL = """

@@ -37,11 +37,11 @@ def warc_record(page_id: str | int | None, url: str | None, payload: bytes, dige
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
-    name = "" if page_id is None else quote(str(page_id), safe="")
+    name = "" if page_id is None else ":" + quote(str(page_id), safe="")  # an empty id isn't a missing one
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{RECORD}{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     lines += [f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{RECORD}{quote(str(refers_to), safe='')}>"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{RECORD}:{quote(str(refers_to), safe='')}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -207,7 +207,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False, id_type: str
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def page(uri: str | None) -> str | None:
-        return unquote((uri or "").strip("<>").removeprefix(RECORD)) or None
+        name = (uri or "").strip("<>").removeprefix(RECORD)
+        return unquote(name.removeprefix(":")) if name else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

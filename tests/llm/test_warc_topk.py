@@ -3,6 +3,7 @@ import hashlib
 import io
 import math
 import random
+from fractions import Fraction
 import struct
 import zipfile
 import zlib
@@ -107,6 +108,9 @@ def test_pages_with_ids_of_other_types(spark):
     pages = spark.createDataFrame([("a/1", "u", "same"), ("b 2>", "u", "same"), ("é", "u", "other"), (None, "u", "third")], "page_id string, url string, html string")
     got = warc_zip.read_archives(warc_zip.write_archives(spark, pages), id_type="string").collect()
     assert sorted(((r["page_id"], r["record_type"], r["refers_to"], r["error"]) for r in got), key=repr) == sorted([("a/1", "revisit", "b 2>", None), ("b 2>", "response", None, None), ("é", "response", None, None), (None, "response", None, None)], key=repr)
+    empty = spark.createDataFrame([("", "u", "<p>same</p>"), ("!", "u", "<p>same</p>"), ("", "u", "<p>own</p>")], "page_id string, url string, html string")
+    got = warc_zip.read_archives(warc_zip.write_archives(spark, empty), id_type="string").collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=lambda x: x[:2]) == [("", "response", None), ("", "revisit", "!"), ("!", "response", None)]
 
 
 VECTORS = "vec_id long, embedding array<double>, label int, id long, q string, score double"
@@ -147,18 +151,20 @@ def test_repeated_rows_and_few_rows(spark):
 
 def test_large_components_and_scores(spark):
     rng = random.Random(4)
-    rows = [(0, [1.0, 1.0]), (1, [1e7, 0.0]), (2, [-1e13, 3.0]), (50, [-3e12, 2.0]), (100, [2e14, -2e14]), (3, [2e14, -1e14]), (4, [2.0**40 + 0.25, 0.5])] + [(10 + i, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(20)]
+    rows = [(0, [1.0, 1.0]), (1, [1e7, 0.0]), (5, [1e15, 0.0]), (6, [-1.7e308, 1.7e308]), (150, [3e200, -2.0]), (7, [1e300, 1e-300]), (2, [-1e13, 3.0]), (50, [-3e12, 2.0]), (100, [2e14, -2e14]), (3, [2e14, -1e14]), (4, [2.0**40 + 0.25, 0.5])] + [(10 + i, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(20)]
     df = spark.createDataFrame([(i, v, 1, 2, "q", 0.0) for i, v in rows], VECTORS)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in bitslice.top_k(spark, df, df.filter("vec_id % 50 = 0")).collect())
     clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    whole = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in rows}
     want = []
-    for i in (0, 50, 100):
+    for i in (0, 50, 100, 150):
         best = sorted((-sum(a * b for a, b in zip(whole[i], w)), j) for j, w in whole.items() if j != i)[:5]
         want += [(i, r + 1, j, clip(-s)) for r, (s, j) in enumerate(best)]
-    assert got == want and got[0] == (0, 1, 3, 256 * whole[3][0] + 256 * whole[3][1])
-    with pytest.raises(Exception, match="128 bits"):
-        bitslice.top_k(spark, spark.createDataFrame([(1, [1e30], 1, 2, "q", 0.0)], VECTORS), df.limit(0))
+    assert got == want
+    few = df.filter("vec_id IN (0, 4, 5)")
+    assert [tuple(r) for r in bitslice.top_k(spark, few, df.filter("vec_id = 0"), k=1).collect()] == [(0, 1, 5, (1 << 63) - 1)]
+    some = [0, 1, -1, 127, 128, -128, -256, 255, 256, 10**30, -(10**30), 2**63, -(2**63)]
+    assert sorted(some, key=bitslice.rank_key) == sorted(some)
 
 
 def test_ids_of_other_types(spark):
