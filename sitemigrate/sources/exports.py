@@ -29,9 +29,24 @@ def root_tag(host: str = NAMESPACE_HOST) -> str:
 # --- scanning ----------------------------------------------------------------------------------------------------------
 
 
+#: An export in parts: files of one folder ``export=<name>``, in the order of their part numbers.
+PART = r"^(.*/export=[^/]*)/part-(\d+)[^/]*$"
+
+
+def export_of(file_path: Column) -> Column:
+    """The export a file belongs to: the folder of an export in parts, else the file itself."""
+    return F.when(file_path.rlike(PART), F.regexp_extract(file_path, PART, 1)).otherwise(file_path)
+
+
 def chunks_of(raw: DataFrame) -> DataFrame:
-    """(export_id, doc_pos, chunk) of a text scan with ``value``; ``doc_pos`` sorts in document order within a file."""
-    return raw.select(F.col("_metadata.file_path").alias("export_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("doc_pos"), F.col("value").alias("chunk"))
+    """(export_id, doc_pos, chunk) of a text scan with ``value``; ``doc_pos`` sorts in document order within an export.
+
+    A block is a place in a file, after all places in the parts before it.
+    """
+    path = F.col("_metadata.file_path")
+    part = F.coalesce(F.regexp_extract(path, PART, 2).try_cast("bigint"), F.lit(0))
+    block = F.shiftleft(part, 44) + F.col("_metadata.file_block_start")
+    return raw.select(export_of(path).alias("export_id"), F.struct(block.alias("block"), F.monotonically_increasing_id().alias("row")).alias("doc_pos"), F.col("value").alias("chunk"))
 
 
 def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -238,10 +253,12 @@ def item_text(columns: list[str]) -> Column:
 
 
 def write_exports(posts: DataFrame, path: str, export_col: str, order_col: str, version: Column | None = None, base_url: Column | None = None, namespace_host: str = NAMESPACE_HOST) -> str:
-    """One export file for each value of ``export_col`` below ``path``: ``export=<value>/``.
+    """One export for each value of ``export_col`` below ``path``: a folder ``export=<value>/`` of part files.
 
-    An export is one file by nature, so a task writes it; items go out in the order of ``order_col``. Pass null as version
-    to leave it out. ``version`` and ``base_url`` may only depend on ``export_col``.
+    Rows are dealt to tasks by ranges of export and order, so a large export is written by many tasks, each into a part of
+    its own; part numbers follow the order of ``order_col``, the first part begins with the head and the last one ends with
+    the tail. Joined in that order the parts are one file, and the scan reads a folder as one export (see ``PART``).
+    Pass null as version to leave it out. ``version`` and ``base_url`` may only depend on ``export_col``.
     """
     version = F.lit("1.2") if version is None else version
     base_url = F.lit("https://old.example.org") if base_url is None else base_url
@@ -253,6 +270,7 @@ def write_exports(posts: DataFrame, path: str, export_col: str, order_col: str,
         F.lit("<wp:base_site_url>"), escape(F.col("base_url")), F.lit("</wp:base_site_url>"),
     )
     ends = of.select("export", F.lit(0).alias("part"), F.lit("").alias("o"), F.lit("").alias("key"), head.alias("value")).unionByName(of.select("export", F.lit(2).alias("part"), F.lit("").alias("o"), F.lit("").alias("key"), F.lit("</channel>\n</rss>").alias("value")))
-    rows = items.unionByName(ends).repartition("export").sortWithinPartitions("export", "part", "key")
+    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = items.unionByName(ends).repartitionByRange(n, "export", "part", "key").sortWithinPartitions("export", "part", "key")
     rows.select("export", "value").write.partitionBy("export").text(path)
     return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from sitemigrate.sources.site_log import SiteLog
 def read_item_stream(spark: SparkSession, path: str) -> DataFrame:
     """Items of arriving files as a stream: (export_id, modified, item_xml). A file is one of a micro-batch, never split over two."""
     raw = spark.readStream.option("lineSep", "</item>").option("recursiveFileLookup", "true").schema("value string").text(path)
-    chunks = raw.select(F.col("_metadata.file_path").alias("export_id"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("chunk"))
+    chunks = raw.select(exports.export_of(F.col("_metadata.file_path")).alias("export_id"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("chunk"))
     return chunks.filter(F.col("chunk").rlike(r"<item[\s>]")).select("export_id", "modified", F.regexp_extract("chunk", exports.ITEM_AT, 2).alias("item_xml"))
 
 
@@ -23,6 +25,23 @@ def drop_repeated_items(items: DataFrame, keep_for: str = "7 days") -> DataFrame
     return items.withColumn("item_hash", F.sha2("item_xml", 256)).withWatermark("modified", keep_for).dropDuplicatesWithinWatermark(["item_hash"])
 
 
+def whole_exports(spark: SparkSession, files: list[str]) -> list[str]:
+    """What to import of the files of a micro-batch: single files, and folders of exports in parts with their last part.
+
+    An export in parts comes as a whole folder (written elsewhere, then moved in), but its files may fall into several
+    batches; it is imported once, in the batch that has the last one.
+    """
+    of = {f: re.match(exports.PART, f) for f in files}
+    out = [f for f, m in of.items() if m is None]
+    for folder in sorted({m[1] for m in of.values() if m}):
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = [str(s.getPath().getName()) for s in jpath.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jpath)]
+        last = max((n for n in there if n.startswith("part-")), key=lambda n: int(re.match(r"part-(\d+)", n)[1]))
+        if any(m and m[1] == folder and f.endswith("/" + last) for f, m in of.items()):
+            out.append(folder)
+    return out
+
+
 def import_stream(spark: SparkSession, path: str, site_path: str, checkpoint: str, options: ImportOptions | None = None, available_now: bool = False):
     """A running query that imports arriving export files into a log of versions at ``site_path`` (see ``SiteLog``).
 
@@ -33,7 +52,7 @@ def import_stream(spark: SparkSession, path: str, site_path: str, checkpoint: st
     def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         log = SiteLog(session, site_path)
-        files = [r["path"] for r in batch.select("path").distinct().collect()]  # file names of one micro-batch (maxFilesPerTrigger)
+        files = whole_exports(session, [r["path"] for r in batch.select("path").distinct().collect()])  # names of one micro-batch (maxFilesPerTrigger)
         known = log.versions()
         if files and number not in known:
             before = [v for v in known if v < number]

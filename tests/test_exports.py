@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitemigrate.sources import exports
+from sitemigrate.streaming import ingest
 
 EXPORT = "export.example.org/export"
 HEAD = f'<?xml version="1.0"?>\n{exports.root_tag()}\n<channel><title>T</title>'
@@ -118,3 +119,24 @@ def test_written_exports_read_back(spark, tmp_path):
     assert sorted((r["post_id"], r["post_title"], r["post_content"]) for r in rows.collect()) == sorted((r["post_id"], r["post_title"], r["post_content"]) for r in posts.collect())
     in_order = rows.groupBy("export_id").agg(F.sort_array(F.collect_list(F.struct("doc_pos", "post_id"))).alias("x")).collect()
     assert all([y["post_id"] for y in r["x"]] == sorted(y["post_id"] for y in r["x"]) for r in in_order)
+
+
+def test_one_export_from_many_tasks(spark, tmp_path):
+    """Parts of one export, in order, read back as one; and joined into one file, as well."""
+    posts = spark.range(20_000).select(F.lit("big").alias("export"), F.col("id").alias("post_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("post_title")).repartition(7)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        exports.write_exports(posts, f"file://{tmp_path}/out", "export", "post_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    parts = sorted((tmp_path / "out" / "export=big").glob("part-*"))
+    assert len(parts) > 20
+    (tmp_path / "one.xml").write_bytes(b"".join(p.read_bytes() for p in parts))
+    for path in (f"file://{tmp_path}/out", f"file://{tmp_path}/one.xml"):
+        rows, _, headers = parsed(spark, path)
+        assert [(r["version"], r["blogname"]) for r in headers.collect()] == [("1.2", "big")] and rows.filter("error IS NOT NULL").count() == 0
+        assert [r["post_id"] for r in rows.orderBy("doc_pos").select("post_id").collect()] == list(range(20_000))
+    one, last = f"file:{parts[0]}", f"file:{parts[-1]}"
+    assert ingest.whole_exports(spark, [one, "file:/x/a.xml"]) == ["file:/x/a.xml"]
+    assert ingest.whole_exports(spark, [last, "file:/x/a.xml"]) == ["file:/x/a.xml", f"file:{parts[0].parent}"]
