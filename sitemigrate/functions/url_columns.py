@@ -33,6 +33,31 @@ def with_scheme(url: Column, default: Column | str) -> Column:
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), url).when(url.startswith("//"), F.concat(s, F.lit(":"), url)).otherwise(F.concat(s, F.lit("://"), url))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments taken away."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(ends, "/"))).otherwise(path)
+
+
+def resolve(url: Column, base: Column) -> Column:
+    """A URL without scheme and host, read against ``base``: absolute, relative to the base's folder, or a query alone.
+
+    Null for an empty URL or a fragment alone, which name the page they stand on.
+    """
+    path, base_path = part(url, 4), F.coalesce(F.nullif(part(base, 4), F.lit("")), F.lit("/"))
+    folder = F.regexp_replace(base_path, "[^/]*$", "")
+    whole = F.when(path.startswith("/"), path).when(path == "", base_path).otherwise(F.concat(folder, path))
+    origin = F.concat(scheme(base), F.lit("://"), part(base, 2), F.when(part(base, 3) != "", F.concat(F.lit(":"), part(base, 3))).otherwise(F.lit("")))
+    return F.when((url != "") & ~url.startswith("#"), F.concat(origin, without_dots(whole), part(url, 5), part(url, 6)))
+
+
 def is_child_url(url: Column, base: Column, same_host: Column | None = None) -> Column:
     """Same scheme and host (the port doesn't matter), and a path equal to the base's or below it.
 

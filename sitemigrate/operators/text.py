@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONCHARACTERS = r"[\uFDD0-\uFDEF\uFFFE\uFFFF]|[\x{1FFFE}\x{1FFFF}\x{2FFFE}\x{2FFFF}\x{3FFFE}\x{3FFFF}\x{4FFFE}\x{4FFFF}\x{5FFFE}\x{5FFFF}\x{6FFFE}\x{6FFFF}\x{7FFFE}\x{7FFFF}\x{8FFFE}\x{8FFFF}\x{9FFFE}\x{9FFFF}\x{AFFFE}\x{AFFFF}\x{BFFFE}\x{BFFFF}\x{CFFFE}\x{CFFFF}\x{DFFFE}\x{DFFFF}\x{EFFFE}\x{EFFFF}\x{FFFFE}\x{FFFFF}\x{10FFFE}\x{10FFFF}]"
+#: Well-formed sequences of one to four bytes, each byte as the Latin-1 character of its number.
+WELL_FORMED = (
+    "[\x00-\x7F]+|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    "|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
+
+
+def invalid_parts(data: Column) -> Column:
+    """The maximal parts of binary data that aren't UTF-8, as binaries in an array.
+
+    Bytes are read as Latin-1, so that each is one character and well-formed sequences can be matched by their bytes.
+    """
+    bytes_ = F.decode(data, "ISO-8859-1")
+    wrong = F.regexp_replace(bytes_, WELL_FORMED, "\u0100")
+    return F.transform(F.filter(F.split(wrong, "\u0100+"), lambda x: x != ""), lambda x: F.encode(x, "ISO-8859-1"))
 
 
 def utf8_report(df: DataFrame, bytes_col: str, by: str) -> DataFrame:
-    """Rows, invalid rows and the bytes of these, by a column; ``bytes_col`` is binary."""
-    text = F.col(bytes_col).cast("string")
-    bad = ~F.is_valid_utf8(text)
-    return df.groupBy(by).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("n_invalid"), F.coalesce(F.sum(F.when(bad, F.octet_length(bytes_col)).cast("long")), F.lit(0)).alias("invalid_bytes"))
+    """Rows, invalid rows and the bytes that make them invalid, by a column; ``bytes_col`` is binary."""
+    bad = ~F.is_valid_utf8(F.col(bytes_col).cast("string"))
+    wrong = F.aggregate(invalid_parts(F.col(bytes_col)), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+    return df.groupBy(by).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("n_invalid"), F.coalesce(F.sum(F.when(bad, wrong)), F.lit(0)).alias("invalid_bytes"))
 
 
 def scrub_text(df: DataFrame, bytes_col: str, out: str = "text") -> DataFrame:
@@ -28,11 +43,16 @@ def noncharacter_report(df: DataFrame, text_col: str) -> DataFrame:
     return each.groupBy(F.hex(F.encode("c", "UTF-32")).alias("code_point")).agg(F.count("*").alias("n"), F.count_distinct("__row").alias("n_rows"))
 
 
-def length_profile(df: DataFrame, text_col: str, by: str) -> DataFrame:
-    """Code points and bytes by a column: sums, largest, and approximate median of the code points."""
+def length_profile(df: DataFrame, text_col: str, by: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """Code points and bytes by a column: sums, largest, median, and quantiles of both at ``shares`` (arrays).
+
+    Quantiles are from mergeable sketches: their ranks are off by at most one row in ``accuracy``.
+    """
+    points, size = F.length(text_col), F.octet_length(text_col)
+    quantiles = lambda c: F.percentile_approx(c, list(shares), accuracy)
     return df.groupBy(by).agg(
-        F.count(text_col).alias("n_rows"), F.sum(F.length(text_col)).alias("code_points"), F.sum(F.octet_length(text_col).cast("long")).alias("n_bytes"), F.max(F.length(text_col)).alias("longest"),
-        F.percentile_approx(F.length(text_col), 0.5, 10_000).alias("median_code_points"),
+        F.count(text_col).alias("n_rows"), F.sum(points).alias("code_points"), F.sum(size.cast("long")).alias("n_bytes"), F.max(points).alias("longest"),
+        F.percentile_approx(points, 0.5, accuracy).alias("median_code_points"), quantiles(points).alias("code_point_quantiles"), quantiles(size).alias("byte_quantiles"),
     )
 
 

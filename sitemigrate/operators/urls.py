@@ -90,7 +90,8 @@ def encode_for(kind: Column, url: Column) -> Column:
 def rewrite_content(docs: DataFrame, mapping: DataFrame, id_col: str, html_col: str, base_url: str | Column | None = None, tlds: DataFrame | None = None, longest: bool = False, by: str | None = None, block_attributes: dict[str, list[str]] | None = None) -> DataFrame:
     """``docs`` with the URLs of ``html_col`` moved by ``mapping`` (ord, from_base, to_base); all else stays byte for byte.
 
-    Relative URLs are read against ``base_url`` (a URL, or a column of ``docs``) and stay relative. With ``by``, a row takes
+    Relative URLs are read against ``base_url`` (a URL, or a column of ``docs``; a folder has a slash at its end) and stay
+    relative: what moves is written as the path from the site's root. Empty ones and fragments alone stay as they are. With ``by``, a row takes
     the mappings of its own value of that column. ``id_col`` must be unique. Adds ``n_rewritten``.
     """
     found = extract_urls(docs, id_col, html_col, tlds, block_attributes=block_attributes)
@@ -103,8 +104,7 @@ def rewrite_content(docs: DataFrame, mapping: DataFrame, id_col: str, html_col:
         mapping = mapping.withColumnRenamed(by, "__of")
     url, first = F.col("decoded"), F.col("__base")
     relative = ~url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//") & ~url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & (F.col("kind") != "text")
-    origin = F.concat(U.scheme(first), F.lit("://"), U.part(first, 2))
-    absolute = F.when(relative & url.startswith("/"), F.concat(origin, url)).when(relative, F.lit(None)).otherwise(U.with_scheme(url, F.coalesce(U.scheme(first), F.lit("https"))))
+    absolute = F.when(relative, U.resolve(url, first)).otherwise(U.with_scheme(url, F.coalesce(U.scheme(first), F.lit("https"))))
     placed = found.withColumn("relative", relative).withColumn("absolute", absolute).filter("absolute IS NOT NULL")
     moved = match_mappings(placed, mapping, "absolute", longest, "__of" if by else None).filter("to_base IS NOT NULL")
     new = U.rebase_url(F.col("absolute"), F.col("from_base"), F.col("to_base"), F.col("relative"), F.lit(True))

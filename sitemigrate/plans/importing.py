@@ -193,7 +193,8 @@ def _link_posts(spark, post_rows: DataFrame, post_map: DataFrame, author_map: Da
     if o.rewrite_urls and o.site_url:
         targets = headers.select("export_id", F.lit(o.site_url).alias("site_url"))
         mapping = urls.site_mappings(headers, targets)  # each export's links move from its own base only
-        out = keep(spark, out.join(headers.select("export_id", F.col("base_url").alias("__base_url")), "export_id", "left"))
+        folder = F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/"))
+        out = keep(spark, out.join(headers.select("export_id", folder.alias("__base_url")), "export_id", "left"))
         for column in ("post_content", "post_excerpt"):
             out = urls.rewrite_content(out, mapping, "new_id", column, F.col("__base_url"), by="export_id", block_attributes=o.block_attributes).drop("n_rewritten")
         out = out.drop("__base_url")

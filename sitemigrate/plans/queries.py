@@ -587,6 +587,18 @@ def url_rewrite_html(spark, d):
     return urls.rewrite_content(table(spark, d, "pages").select("page_id", html.alias("html")), mapping, "page_id", "html", "https://old.example.org/science/")
 
 
+@query("""
+SELECT page_id, '<a href="/images/' || page_id || '.png">1</a> <a href="/?q=1">2</a> <a href="../other/x">3</a> <a href="/a/b/#f">4</a> <a href="#top">5</a> <a href="">6</a> <a href="/p%20q/c">7</a> <!-- wp:image {"url":"/i.png"} /-->' AS html, 5::BIGINT AS n_rewritten FROM pages
+""")
+def url_relative(spark, d):
+    """Relative URLs of every kind, read against a folder: those below it move to paths from the new root, others stay."""
+    html = F.concat(
+        F.lit('<a href="images/'), F.col("page_id").cast("string"), F.lit('.png">1</a> <a href="?q=1">2</a> <a href="../other/x">3</a> <a href="./a/x/../b/#f">4</a> <a href="#top">5</a> <a href="">6</a> <a href="../science/p%20q/./c">7</a> <!-- wp:image {"url":"i.png"} /-->'),
+    )
+    mapping = spark.createDataFrame([(0, "https://old.example.org/science/", "https://new.example.com/")], "ord int, from_base string, to_base string")
+    return urls.rewrite_content(table(spark, d, "pages").select("page_id", html.alias("html")), mapping, "page_id", "html", "https://old.example.org/science/")
+
+
 @query("SELECT page_id, html, 0::BIGINT AS n_rewritten FROM pages")
 def url_rewrite_identity(spark, d):
     """Content without a URL below the base stays as it is, byte for byte."""
@@ -704,7 +716,7 @@ def _faulty(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(data, F.unhex(F.lit("C3")))).otherwise(data).alias("data"))
 
 
-@query("SELECT source, count(*) AS n_rows, sum((doc_id % 5 = 0)::BIGINT)::BIGINT AS n_invalid, coalesce(sum(strlen(text) + 1) FILTER (WHERE doc_id % 5 = 0), 0)::BIGINT AS invalid_bytes FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS n_rows, sum((doc_id % 5 = 0)::BIGINT)::BIGINT AS n_invalid, sum((doc_id % 5 = 0 AND text IS NOT NULL)::BIGINT)::BIGINT AS invalid_bytes FROM documents GROUP BY 1")
 def text_utf8_report(spark, d):
     return text.utf8_report(_faulty(spark, d), "data", "source")
 
@@ -720,9 +732,22 @@ def text_noncharacters(spark, d):
     return text.noncharacter_report(table(spark, d, "documents").select(marked.alias("text")), "text")
 
 
-@query("SELECT lang, count(text) AS n_rows, sum(length(text))::BIGINT AS code_points, sum(strlen(text))::BIGINT AS n_bytes, max(length(text))::INTEGER AS longest, quantile_disc(length(text), 0.5)::INTEGER AS median_code_points FROM documents GROUP BY 1")
+@query("SELECT lang, count(text) AS n_rows, sum(length(text))::BIGINT AS code_points, sum(strlen(text))::BIGINT AS n_bytes, max(length(text))::INTEGER AS longest, quantile_disc(length(text), 0.5)::INTEGER AS median_code_points, quantile_disc(length(text), 0.75)::INTEGER AS p75_code_points, quantile_disc(strlen(text), 0.25)::INTEGER AS p25_bytes, quantile_disc(strlen(text), 0.99)::INTEGER AS p99_bytes FROM documents GROUP BY 1")
 def text_length_profile(spark, d):
-    return text.length_profile(table(spark, d, "documents"), "text", "lang")
+    profile = text.length_profile(table(spark, d, "documents"), "text", "lang")
+    points, size = F.col("code_point_quantiles"), F.col("byte_quantiles")
+    return profile.select(*profile.columns[:6], points[2].alias("p75_code_points"), size[0].alias("p25_bytes"), size[3].alias("p99_bytes"))
+
+
+@query("""
+SELECT doc_id, 'wp:b' AS block, NULL AS attr FROM documents UNION ALL SELECT doc_id, '/wp:b', NULL FROM documents UNION ALL SELECT doc_id, 'wp:c', '{"t":"' || doc_id || '"}' FROM documents
+""")
+def block_malformed(spark, d):
+    """A block comment with broken attributes ends at its own end and is none; those after it are found."""
+    k = F.col("doc_id").cast("string")
+    html = F.concat(F.lit('<!-- wp:a {"x":1 --> '), F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit('<!-- wp:b -->z<!-- /wp:b --><!-- wp:c {"t":"'), k, F.lit('"} /-->'))
+    found = blocks.delimiters(table(spark, d, "documents").select("doc_id", html.alias("html")), "doc_id", "html")
+    return found.select("doc_id", F.concat(F.when(F.col("is_closer"), "/").otherwise(""), "block").alias("block"), F.col("attrs").alias("attr"))
 
 
 @query("SELECT doc_id, text AS repaired FROM documents")
