@@ -13,7 +13,7 @@ from sitemigrate.operators import attachments, authors, blocks, comments, ids, m
 from sitemigrate.plans.importing import POST_TYPES, ImportOptions, import_exports
 from sitemigrate.sources import exports
 from sitemigrate.sources.site import SCHEMAS, SiteTables
-from sitemigrate.sources.site_log import SiteLog
+from sitemigrate.sources.site_log import SiteLog, TableLog
 from sitemigrate.storage import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -855,10 +855,26 @@ def stream_repeated_items(spark, d):
     rows = document_posts(spark, d)
     twice = rows.unionByName(rows.withColumn("export", F.concat("export", F.lit("-again"))))
     path = exports.write_exports(twice, f"{root}/exports", "export", "post_id")
-    items = ingest.drop_repeated_items(ingest.read_item_stream(spark, path))
-    run = items.select("item_hash").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("item_hash string").parquet(f"{root}/out").agg(F.count("*").alias("n_items"), F.count_distinct("item_hash").alias("n_distinct"))
+    ingest.collect_items(spark, path, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return TableLog(spark, f"{root}/out", ingest.ITEMS).tables()["items"].agg(F.count("*").alias("n_items"), F.count_distinct("item_hash").alias("n_distinct"))
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, unnest([1, 2]) AS n FROM documents)")
+def stream_torn_items(spark, d):
+    """Items in CDATA sections with ends of items in their texts, two for each document that differ after these, in two
+    micro-batches that hold both: each item once, whole."""
+    from sitemigrate.streaming import ingest
+
+    root = scratch_dir(spark)
+    k = F.col("doc_id").cast("string")
+    item = lambda n: F.concat(F.lit("<item><wp:post_id>"), k, F.lit("</wp:post_id><content:encoded><![CDATA["), F.replace("text", F.lit("]]>"), F.lit("")), F.lit(f" </item> <item> </item> {n}]]></content:encoded></item>"))
+    docs = table(spark, d, "documents").select(F.lit("torn").alias("export"), F.concat(item(1), item(2)).alias("value"))
+    for n in ("a", "b"):
+        docs.select("value").write.text(f"{root}/in/export={n}")
+        ingest.collect_items(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    items = TableLog(spark, f"{root}/out", ingest.ITEMS).tables()["items"]
+    found = items.select(F.regexp_extract("item_xml", r"<wp:post_id>(\d+)", 1).cast("long").alias("doc_id"), F.regexp_extract("item_xml", r"(?s)</item> <item> </item> (\d)\]\]>", 1).cast("int").alias("n"))
+    return found.select("doc_id", "n")
 
 
 @query("""

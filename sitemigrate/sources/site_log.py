@@ -1,4 +1,4 @@
-"""The target site as a log: each version adds files with its new rows, and one manifest that names all files.
+"""Tables as a log: each version adds files with its new rows, and one manifest that names all files.
 
 A commit writes only what is new: rows, and the keys of rows that new ones replace (tombstones). Its manifest is put in place
 last, by one rename; a commit that fails before leaves files that no manifest names, and can be run again. A reader takes
@@ -32,11 +32,14 @@ class Piece:
     gone: str | None = None
 
 
-class SiteLog:
-    """Versions of a site below ``path``; a version's number is the caller's, such as that of a micro-batch."""
+class TableLog:
+    """Versions of tables below ``path``; a version's number is the caller's, such as that of a micro-batch.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    ``schemas`` has the tables; ``keys`` what tells rows apart in those where new rows may replace old ones.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], keys: dict[str, list[str]] | None = None):
+        self.spark, self.path, self.schemas, self.keys = spark, path.rstrip("/"), schemas, keys or {}
         self._root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
         self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -50,7 +53,7 @@ class SiteLog:
     def pieces(self, version: int | None = None) -> list[Piece]:
         """What a version (the last by default) is made of, oldest pieces first; nothing before the first commit."""
         known = self.versions()
-        if not known or version is None and not known:
+        if not known:
             return []
         at = self._path(f"manifest/v={known[-1] if version is None else version}.json")
         stream = self._fs.open(at)
@@ -60,15 +63,15 @@ class SiteLog:
             stream.close()
         return [Piece(**p) for p in json.loads(text)]
 
-    def read(self, version: int | None = None) -> SiteTables:
+    def tables(self, version: int | None = None) -> dict[str, DataFrame]:
         """The tables of a version, the last by default; empty before the first commit."""
         pieces = self.pieces(version)
-        return SiteTables(**{name: self._table(name, [p for p in pieces if p.table == name]) for name in SCHEMAS})
+        return {name: self._table(name, [p for p in pieces if p.table == name]) for name in self.schemas}
 
     def commit(self, added: dict[str, DataFrame], version: int, replaced: dict[str, DataFrame] | None = None) -> bool:
         """Writes a version: that before it, with rows ``added`` to tables, and without rows whose keys are in ``replaced``.
 
-        ``replaced`` has the key columns (see ``KEYS``) of a table; it takes out rows of earlier versions only. False, and nothing
+        ``replaced`` has the key columns (see ``keys``) of a table; it takes out rows of earlier versions only. False, and nothing
         changed, if the version is there already.
         """
         before = [v for v in self.versions() if v < version]
@@ -80,8 +83,8 @@ class SiteLog:
             rows.write.parquet(path)
             if replaced and name in replaced and replaced[name].take(1):
                 gone = f"{self.path}/gone/{name}/{attempt}"
-                replaced[name].select(*KEYS[name]).distinct().write.parquet(gone)
-            if gone or self.spark.read.schema(SCHEMAS[name]).parquet(path).take(1):
+                replaced[name].select(*self.keys[name]).distinct().write.parquet(gone)
+            if gone or self.spark.read.schema(self.schemas[name]).parquet(path).take(1):
                 pieces.append(Piece(name, 0, path, gone))
         for name in added:
             pieces = self._merged(name, pieces, attempt)
@@ -106,9 +109,9 @@ class SiteLog:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _table(self, name: str, pieces: list[Piece]) -> DataFrame:
-        read = lambda *paths: self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
+        read = lambda *paths: self.spark.read.schema(self.schemas[name]).parquet(*paths)
         if not pieces:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            return self.spark.createDataFrame([], self.schemas[name])
         last = max((i for i, p in enumerate(pieces) if p.gone), default=0)
         if last == 0:
             return read(*(p.path for p in pieces))
@@ -121,8 +124,8 @@ class SiteLog:
             if p.gone:
                 keys = self.spark.read.parquet(p.gone).withColumn("__gone", F.lit(i))
                 tombs = keys if tombs is None else tombs.unionByName(keys)
-        latest = tombs.groupBy(*KEYS[name]).agg(F.max("__gone").alias("__gone"))
-        alive = dated.join(latest, KEYS[name], "left").filter("__gone IS NULL OR __at >= __gone")
+        latest = tombs.groupBy(*self.keys[name]).agg(F.max("__gone").alias("__gone"))
+        alive = dated.join(latest, self.keys[name], "left").filter("__gone IS NULL OR __at >= __gone")
         return alive.select(*dated.columns[:-1]).unionByName(read(*(p.path for p in pieces[last:])))
 
     def _merged(self, name: str, pieces: list[Piece], attempt: str) -> list[Piece]:
@@ -152,3 +155,13 @@ class SiteLog:
             self._fs.delete(draft, False)
             return False
         return True
+
+
+class SiteLog(TableLog):
+    """Versions of a site."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, SCHEMAS, KEYS)
+
+    def read(self, version: int | None = None) -> SiteTables:
+        return SiteTables(**self.tables(version))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +11,48 @@ from pyspark.sql import functions as F
 from sitemigrate.plans.importing import ImportOptions, import_exports
 from sitemigrate.sources import exports
 from sitemigrate.sources.site import SiteTables
-from sitemigrate.sources.site_log import SiteLog
+from sitemigrate.sources.site_log import SiteLog, TableLog
 
 
-def read_item_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Items of arriving files as a stream: (export_id, modified, item_xml). A file is one of a micro-batch, never split over two."""
-    raw = spark.readStream.option("lineSep", "</item>").option("recursiveFileLookup", "true").schema("value string").text(path)
-    chunks = raw.select(exports.export_of(F.col("_metadata.file_path")).alias("export_id"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("chunk"))
-    return chunks.filter(F.col("chunk").rlike(r"<item[\s>]")).select("export_id", "modified", F.regexp_extract("chunk", exports.ITEM_AT, 2).alias("item_xml"))
+#: What ``collect_items`` keeps of each item.
+ITEMS = {"items": "item_hash string, export_id string, modified timestamp, item_xml string"}
 
 
-def drop_repeated_items(items: DataFrame, keep_for: str = "7 days") -> DataFrame:
-    """Items whose content was seen within ``keep_for`` of file time are left out, across micro-batches."""
-    return items.withColumn("item_hash", F.sha2("item_xml", 256)).withWatermark("modified", keep_for).dropDuplicatesWithinWatermark(["item_hash"])
+def _arriving(spark: SparkSession, path: str) -> DataFrame:
+    """Names and times of the files that arrive in a folder, as a stream, without their contents."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1000").load(path)
+    return files.select("path", "modificationTime")
+
+
+def _run(names: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool):
+    writer = names.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def collect_items(spark: SparkSession, path: str, out_path: str, checkpoint: str, keep_for: str = "7 days", available_now: bool = False):
+    """A running query that adds the items of arriving export files to a log of ``ITEMS`` at ``out_path``, each content once.
+
+    An item that is like one whose file is at most ``keep_for`` older is left out, across micro-batches and within one. Items
+    are whole ones: a micro-batch scans its files as the import does (``read_chunks``), which carries an open CDATA section
+    over the pieces and blocks of a file, so items that differ only after an ``</item>`` in their text are told apart. What
+    was seen is the log itself; a micro-batch commits its version last, so one that is run again adds nothing twice.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        log = TableLog(session, out_path, ITEMS)
+        files = whole_exports(session, [r["path"] for r in batch.select("path").distinct().collect()])  # names of one micro-batch
+        if not files or number in log.versions():
+            return
+        times = batch.select(exports.export_of(F.col("path")).alias("export_id"), "modificationTime").groupBy("export_id").agg(F.max("modificationTime").alias("modified"))
+        items = exports.read_items(session, files).select("export_id", "doc_pos", "item_xml", F.sha2("item_xml", 256).alias("item_hash"))
+        dated = items.join(times, "export_id")
+        first = dated.groupBy("item_hash").agg(F.min_by(F.struct("export_id", "modified", "item_xml"), F.struct("modified", "export_id", "doc_pos")).alias("x")).select("item_hash", "x.*")
+        seen = log.tables()["items"].groupBy("item_hash").agg(F.max("modified").alias("seen"))
+        fresh = first.join(seen, "item_hash", "left").filter(F.col("seen").isNull() | (F.col("seen") + F.expr(f"INTERVAL {keep_for}") < F.col("modified"))).drop("seen")
+        log.commit({"items": fresh}, number)
+
+    return _run(_arriving(spark, path), handle, checkpoint, available_now)
 
 
 def whole_exports(spark: SparkSession, files: list[str]) -> list[str]:
@@ -59,7 +89,4 @@ def import_stream(spark: SparkSession, path: str, site_path: str, checkpoint: st
             result = import_exports(session, files, log.read(before[-1]) if before else SiteTables.empty(session), options)
             log.commit(result.added, number, result.replaced)
 
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1000").load(path)
-    names = files.select("path")  # without the content, which only the import reads
-    writer = names.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _run(_arriving(spark, path), handle, checkpoint, available_now)
