@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitemigrate.functions import table_functions
 from sitemigrate.functions import url_columns as U
 from sitemigrate.operators import attachments, authors, blocks, comments, ids, menus, meta, posts, terms, text, urls
 from sitemigrate.plans.importing import POST_TYPES, ImportOptions, import_exports
@@ -739,6 +740,38 @@ def text_length_profile(spark, d):
     return profile.select(*profile.columns[:6], points[2].alias("p75_code_points"), size[0].alias("p25_bytes"), size[3].alias("p99_bytes"))
 
 
+@query(f"SELECT page_id, 'attr' AS kind, u AS decoded, count(*) AS n FROM (SELECT page_id, unnest({HREFS}) AS u FROM pages) GROUP BY 1, 2, 3")
+def sql_url_occurrences(spark, d):
+    """URLs of pages by the table function, called in SQL beside the table."""
+    table_functions.register(spark)
+    table(spark, d, "pages").createOrReplaceTempView("sql_pages")
+    return spark.sql("SELECT page_id, u.kind, u.decoded, count(*) AS n FROM sql_pages, LATERAL url_occurrences(html) u WHERE u.kind = 'attr' GROUP BY ALL")
+
+
+@query("SELECT doc_id, length(text) AS n_chars, doc_id // 2 AS post_parent FROM documents")
+def sql_export_items(spark, d):
+    """Items of exports parsed by the table function, called in SQL beside the scan."""
+    table_functions.register(spark)
+    items, channel = exports.split_chunks(exports.read_chunks(spark, document_exports(spark, d)))
+    items.createOrReplaceTempView("sql_items")
+    exports.headers_of(channel).createOrReplaceTempView("sql_headers")
+    return spark.sql("SELECT i.post_id AS doc_id, length(i.post_content)::BIGINT AS n_chars, i.post_parent FROM (SELECT item_xml, root_tag FROM sql_items JOIN sql_headers USING (export_id)) x, LATERAL export_item(x.item_xml, x.root_tag) i")
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '["' || p_name || '","' || p_name || '"]' WHEN 1 THEN '{"first":{"size":' || p_size || '},"again":{"size":' || p_size || '},"last":' || p_size || '}' ELSE '{"self":null,"size":' || p_size || '}' END AS value_json FROM part
+""")
+def meta_references(spark, d):
+    """Values with back-references: to a string, to an object and a number in it, and to the value itself."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    value = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("a:2:{i:0;s:"), F.octet_length(name).cast("string"), F.lit(':"'), name, F.lit('";i:1;R:2;}')))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('a:3:{s:5:"first";O:8:"stdClass":1:{s:4:"size";i:'), size, F.lit(';}s:5:"again";r:2;s:4:"last";R:3;}')))
+        .otherwise(F.concat(F.lit('O:1:"A":2:{s:4:"self";r:1;s:4:"size";i:'), size, F.lit(";}")))
+    )
+    return meta.decode_serialized(table(spark, d, "part").select("p_partkey", value.alias("value")), "value").select("p_partkey", "value_json")
+
+
 @query("""
 SELECT doc_id, 'wp:b' AS block, NULL AS attr FROM documents UNION ALL SELECT doc_id, '/wp:b', NULL FROM documents UNION ALL SELECT doc_id, 'wp:c', '{"t":"' || doc_id || '"}' FROM documents
 """)
