@@ -1,9 +1,8 @@
 """Remaps of any number applied to texts: strings of an export replaced in turn, each on the result of those before.
 
-A text meets only the remaps that can occur in it. Every remap has an anchor: of the least hashes of all windows of a few
-byte runs in its URL, the rarest among all remaps. A text that holds the URL holds those windows, so its own least hashes
-have the anchor among them. Texts' anchors are joined with remaps' anchors; no list of all remaps of an export is made, and
-remaps that share long beginnings are told apart by what is rare in them.
+A text meets only the remaps that can occur in it. Every remap has an anchor: a run of bytes of its URL, the rarest among
+all remaps, so that URLs with long common beginnings are told apart. Texts give the runs that are anchors of any remap, by a
+table of bits of a fixed size, and are joined with the remaps by them; no list of all remaps of an export is made.
 
 Remaps that a text meets are applied in order. What a replacement writes, with so much around it as the longest remap
 needs, is looked at for anchors again, and remaps that it may have made possible join the others; this ends when none do.
@@ -21,34 +20,34 @@ from pyspark.sql import functions as F
 
 from sitemigrate.storage import keep
 
-#: Runs of bytes and windows of them, by the least length of a URL in bytes; shorter URLs are looked for by their length.
-SCHEMES = {24: (8, 17), 8: (4, 5)}
-#: Bits of the table that tells texts which anchors any remap has; its size is fixed, and what it lets through is joined.
-FILTER_BITS = 1 << 22
+#: Bytes of a run; shorter URLs are their own anchors.
+RUN = 8
+#: Runs of a URL that may become its anchor, evenly spaced and at its end.
+SPACED, LAST = 8, 12
+#: Bits of the table that tells texts which runs are anchors; what it lets through wrongly is joined in vain.
+FILTER_BITS = 1 << 26
 RULE = "struct<n:int,from_url:string,to_url:string>"
 
 
-def scheme_of(length: int) -> tuple[int, int]:
-    return next((s for least, s in SCHEMES.items() if length >= least), (length, 1))
+def runs(data: bytes, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` bytes (at most 8), in order; no two runs of a size share one."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(b) - size + 1)
+    run = np.zeros(n, np.uint64)
+    for j in range(size):
+        run = run << np.uint64(8) | b[j : j + n]
+    return _spread(run ^ np.uint64((size * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
 
 
-def anchors(data: bytes, schemes: list[tuple[int, int]]) -> np.ndarray:
-    """The distinct least hashes of all windows of ``data``, for each scheme (bytes of a run, runs of a window)."""
-    b, found = np.frombuffer(data, np.uint8).astype(np.uint64), []
-    for size, window in schemes:
-        n = len(b) - size + 1
-        if n < window:
-            continue
-        run = np.zeros(n, np.uint64)
-        for j in range(size):
-            run = run << np.uint64(8) | b[j : j + n]
-        least, width = _spread(run ^ np.uint64((size * 0x9E3779B97F4A7C15) & (1 << 64) - 1)), 1
-        while width < window:
-            step = min(width, window - width)
-            least = np.minimum(least[:-step], least[step:])
-            width += step
-        found.append(np.unique(least))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+def candidates(url: bytes) -> np.ndarray:
+    """Runs that may be the anchor of a URL."""
+    found = runs(url, min(len(url), RUN))
+    return np.unique(np.concatenate((found[:: max(1, len(found) // SPACED)], found[-LAST:])))
+
+
+def anchors(data: bytes, sizes: list[int], table: np.ndarray) -> np.ndarray:
+    """The distinct runs of a text that the table knows."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_known(runs(data, size), table) for size in sizes)]))
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -69,7 +68,7 @@ def _rules(remaps: DataFrame, by: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls = [x.as_py().encode() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _long_lists([anchors(u, [scheme_of(len(u))]) for u in urls])], ["of", "from_url", "to_url", "anchors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _long_lists([candidates(u) for u in urls])], ["of", "from_url", "to_url", "anchors"])
 
     named = remaps.filter("from_url <> ''").select(F.col(by).cast("string").alias("of"), "from_url", "to_url").distinct()
     each = named.mapInArrow(run, "of string, from_url string, to_url string, anchors array<bigint>").select("of", "from_url", "to_url", F.explode("anchors").alias("anchor"))
@@ -122,20 +121,20 @@ def apply_url_remap(docs: DataFrame, remaps: DataFrame, text_col: str, by: str =
     """
     spark = docs.sparkSession
     rules = _rules(remaps, by)
-    facts = rules.agg(F.max(F.octet_length("rule.from_url")).alias("longest"), F.collect_set(F.least(F.octet_length("rule.from_url"), F.lit(max(SCHEMES)))).alias("lengths")).first()
+    facts = rules.agg(F.max(F.octet_length("rule.from_url")).alias("longest"), F.collect_set(F.least(F.octet_length("rule.from_url"), F.lit(RUN))).alias("sizes")).first()
     if facts["longest"] is None:
         return docs
-    longest, schemes, table = facts["longest"], sorted({scheme_of(n) for n in facts["lengths"]}), _filter_of(rules)
+    longest, sizes, known_bits = facts["longest"], sorted(facts["sizes"]), spark.sparkContext.broadcast(_filter_of(rules))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_known(anchors((x.as_py() or "").encode(), schemes), table) for x in batch.column(2)]
+            found = [anchors((x.as_py() or "").encode(), sizes, known_bits.value) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _long_lists(found)], ["of", "key", "anchors"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [fold(text, sorted(rules, key=lambda r: (r["n"], r["from_url"].encode(), r["to_url"].encode())), longest) for text, rules in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(_known(anchors(w.encode(), schemes), table) for w in written)])) for _, written in done]
+            found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(anchors(w.encode(), sizes, known_bits.value) for w in written)])) for _, written in done]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text for text, _ in done], pa.string()), _long_lists(found)], ["of", "key", "text", "rules", "new_text", "anchors"])
 
     texts = docs.filter(F.col(text_col).isNotNull() & F.col(by).isNotNull()).select(F.col(by).cast("string").alias("of"), F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"))
