@@ -185,10 +185,9 @@ def _link_rest(spark: SparkSession, sharing: DataFrame, cores: DataFrame, sets:
     possible &= _linked(F.least("left", "left_p"), F.col("n"), F.col("n_p"))
     while True:
         probes, entries = _open_lists(spark, sharing, cores, sets, labels)
-        tops = entries.groupBy("v", "z").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        other = tops.join(entries, ["v", "z"])
-        side = lambda c: F.max_by("x", F.when(F.col("comp") == F.col(c), F.struct("core", -F.col("x")))).alias(f"p_{c}")
-        tops = other.groupBy("v", "z", "lo", "hi").agg(side("lo"), side("hi"))
+        best = entries.groupBy("v", "z", "comp").agg(F.max_by("x", F.struct("core", -F.col("x"))).alias("p"))  # summed up before the shuffle
+        ends = best.groupBy("v", "z").agg(F.min(F.struct("comp", "p")).alias("lo"), F.max(F.struct("comp", "p")).alias("hi"))
+        tops = ends.select("v", "z", F.col("lo.comp").alias("lo"), F.col("lo.p").alias("p_lo"), F.col("hi.comp").alias("hi"), F.col("hi.p").alias("p_hi"))
         meeting = probes.join(tops, ["v", "z"]).filter("lo < hi OR lo <> comp").withColumn("p", F.when(F.col("lo") != F.col("comp"), F.col("p_lo")).otherwise(F.col("p_hi")))
         meeting = materialize(spark, meeting.select("v", "z", "x", "comp", "n", "most", "p"), "meeting")
         new = _verified(spark, meeting.select("x", "p").distinct(), sets)
