@@ -141,7 +141,7 @@ def import_exports(spark: SparkSession, paths: str | list[str], site: SiteTables
         added["postmeta"] = site.fresh("postmeta", own_meta)
     added["post_terms"] = site.fresh("post_terms", bridge)
     added["sticky_posts"] = site.fresh("sticky_posts", post_rows.filter("is_sticky = 1").select(F.col("new_id").alias("post_id")))
-    added["id_map"] = site.fresh("id_map", maps.groupBy("export_id", "kind", "old_key").agg(F.max("new_id").alias("new_id")))
+    added["id_map"] = keep(spark, site.fresh("id_map", maps.groupBy("export_id", "kind", "old_key").agg(F.max("new_id").alias("new_id"))))
     replaced = {"id_map": added["id_map"].select(*KEYS["id_map"]).join(site.id_map, KEYS["id_map"], "left_semi")}
     everything = log[0]
     for rows in log[1:]:
