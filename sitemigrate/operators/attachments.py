@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitemigrate.operators.ids import running_sum
 from sitemigrate.operators.posts import attachment_source, upload_folder
 
 
@@ -69,7 +70,12 @@ def unique_names(files: DataFrame, order: str = "post_id", existing: DataFrame |
 
     The first file of a name keeps it, unless ``existing`` (folder, file_name: the site's files) has it. Every other one gets
     the next free of ``-1``, ``-2`` and so on before its extension; names of other files and of the site aren't free.
+
+    Files of one name, and numbers that are taken, may be any number: both are counted by ranges (``running_sum``). The j-th
+    number taken, u, leaves u - j free ones before it; so the n-th free number is n and one for each taken one that leaves
+    fewer than n. That count is a running sum over files and taken numbers put in one order.
     """
+    spark, at = files.sparkSession, ["__folder", "__name"]
     key = [F.coalesce(F.col("folder"), F.lit("")).alias("__folder"), F.lower("file_name").alias("__name")]
     there = files.select(*key, F.lit(False).alias("__site"))
     if existing is not None:
@@ -77,12 +83,15 @@ def unique_names(files: DataFrame, order: str = "post_id", existing: DataFrame |
     names = there.groupBy("__folder", "__name").agg(F.max("__site").alias("__site"))
     stem, extension = F.regexp_extract("__name", STEM, 1), F.regexp_extract("__name", STEM, 2)
     number = F.regexp_extract(stem, r"^.*-([1-9][0-9]{0,8})$", 1)
-    used = names.filter(number != "").select("__folder", F.concat(F.regexp_replace(stem, r"-[0-9]+$", ""), extension).alias("__name"), number.cast("int").alias("__used"))
-    used = used.groupBy("__folder", "__name").agg(F.sort_array(F.collect_set("__used")).alias("__used"))
-    known = names.join(used, ["__folder", "__name"], "left")
-    nth = F.row_number().over(Window.partitionBy("__folder", "__name").orderBy(order)) - F.when(F.col("__site"), 0).otherwise(1)
-    ranked = files.select("*", *key).join(known, ["__folder", "__name"]).withColumn("__n", nth)
-    free = F.aggregate(F.coalesce("__used", F.array().cast("array<int>")), F.col("__n"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    used = names.filter(number != "").select("__folder", F.concat(F.regexp_replace(stem, r"-[0-9]+$", ""), extension).alias("__name"), number.try_cast("int").alias("__used"))
+    used = running_sum(spark, used.distinct(), at, ["__used"], F.lit(1), "__j").select(*at, (F.col("__used") - F.col("__j")).alias("__n"), F.lit(1).alias("__taken"))
+    known = names.join(used.select(*at, F.lit(True).alias("__numbered")).distinct(), at, "left")
+    ranked = running_sum(spark, files.select("*", *key).join(known, at), at, [order], F.lit(1), "__n").withColumn("__n", F.col("__n") - F.when(F.col("__site"), 0).otherwise(1))
+    meets = F.col("__numbered").isNotNull() & (F.col("__n") > 0)
+    met = ranked.filter(meets).withColumn("__taken", F.lit(0)).unionByName(used, allowMissingColumns=True)
+    met = running_sum(spark, met, at, ["__n", "__taken"], F.col("__taken"), "__skipped").filter("__taken = 0").drop("__taken")
+    ranked = ranked.filter(~meets).withColumn("__skipped", F.lit(0).cast("long")).unionByName(met)
+    free = F.col("__n") + F.col("__skipped")
     name = F.concat(F.regexp_extract("file_name", STEM, 1), F.lit("-"), free.cast("string"), F.regexp_extract("file_name", STEM, 2))
     return ranked.withColumn("unique_name", F.when(F.col("__n") == 0, F.col("file_name")).otherwise(name)).select(*files.columns, "unique_name")
 

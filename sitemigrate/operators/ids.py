@@ -21,6 +21,24 @@ def dense_rank_rows(spark: SparkSession, df: DataFrame, order: list[Column | str
     return local.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(out, (F.col("__n") + F.col("__before")).cast("long")).drop("__part", "__n", "__before")
 
 
+def running_sum(spark: SparkSession, df: DataFrame, keys: list[str], order: list[Column | str], of: Column, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``of`` over the rows of the same ``keys`` up to and with this one, in ``order``.
+
+    Rows are range-partitioned by keys and order and written once, so that one hot key fills many partitions; each sums up its
+    own part of a key, and what the partitions before hold of that key (one row for each) is added. Null keys are a key.
+    """
+    ranged = keep(spark, df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()).withColumn("__of", of.cast("long")))
+    sums = ranged.groupBy("__part", *keys).agg(F.sum("__of").alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("__before", F.sum("__sum").over(earlier)).filter("__before IS NOT NULL").select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__before")
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("__own", F.sum("__of").over(within)).join(before, same, "left")
+    return summed.withColumn(out, F.col("__own") + F.coalesce("__before", F.lit(0))).select(*df.columns, out)
+
+
 def max_id(df: DataFrame, col: str) -> DataFrame:
     """One row: the largest id, 0 for an empty table."""
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("long").alias("max_id"))

@@ -60,6 +60,14 @@ def export_roundtrip(spark, d):
     return exports.flatten_entities(parsed)["posts"].select(F.col("post_id").alias("doc_id"), F.length("post_content").cast("long").alias("n_chars"), F.col("post_content").alias("text"))
 
 
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, text FROM documents")
+def export_native(spark, d):
+    """The items of the written exports read without a Python worker."""
+    items, channel = exports.split_chunks(exports.read_chunks(spark, document_exports(spark, d)))
+    parsed = exports.parse_items(items, exports.headers_of(channel), by="jvm")
+    return exports.flatten_entities(parsed)["posts"].select(F.col("post_id").alias("doc_id"), F.length("post_content").cast("long").alias("n_chars"), F.col("post_content").alias("text"))
+
+
 @query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'page' ELSE 'post' END AS post_type, 'publish' AS status, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1, 2")
 def export_counts(spark, d):
     items, channel = exports.split_chunks(exports.read_chunks(spark, document_exports(spark, d)))

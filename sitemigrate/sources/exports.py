@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from sitemigrate import schema
 from sitemigrate.functions import item_xml
+from sitemigrate.sources import standard_items
 from sitemigrate.storage import exists
 
 #: Host of the namespaces that are written; where a consumer asks for another one, pass it to ``write_exports``.
@@ -155,13 +156,49 @@ def _parse(df: DataFrame, text: str, kind: str, parse) -> DataFrame:
     return df.select("export_id", "doc_pos", text, "root_tag").mapInArrow(run, out)
 
 
-def parse_items(items: DataFrame, headers: DataFrame) -> DataFrame:
+def _rows_of(texts: list[str | None], roots: list[str | None]) -> Iterator[dict | None]:
+    for xml, root in zip(texts, roots):
+        try:
+            yield None if xml is None else item_xml.parse_item(root or root_tag(), xml)
+        except (item_xml.ET.ParseError, ValueError) as e:
+            yield {"error": str(e)}
+
+
+def parse_items(items: DataFrame, headers: DataFrame, by: str = "python") -> DataFrame:
     """Typed, nested rows of items (see ``schema.ITEM``); ``error`` is set, and all else null, for items that aren't XML.
 
     Names are resolved by the root tag of the item's own file. Files are few beside items; the headers' side is joined by
-    Spark's own choice.
+    Spark's own choice. ``by`` is one of
+
+    * ``python``: all items are parsed in Arrow batches;
+    * ``mixed``: items in the usual form (``standard_items``) are read in the JVM, in the same pass others go to Python;
+    * ``jvm``: there is no Python worker at all, and items in another form count as not XML.
+
+    The rows are the same, but for those others in ``jvm``.
     """
-    return _parse(items.join(headers.select("export_id", "root_tag"), "export_id"), "item_xml", schema.ITEM, item_xml.parse_item)
+    if by == "python":
+        return _parse(items.join(headers.select("export_id", "root_tag"), "export_id"), "item_xml", schema.ITEM, item_xml.parse_item)
+    if by not in ("mixed", "jvm"):
+        raise ValueError(f"by is python, mixed or jvm, not {by!r}")
+    roots = headers.select("export_id", "root_tag", standard_items.usual_root(F.col("root_tag")).alias("__usual_root"))
+    xml = F.col("item_xml")
+    rows = items.join(roots, "export_id").withColumn("__usual", F.col("__usual_root") & standard_items.usual_item(xml))
+    rows = rows.withColumn("__x", F.when(F.col("__usual"), standard_items.read(xml)))
+    names = [f.name for f in StructType.fromDDL(schema.ITEM)]
+    native = standard_items.item_columns(F.col("__x"))
+    read = F.coalesce(F.col("__usual"), F.lit(False)) & F.col("__x").isNotNull() & F.col(f"__x.{standard_items.BROKEN}").isNull()
+    rows = rows.withColumn("__read", read)
+    if by == "jvm":
+        columns = [(F.when(F.col("__read"), native[c]) if c != "error" else F.when(~F.col("__read"), "not in the usual form")).alias(c) for c in names]
+        return rows.select("export_id", "doc_pos", "item_xml", *columns)
+    arrow = pa.struct(list(to_arrow_schema(StructType.fromDDL(schema.ITEM))))
+
+    @F.arrow_udf(returnType=StructType.fromDDL(schema.ITEM))
+    def parsed(texts: pa.Array, of: pa.Array) -> pa.Array:
+        return pa.array(_rows_of(texts.to_pylist(), of.to_pylist()), arrow)
+
+    rows = rows.withColumn("__p", parsed(F.when(~F.col("__read"), xml), F.when(~F.col("__read"), F.col("root_tag"))))
+    return rows.select("export_id", "doc_pos", "item_xml", *(F.when(F.col("__read"), native[c]).otherwise(F.col(f"__p.{c}")).alias(c) for c in names))
 
 
 def parse_channel(channel: DataFrame, headers: DataFrame) -> DataFrame:

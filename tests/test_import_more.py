@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitemigrate import storage
 from sitemigrate.functions import markup
-from sitemigrate.operators import attachments, urls
+from sitemigrate.operators import attachments, ids, urls
 from sitemigrate.plans.importing import ImportOptions, import_exports
 from sitemigrate.sources import exports
 from sitemigrate.sources.site import SiteTables
@@ -89,6 +89,33 @@ def test_names_are_unique_beside_the_sites_own(spark):
     assert len({got[i].lower() for i in range(8)}) == 8
 
 
+def test_a_hot_file_name_is_numbered_by_many_tasks(spark):
+    n = 60_000
+    taken = sorted({i * i % 50_021 + 1 for i in range(4_000)})
+    files = spark.range(n).select((F.col("id") * 3).alias("post_id"), F.lit("f").alias("folder"), F.lit("a.png").alias("file_name"))
+    others = spark.createDataFrame([(1, "f", "b.png"), (4, "f", "b.png"), (7, None, "a.png")], "post_id long, folder string, file_name string")
+    there = spark.createDataFrame([("f", f"A-{u}.png") for u in taken], "folder string, file_name string")
+    got = {r["post_id"]: r["unique_name"] for r in attachments.unique_names(files.unionByName(others), "post_id", there).collect()}
+    busy, free, expect = set(taken), 0, ["a.png"]
+    for _ in range(n - 1):
+        free += 1
+        while free in busy:
+            free += 1
+        expect.append(f"a-{free}.png")
+    assert [got[i * 3] for i in range(n)] == expect and (got[1], got[4], got[7]) == ("b.png", "b-1.png", "a.png")
+
+
+def test_running_sums_of_one_key_over_many_partitions(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, F.lit("hot")).alias("k"), ((F.col("id") * 7919) % 20_000).alias("o"), (F.col("id") % 3).alias("v"), F.lit(5).alias("x"))
+    rows = ids.running_sum(spark, df, ["k"], ["o"], F.col("v"), "s").collect()
+    assert len(rows) == 20_000 and list(rows[0].asDict()) == ["k", "o", "v", "x", "s"]
+    total = {}
+    for r in sorted(rows, key=lambda r: r["o"]):
+        total[r["k"]] = total.get(r["k"], 0) + r["v"]
+        assert r["s"] == total[r["k"]]
+    assert ids.running_sum(spark, df.limit(0), ["k"], ["o"], F.col("v"), "s").collect() == []
+
+
 def test_urls_in_texts():
     found = lambda text: [u for _, _, u, _ in markup.text_urls(text)]
     assert found("https://user:pw@old.org/x") == found("https://user@old.org/x") == found("https://a::b/x") == []
