@@ -116,6 +116,19 @@ def test_running_sums_of_one_key_over_many_partitions(spark):
     assert ids.running_sum(spark, df.limit(0), ["k"], ["o"], F.col("v"), "s").collect() == []
 
 
+def test_sketches_of_distinct_urls_merge(spark):
+    url = F.concat(F.lit("https://h.example/"), (F.col("id") % 30_000).cast("string"))
+    found = spark.range(90_000).select((F.col("id") % 7).alias("export_id"), F.when(F.col("id") % 2 == 0, "attr").otherwise("text").alias("kind"), F.when(F.col("id") < 80_000, url).alias("decoded"))
+    kept = urls.distinct_sketches(found, ["export_id", "kind"])
+    assert kept.count() == 14
+    whole = urls.merge_sketches(kept, []).first()
+    assert whole["n"] == 80_000 and abs(whole["n_distinct"] - 30_000) < 0.05 * 30_000
+    exact = {r["kind"]: r["d"] for r in found.groupBy("kind").agg(F.count_distinct("decoded").alias("d")).collect()}
+    assert all(abs(r["n_distinct"] - exact[r["kind"]]) < 0.05 * exact[r["kind"]] for r in urls.merge_sketches(kept, ["kind"]).collect())
+    none = urls.merge_sketches(urls.distinct_sketches(found.limit(0), ["kind"]), []).first()
+    assert (none["n"], none["n_distinct"]) == (0, 0)
+
+
 def test_urls_in_texts():
     found = lambda text: [u for _, _, u, _ in markup.text_urls(text)]
     assert found("https://user:pw@old.org/x") == found("https://user@old.org/x") == found("https://a::b/x") == []
