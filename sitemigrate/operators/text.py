@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NONCHARACTERS = r"[\uFDD0-\uFDEF\uFFFE\uFFFF]|[\x{1FFFE}\x{1FFFF}\x{2FFFE}\x{2FFFF}\x{3FFFE}\x{3FFFF}\x{4FFFE}\x{4FFFF}\x{5FFFE}\x{5FFFF}\x{6FFFE}\x{6FFFF}\x{7FFFE}\x{7FFFF}\x{8FFFE}\x{8FFFF}\x{9FFFE}\x{9FFFF}\x{AFFFE}\x{AFFFF}\x{BFFFE}\x{BFFFF}\x{CFFFE}\x{CFFFF}\x{DFFFE}\x{DFFFF}\x{EFFFE}\x{EFFFF}\x{FFFFE}\x{FFFFF}\x{10FFFE}\x{10FFFF}]"
@@ -43,17 +45,27 @@ def noncharacter_report(df: DataFrame, text_col: str) -> DataFrame:
     return each.groupBy(F.hex(F.encode("c", "UTF-32")).alias("code_point")).agg(F.count("*").alias("n"), F.count_distinct("__row").alias("n_rows"))
 
 
-def length_profile(df: DataFrame, text_col: str, by: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 0.99), accuracy: int = 10_000) -> DataFrame:
+def length_profile(df: DataFrame, text_col: str, by: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 0.99)) -> DataFrame:
     """Code points and bytes by a column: sums, largest, median, and quantiles of both at ``shares`` (arrays).
 
-    Quantiles are from mergeable sketches: their ranks are off by at most one row in ``accuracy``.
+    Quantiles are exact: the value whose rank is ``share`` times the rows, rounded up. Rows are first counted by length, so what
+    is put in order are distinct lengths.
     """
     points, size = F.length(text_col), F.octet_length(text_col)
-    quantiles = lambda c: F.percentile_approx(c, list(shares), accuracy)
-    return df.groupBy(by).agg(
-        F.count(text_col).alias("n_rows"), F.sum(points).alias("code_points"), F.sum(size.cast("long")).alias("n_bytes"), F.max(points).alias("longest"),
-        F.percentile_approx(points, 0.5, accuracy).alias("median_code_points"), quantiles(points).alias("code_point_quantiles"), quantiles(size).alias("byte_quantiles"),
+    sums = df.groupBy(by).agg(F.count(text_col).alias("n_rows"), F.sum(points).alias("code_points"), F.sum(size.cast("long")).alias("n_bytes"), F.max(points).alias("longest"))
+    lengths = df.filter(F.col(text_col).isNotNull()).select(F.col(by).alias("__by"), F.explode(F.array(F.struct(F.lit(0).alias("__of"), points.alias("__len")), F.struct(F.lit(1).alias("__of"), size.alias("__len")))).alias("__x")).select("__by", "__x.*")
+    counts = lengths.groupBy("__by", "__of", "__len").agg(F.count("*").alias("__n"))
+    group = Window.partitionBy("__by", "__of")
+    ranked = counts.withColumn("__upto", F.sum("__n").over(group.orderBy("__len").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(group))
+
+    def quantile(of: int, share: float) -> Column:
+        rank = F.greatest(F.ceil(F.col("__all").cast("decimal(20,0)") * F.lit(Decimal(str(share)))), F.lit(1))
+        return F.min(F.when((F.col("__of") == of) & (F.col("__upto") >= rank), F.col("__len")))
+
+    found = ranked.groupBy("__by").agg(
+        quantile(0, 0.5).alias("median_code_points"), F.array(*(quantile(0, s) for s in shares)).alias("code_point_quantiles"), F.array(*(quantile(1, s) for s in shares)).alias("byte_quantiles"),
     )
+    return sums.join(found, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
 def repair_encoding(df: DataFrame, text_col: str) -> DataFrame:

@@ -66,3 +66,15 @@ def test_comments_met_again_in_one_batch(spark):
     site = spark.createDataFrame([("s", "d")], "author string, date string")
     assert sorted(r["o"] for r in comments.drop_known(df, site, ["o"]).collect()) == [1, 2, 4, 6]
     assert sorted(r["o"] for r in comments.drop_known(df, site).collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_quantiles_of_lengths_are_exact_in_groups_of_any_size(spark):
+    rows = spark.range(30_000).select(F.expr("repeat('é', 1 + cast((id * 7919) % 30000 as int))").alias("t"), F.when(F.col("id") % 2 == 0, "a").alias("by"))
+    found = {r["by"]: r for r in text.length_profile(rows.unionByName(spark.createDataFrame([(None, "none")], "t string, by string")), "t", "by", (0.001, 0.25, 0.55, 0.99)).collect()}
+    for by, rest in (("a", 0), (None, 1)):
+        lengths = sorted(1 + (i * 7919) % 30_000 for i in range(rest, 30_000, 2))
+        want = [lengths[r - 1] for r in (15, 3750, 8250, 14_850)]
+        assert found[by]["code_point_quantiles"] == want
+        assert found[by]["byte_quantiles"] == [2 * n for n in want]
+        assert found[by]["median_code_points"] == lengths[7499]
+    assert found["none"]["n_rows"] == 0 and found["none"]["median_code_points"] is None and found["none"]["code_point_quantiles"] is None
