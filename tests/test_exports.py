@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,20 @@ def test_one_export_from_many_tasks(spark, tmp_path):
     one, last = f"file:{parts[0]}", f"file:{parts[-1]}"
     assert ingest.whole_exports(spark, [one, "file:/x/a.xml"]) == ["file:/x/a.xml"]
     assert ingest.whole_exports(spark, [last, "file:/x/a.xml"]) == ["file:/x/a.xml", f"file:{parts[0].parent}"]
+
+
+def test_no_text_is_dealt_by_its_export(spark, tmp_path):
+    """One export may hold nearly all items: joins by export alone must not bring them together in one task."""
+    rows = spark.range(40).select(F.lit("all").alias("export"), F.col("id").alias("post_id"), F.lit("text").alias("post_content"))
+    path = exports.write_exports(rows, f"{tmp_path}/x", "export", "post_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items, channel = exports.split_chunks(exports.read_chunks(spark, path))
+        for by in ("python", "jvm", "mixed"):
+            parsed = exports.parse_items(items, exports.headers_of(channel), by=by)
+            plan = parsed._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"(?:SortMergeJoin|ShuffledHashJoin) \[export_id#\d+\],", plan)
+            assert parsed.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
