@@ -147,3 +147,20 @@ def test_no_local_folder_on_a_cluster():
     context = types.SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="share"):
         storage.scratch_dir(types.SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """Routes, matches, ids and links are worked out without the texts, which are dealt once, to the posts that are made."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), "")
+    rows = spark.range(1, 101).select(F.lit("all").alias("export"), F.col("id").alias("post_id"), F.concat(F.lit("t"), "id").alias("post_title"), F.lit("post").alias("post_type"), F.lit("publish").alias("status"), text.alias("post_content"))
+    path = exports.write_exports(rows, f"{tmp_path}/x", "export", "post_id")
+    before = shuffled()
+    result = import_exports(spark, path, SiteTables.empty(spark))
+    assert result.site.posts.agg(F.sum(F.length("post_content"))).first()[0] == 100 * 400 * 64
+    assert shuffled() - before < 2 * 100 * 400 * 64
