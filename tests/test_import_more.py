@@ -164,3 +164,15 @@ def test_texts_are_shuffled_once(spark, tmp_path):
     result = import_exports(spark, path, SiteTables.empty(spark))
     assert result.site.posts.agg(F.sum(F.length("post_content"))).first()[0] == 100 * 400 * 64
     assert shuffled() - before < 2 * 100 * 400 * 64
+
+
+def test_texts_are_looked_through_once_for_urls(spark):
+    """Pages are parsed once; what stays are URLs on hosts of the mapping, or on hosts that aren't plain."""
+    rows = [(1, '<a href="https://a.org/x">y</a> https://b.org/z'), (2, '<a href="https://A.org/q">y</a>'), (3, None), (4, '<a href="https://%61.org/w">y</a> <a href="r">s</a>')]
+    docs = spark.createDataFrame(rows, "id long, html string")
+    mapping = spark.createDataFrame([(0, "https://a.org/", "https://n.com/")], "ord int, from_base string, to_base string")
+    out = urls.rewrite_content(docs, mapping, "id", "html", "https://b.org/")
+    assert not [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x and "decoded" in x]
+    assert {r["id"]: (r["html"], r["n_rewritten"]) for r in out.collect()} == {
+        1: ('<a href="https://n.com/x">y</a> https://b.org/z', 1), 2: ('<a href="https://n.com/q">y</a>', 1), 3: (None, 0), 4: ('<a href="https://n.com/w">y</a> <a href="r">s</a>', 1),
+    }
