@@ -159,3 +159,15 @@ def test_no_text_is_dealt_by_its_export(spark, tmp_path):
             assert parsed.count() == 40
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_broken_items_are_read_by_the_worker_that_refused_them(spark, tmp_path):
+    path = export(tmp_path, "x.xml", item(title="a") + item(title="b").replace("</item>", "<b></item>"))
+    items, channel = exports.split_chunks(exports.read_chunks(spark, path))
+    headers = exports.headers_of(channel)
+    both = exports.parse_items(items, headers, salvage=True)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    apart = exports.parse_items(items, headers)
+    names = ["post_title", "post_id", "terms", "postmeta", "comments"]
+    assert both.filter("error IS NULL").select(names).collect() == apart.filter("error IS NULL").select(names).collect()
+    assert both.filter("error IS NOT NULL").select(names).collect() == exports.read_leniently(exports.quarantine(apart)).select(names).collect() != []
