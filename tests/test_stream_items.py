@@ -77,3 +77,58 @@ def test_copies_are_the_export_under_other_names(spark, tmp_path):
         one = joined(tmp_path / "one" / f"export={n}")
         assert joined(tmp_path / "two" / f"export={n}") == one and one.count(b"</item>") in (166, 167)
         assert joined(tmp_path / "two" / f"export={n}-b") == one.replace(f"<title>{n}</title>".encode(), f"<title>{n}-b</title>".encode(), 1)
+
+
+@pytest.mark.parametrize("block, in_place", [("700", True), ("5k", True), ("5k", False)])
+def test_torn_items_over_blocks_against_brute_force(spark, tmp_path, block, in_place):
+    """Sections within a block, over its end, over many blocks and parts, and open at the end; marks in turn in one piece."""
+    draw, expected, confs = random.Random(11), [], ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    words = ["</item>", "</item>", "<item>", "x" * 40, "é ", "<![CDATA[", "]]>", "]]>", "]]]]><![CDATA[>"]
+    for n in range(8):
+        text = "".join(draw.choices(words, [4, 4, 4, 4, 2, 0 if n == 0 else 0.4, 1, 1, 0.1], k=1500))
+        if n % 2:
+            cuts = sorted(draw.randrange(len(text)) for _ in range(3))
+            cuts = [0, *(text.find("</item>", c) + 7 for c in cuts if text.find("</item>", c) >= 0), len(text)]
+            (tmp_path / f"export={n}").mkdir()
+            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                (tmp_path / f"export={n}" / f"part-{i:05}.txt").write_text(text[lo:hi])
+        else:
+            (tmp_path / f"{n}.xml").write_text(text)
+        run, is_open = [], False
+        pieces = text.split("</item>")
+        for piece in pieces if pieces[-1] else pieces[:-1]:
+            run.append(piece)
+            marks = piece.rfind("<![CDATA["), piece.rfind("]]>")
+            is_open = marks[0] > marks[1] if max(marks) >= 0 else is_open
+            if not is_open:
+                expected.append((str(n), "</item>".join(run)))
+                run = []
+        expected += [(str(n), "</item>".join(run))] * bool(run)
+    before = {c: spark.conf.get(c) for c in confs}
+    for c in confs:
+        spark.conf.set(c, block)
+    try:
+        chunks = exports.scan_chunks(spark, f"file://{tmp_path}")
+        blocks = exports.blocks_of(chunks)
+        inner, over = exports.joined_in_place(chunks, blocks)
+        whole = exports.whole_chunks(chunks, blocks.filter("any_open").select("export_id").distinct())
+        found = whole.unionByName(inner).unionByName(over) if in_place else exports.read_chunks(spark, f"file://{tmp_path}")
+        rows = found.orderBy("export_id", "doc_pos").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    name = lambda e: e.rpartition("/")[2].removeprefix("export=").removesuffix(".xml")
+    got = [(name(r["export_id"]), r["chunk"]) for r in rows if r["chunk"]]
+    expected = [e for e in expected if e[1]]
+    assert [[t for e, t in got if e == str(n)] for n in range(8)] == [[t for e, t in expected if e == str(n)] for n in range(8)]
+    assert max(t.count("</item>") for _, t in got) > 8
+
+
+def test_texts_of_torn_items_are_not_shuffled(spark, tmp_path):
+    text = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 512) for i in range(40)))
+    items = spark.range(400).select(F.concat(F.lit("<item><title>"), "id", F.lit("</title><content:encoded><![CDATA["), text, F.lit(" </item> <item>]]></content:encoded></item>")).alias("value"))
+    items.write.text(f"file://{tmp_path}/in/export=a")
+    start = shuffled(spark)
+    rows = collected(spark, tmp_path)
+    assert shuffled(spark) - start < 400 * 40 * 128 / 10
+    assert rows.count() == 400 and rows.filter(F.col("item_xml").endswith(" </item> <item>]]></content:encoded>")).count() == 400
