@@ -22,6 +22,8 @@ from sitemigrate.llm.common import materialize, n_partitions, named_again, numbe
 
 #: Components below this, after scaling, are 64-bit numbers; vectors with larger ones are wide, of Python's whole numbers.
 LIMIT = 2.0**56
+#: Bytes of quantised vectors for a block and for a pack of queries (65,536 and 64 vectors of 64 components).
+BLOCK_BYTES, PACK_BYTES = 32 << 20, 32 << 10
 
 
 def quantise(vector: list | None, scale: float) -> np.ndarray | None:
@@ -56,17 +58,20 @@ def rank_key(score: int) -> bytes:
 def build_index(ids: np.ndarray, values: np.ndarray) -> dict:
     """The slices of ``values`` (rows x attributes), offset so that all are non-negative, for rows sorted by id."""
     order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
+    ids = ids[order]
     low = int(values.min(initial=0))
     kind = object if values.dtype == object else np.uint64
-    shifted = (values - low).astype(kind)
-    width = max(1, int(shifted.max(initial=0)).bit_length())
-    n_words = -(-len(ids) // 64)
-    padded = np.zeros((values.shape[1], n_words * 64), kind)
-    padded[:, : len(ids)] = shifted.T
     of = int if kind is object else np.uint64
-    slices = np.stack([np.packbits((padded >> of(s) & of(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8") for s in range(width)], axis=1)
-    return {"ids": ids, "low": low, "slices": slices}  # slices: attributes x bits x words
+    width = max(1, (int(values.max()) - low).bit_length()) if values.size else 1
+    n_words = -(-len(ids) // 64)
+    slices = np.zeros((values.shape[1], width, n_words), "<u8")  # attributes x bits x words
+    bits = np.zeros(n_words * 64, np.uint8)
+    for j in range(values.shape[1]):  # by attribute, so that no second copy of the block is made
+        shifted = (values[order, j] - low).astype(kind)
+        for s in range(width):
+            bits[: len(ids)] = shifted >> of(s) & of(1)
+            slices[j, s] = np.packbits(bits, bitorder="little").view("<u8")
+    return {"ids": ids, "low": low, "slices": slices}
 
 
 def _add(planes: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -162,9 +167,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     a long is given as the largest or smallest long. Vectors of another length than
     the query's don't meet it. A query meets every row but those with its own id; repeated rows are rows of their own.
 
-    Rows are indexed in blocks of about ``block_rows``, queries are packed by ``query_rows``. Each pack goes to each block,
-    and a block is copied once for every ``packs`` packs (or for each partition, if there are fewer blocks): a task gets one
-    block and a bounded number of packs, whatever the tables' sizes.
+    Rows are indexed in blocks of about ``block_rows``, queries are packed by ``query_rows``; both hold fewer long vectors (see
+    ``BLOCK_BYTES``). Each pack goes to each block, and a block is copied once for every ``packs`` packs (or for each
+    partition, if there are fewer blocks). A copy meets its packs as one group, so a worker holds one block and a bounded
+    number of packs, whatever the tables' sizes.
     """
     both, names = number_ids(spark, vectors.select(id_col, vector_col, F.lit(False).alias("asks")).unionByName(queries.select(id_col, vector_col, F.lit(True).alias("asks"))), id_col)
 
@@ -177,8 +183,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     rows = both.select(F.col(id_col), F.col(vector_col).cast("array<double>"), "asks").mapInArrow(quantised, "id long, asks boolean, dims int, wide boolean, q binary")
     rows = materialize(spark, rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    count = {r["asks"]: r["n"] for r in rows.groupBy("asks").agg(F.count("*").alias("n")).collect()}
-    n_blocks, n_packs = (max(1, math.ceil(count.get(asks, 0) / size)) for asks, size in ((False, block_rows), (True, query_rows)))
+    count = {r["asks"]: r for r in rows.groupBy("asks").agg(F.count("*").alias("n"), F.sum(F.octet_length("q")).alias("bytes")).collect()}
+    n_blocks, n_packs = (max(1, math.ceil(count[asks]["n"] / size), math.ceil(count[asks]["bytes"] / most)) if asks in count else 1 for asks, size, most in ((False, block_rows, BLOCK_BYTES), (True, query_rows, PACK_BYTES)))
     copies = max(math.ceil(n_packs / packs), min(n_packs, math.ceil(n_partitions(spark) / n_blocks)))
 
     def index(table: pa.Table) -> pa.Table:
@@ -191,25 +197,28 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         ids = table.column("id").to_numpy().astype("<i8").tobytes()
         return pa.table({"dims": table.column("dims")[:1], "pack": table.column("pack")[:1], "asked": [ids], "wide": table.column("wide")[:1], "q": pa.array([table.column("q").to_pylist()], pa.list_(pa.binary()))})
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dims, ids, low, width, slices, own, wide, q = (batch.column(c)[r] for c in range(8))
-                ids = np.frombuffer(ids.as_buffer(), "<i8")
-                of = {"ids": ids, "low": int(low.as_py()), "slices": np.frombuffer(slices.as_buffer(), "<u8").reshape(dims.as_py(), width.as_py(), -(-len(ids) // 64))}
+    found_kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+
+    def search(blocks: pa.Table, packed: pa.Table) -> pa.Table:
+        found = []
+        for dims, ids, low, width, slices in zip(*(blocks.column(c) for c in ("dims", "ids", "low", "width", "slices"))):
+            ids, dims = np.frombuffer(ids.as_buffer(), "<i8"), dims.as_py()
+            of = {"ids": ids, "low": int(low.as_py()), "slices": np.frombuffer(slices.as_buffer(), "<u8").reshape(dims, width.as_py(), -(-len(ids) // 64))}
+            for own, wide, q in zip(*(packed.column(c) for c in ("asked", "wide", "q"))):
                 own = np.frombuffer(own.as_buffer(), "<i8")
-                q = _unpacked(q.as_py(), dims.as_py(), wide.as_py()) if dims.as_py() else np.zeros((len(own), 0), np.int64)
-                found = [(int(i), v, rank_key(s), max(-(1 << 63), min(s, (1 << 63) - 1))) for i, x in zip(own, q) for v, s in top(of, x, k, int(i))]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c, kind in enumerate(kinds)], ["query_id", "vec_id", "key", "score"])
+                q = _unpacked(q.as_py(), dims, wide.as_py()) if dims else np.zeros((len(own), 0), np.int64)
+                found += [(int(i), v, rank_key(s), max(-(1 << 63), min(s, (1 << 63) - 1))) for i, x in zip(own, q) for v, s in top(of, x, k, int(i))]
+        return pa.table([pa.array([x[c] for x in found], kind) for c, kind in enumerate(found_kinds)], ["query_id", "vec_id", "key", "score"])
 
     by_hash = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     indexes = rows.filter("NOT asks").withColumn("block", by_hash(n_blocks)).groupBy("dims", "wide", "block").applyInArrow(index, "dims int, block long, ids binary, low string, width int, slices binary")
-    indexes = materialize(spark, indexes, "indexes").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
     asked = rows.filter("asks").withColumn("pack", by_hash(n_packs)).groupBy("dims", "wide", "pack").applyInArrow(pack, "dims int, pack long, asked binary, wide boolean, q array<binary>")
-    asked = materialize(spark, asked, "asked").withColumn("copy", F.pmod("pack", F.lit(copies))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = asked.join(indexes, ["dims", "block", "copy"]).select("dims", "ids", "low", "width", "slices", "asked", "wide", "q")
-    best = pairs.mapInArrow(search, "query_id long, vec_id long, key binary, score long")
+    # Groups are dealt to a fixed number of tasks: by their bytes, which are few, Spark would put many into one.
+    meet, tasks = ["dims", "block", "copy"], max(n_partitions(spark), n_blocks * copies)
+    indexes = indexes.withColumn("copy", upto(copies)).repartition(tasks, *meet).groupBy(*meet)
+    asked = asked.withColumn("copy", F.pmod("pack", F.lit(copies))).withColumn("block", upto(n_blocks)).repartition(tasks, *meet).groupBy(*meet)
+    best = indexes.cogroup(asked).applyInArrow(search, "query_id long, vec_id long, key binary, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return named_again(ranked.select("query_id", "rank", "vec_id", "score"), names, "query_id", "vec_id")

@@ -3,6 +3,7 @@ import hashlib
 import io
 import math
 import random
+import re
 from fractions import Fraction
 import struct
 import zipfile
@@ -185,3 +186,27 @@ def test_bit_slices_give_the_scores():
         planes, base = bitslice.scores(index, query)
         bits = [np.unpackbits(p.view(np.uint8), bitorder="little")[:n].astype(np.int64) for p in planes]
         assert (sum(b << w for w, b in enumerate(bits)) + base == values @ query).all()
+
+
+def test_a_block_meets_its_packs_once_whatever_their_number(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = bitslice.top_k(spark, df, df, block_rows=100, query_rows=1, packs=300)
+    # No row holds a block beside a pack, and blocks' groups aren't put into one task by their size.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not [x for x in plan.splitlines() if "Join" in x or "slices" in x and "asked" in x and "FlatMapCoGroupsInArrow" not in x]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, lambda i: True, 5)
+
+
+def test_blocks_and_packs_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(bitslice, "PACK_BYTES", 100)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(30)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = bitslice.top_k(spark, df, df.filter("vec_id % 4 = 0"))
+    # 40 vectors of 240 bytes: ten blocks, though each could hold all by their number
+    assert re.search(r"pmod\(xxhash64\(row#\d+L, 42\), 10\) AS block", got._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, lambda i: i % 4 == 0, 5)
