@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemigrate.sources.site import KEYS, SCHEMAS, SiteTables
+from sitemigrate.storage import dealt
 
 FANOUT = 8
 
@@ -125,7 +126,7 @@ class TableLog:
                 keys = self.spark.read.parquet(p.gone).withColumn("__gone", F.lit(i))
                 tombs = keys if tombs is None else tombs.unionByName(keys)
         latest = tombs.groupBy(*self.keys[name]).agg(F.max("__gone").alias("__gone"))
-        alive = dated.join(latest, self.keys[name], "left").filter("__gone IS NULL OR __at >= __gone")
+        alive = dated.join(dealt(latest), self.keys[name], "left").filter("__gone IS NULL OR __at >= __gone")
         return alive.select(*dated.columns[:-1]).unionByName(read(*(p.path for p in pieces[last:])))
 
     def _merged(self, name: str, pieces: list[Piece], attempt: str) -> list[Piece]:

@@ -59,3 +59,12 @@ def test_a_commit_that_fails_half_way_is_run_again(spark, tmp_path, monkeypatch)
     assert log.versions() == [0] and log.read().terms.count() == 1
     assert log.commit({"terms": terms(spark, [2, 3])}, 1) and log.read().terms.count() == 3
     assert SiteTables.empty(spark).changed({"terms": terms(spark, [7])}, {}).terms.count() == 1
+
+
+def test_keys_of_replaced_rows_are_not_sent_whole(spark, tmp_path):
+    log = SiteLog(spark, f"file://{tmp_path}/site")
+    log.commit({"id_map": ids(spark, [(k, k) for k in range(50)])}, 1)
+    log.commit({"id_map": ids(spark, [(k, k + 100) for k in range(40)])}, 2, {"id_map": ids(spark, [(k, 0) for k in range(40)]).select(*KEYS["id_map"])})
+    now = log.read().id_map
+    assert "BroadcastHashJoin" not in now._jdf.queryExecution().executedPlan().toString()
+    assert sorted(int(r["new_id"]) for r in now.collect()) == [*range(40, 50), *range(100, 140)]
