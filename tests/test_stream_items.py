@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,34 @@ def test_texts_of_torn_items_are_not_shuffled(spark, tmp_path):
     rows = collected(spark, tmp_path)
     assert shuffled(spark) - start < 400 * 40 * 128 / 10
     assert rows.count() == 400 and rows.filter(F.col("item_xml").endswith(" </item> <item>]]></content:encoded>")).count() == 400
+
+
+def scanned(spark):
+    """Bytes that the session has read from files."""
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+
+def test_torn_files_are_scanned_three_times(spark, tmp_path):
+    text = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 512) for i in range(40)))
+    items = spark.range(2000).select(F.concat(F.lit("<item><title>"), "id", F.lit("</title><content:encoded><![CDATA["), text, F.lit(" </item> <item>]]></content:encoded></item>")).alias("value"))
+    items.write.text(f"file://{tmp_path}/in/export=a")
+    size, start = sum(f.stat().st_size for f in (tmp_path / "in").rglob("part-*")), scanned(spark)
+    run = ingest.collect_items(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp", available_now=True)
+    run.awaitTermination()
+    assert 2.9 * size < scanned(spark) - start < 3.3 * size
+    assert TableLog(spark, f"file://{tmp_path}/out", ingest.ITEMS).tables()["items"].count() == 2000
+
+
+def test_marks_and_items_of_pieces(spark):
+    texts = ["", "a", "<![CDATA[", "]]>", "<![CDATA[]]>", "]]><![CDATA[", "é<![CDATA[ x ]]> y <![CDATA[é]]", "<![CDATA[]]]]><![CDATA[>", "<![CDATA[<![CDATA[]]>", "<item>a", "\n <item>a\n", "x<item>", " <item a='1'>b", "<items>", " " * 80 + "<item>z\n", "<item\n>q<item>", "<rss><item>\r"]
+    df = spark.createDataFrame([("e", (0, i), t) for i, t in enumerate(texts)], "export_id string, doc_pos struct<block:bigint,row:bigint>, chunk string")
+    marks = {r["doc_pos"]["row"]: r["ends_open"] for r in exports._marks(df).collect()}
+    ends = {i: (t.rfind("<![CDATA["), t.rfind("]]>")) for i, t in enumerate(texts)}
+    assert marks == {i: None if max(e) < 0 else e[0] > e[1] for i, e in ends.items()}
+    items, channel = exports.split_chunks(df)
+    found = {i: m for i, t in enumerate(texts) if (m := re.search(r"(?s)<item[\s>].*", t))}
+    assert {r["doc_pos"]["row"]: r["item_xml"] for r in items.collect()} == {i: m[0] for i, m in found.items()}
+    heads = {i: t[: found[i].start()] if i in found else t for i, t in enumerate(texts)}
+    assert {r["doc_pos"]["row"]: r["channel_xml"] for r in channel.collect()} == {i: t for i, t in heads.items() if t.strip(" \n\r\t")}
